@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import seconds_between
-from .slices import DAY_S, SLICE, fill_from_neighbours, running_sums, with_neighbours, with_slice
+from .slices import DAY_S, SLICE, fill_from_neighbours, with_neighbours, with_slice
 
 
 def drift_spans(
@@ -24,17 +24,18 @@ def drift_spans(
     """
     order = ("datetime", "foid")
     fixes = df.filter(F.col("lat").isNotNull()).select(*keys, *order)
-    near = with_neighbours(with_slice(fixes, slice_s), [], keys, order)
-    quick_after = F.abs(seconds_between(F.col("datetime"), F.col("after")["datetime"])) <= max_step_s
-    quick_before = F.abs(seconds_between(F.col("before")["datetime"], F.col("datetime"))) <= max_step_s
-    steps = near.withColumns(
-        {
-            "quick": F.coalesce(quick_after, F.lit(False)),
-            "turns": ~F.coalesce(quick_before, F.lit(False)),
-        }
-    )
+    def quick(prior: Column, row: Column) -> Column:
+        step = F.abs(seconds_between(prior["datetime"], row["datetime"]))
+        return F.coalesce(step <= max_step_s, F.lit(False))
+
     # A burst starts at a fix without a quick step before it.
-    numbered = running_sums(steps, {"burst": F.col("turns").cast("long")}, keys, order)
+    numbered = with_neighbours(
+        with_slice(fixes, slice_s),
+        [],
+        keys,
+        order,
+        counts={"burst": lambda prior, row: ~quick(prior, row)},
+    ).withColumn("quick", quick(F.struct(*order), F.col("after")))
     return (
         numbered.filter("quick")
         .groupBy(*keys, "burst")

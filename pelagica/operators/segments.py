@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import half_even
 from ..functions.time import seconds_between
-from .slices import DAY_S, SLICE, running_sums, with_neighbours, with_slice
+from ..session import shared_dir
+from .slices import DAY_S, SLICE, with_neighbours, with_slice
 
 
 def time_delta(
@@ -51,9 +52,13 @@ def run_lengths(
     """
     rows = with_slice(df.select(*keys, time, tie, predicate.alias("_p")), slice_s, time)
     rows = rows.withColumn("value", F.coalesce("_p", F.lit(False)))
-    near = with_neighbours(rows, ["value"], keys, (time, tie))
-    changed = ~F.col("value").eqNullSafe(F.col("before")["value"])
-    numbered = running_sums(near, {"run": changed.cast("long")}, keys, (time, tie))
+    numbered = with_neighbours(
+        rows,
+        ["value"],
+        keys,
+        (time, tie),
+        counts={"run": lambda prior, row: ~row["value"].eqNullSafe(prior["value"])},
+    )
     here = F.struct(time, tie)
     return (
         numbered.groupBy(*keys, "run")
@@ -76,37 +81,38 @@ def run_lengths(
     )
 
 
+def _longer(prior: Column, later: Column, time: str, seconds: float) -> Column:
+    """Whether two rows lie further apart than ``seconds``; false without one."""
+    return F.coalesce(seconds_between(prior[time], later[time]) > seconds, F.lit(False))
+
+
 def _flag_rows(
-    df: DataFrame, max_gap_s: float, depth_cutoff: float, key: str, time: str, tie: str,
-    depth: str, slice_s: int,
+    rows: DataFrame, max_gap_s: float, depth_cutoff: float, key: str, time: str, tie: str, depth: str
 ) -> DataFrame:
     """Number the gap chunk and the surface/submerged run of every row."""
-    rows = with_slice(df.select(key, time, tie, depth), slice_s, time)
-    near = with_neighbours(rows, [depth], [key], (time, tie))
-    prior, later = F.col("before"), F.col("after")
 
-    def under(value: Column) -> Column:
-        return F.coalesce(value >= F.lit(depth_cutoff), F.lit(False))
+    def under(row: Column) -> Column:
+        return F.coalesce(row[depth] >= F.lit(depth_cutoff), F.lit(False))
+
+    def gap(prior: Column, row: Column) -> Column:
+        return _longer(prior, row, time, max_gap_s)
 
-    gap_before = F.coalesce(seconds_between(prior[time], F.col(time)) > max_gap_s, F.lit(False))
-    gap_after = F.coalesce(seconds_between(F.col(time), later[time]) > max_gap_s, F.lit(False))
-    flagged = near.withColumns(
+    def turns(prior: Column, row: Column) -> Column:
+        return prior.isNull() | gap(prior, row) | (under(row) != under(prior))
+
+    near = with_neighbours(
+        rows, [depth], [key], (time, tie), counts={"chunk": gap, "run": turns}
+    )
+    here, prior, later = F.struct(time, depth), F.col("before"), F.col("after")
+    return near.withColumns(
         {
-            "gap": gap_before,
-            "opens": prior.isNull() | gap_before,
-            "closes": later.isNull() | gap_after,
-            "submerged": under(F.col(depth)),
-            "under_before": under(prior[depth]),
-            "under_after": under(later[depth]),
+            "opens": prior.isNull() | gap(prior, here),
+            "closes": later.isNull() | gap(here, later),
+            "submerged": under(here),
+            "under_before": under(prior),
+            "under_after": under(later),
         }
     ).drop("before", "after")
-    turns = F.col("opens") | (F.col("submerged") != F.col("under_before"))
-    return running_sums(
-        flagged,
-        {"chunk": F.col("gap").cast("long"), "run": turns.cast("long")},
-        [key],
-        (time, tie),
-    )
 
 
 def dive_chunks(
@@ -127,11 +133,13 @@ def dive_chunks(
     maximum depth of at least ``dive_depth``.
     """
     rows = with_slice(df.select(key, time, tie, depth), slice_s, time)
-    near = with_neighbours(rows, [], [key], (time, tie))
-    gap = F.coalesce(
-        seconds_between(F.col("before")[time], F.col(time)) > max_gap_s, F.lit(False)
+    numbered = with_neighbours(
+        rows,
+        [],
+        [key],
+        (time, tie),
+        counts={"chunk": lambda prior, row: _longer(prior, row, time, max_gap_s)},
     )
-    numbered = running_sums(near, {"chunk": gap.cast("long")}, [key], (time, tie))
     place = F.struct(time, tie, depth)
     return (
         numbered.groupBy(key, "chunk")
@@ -181,7 +189,10 @@ def dive_segments(
     ``min_points`` rows after its first.  A surface row between two dives
     belongs to the later one.  Other rows carry NULL.
     """
-    rows = _flag_rows(df, max_gap_s, depth_cutoff, key, time, tie, depth, slice_s)
+    rows = with_slice(df.select(key, time, tie, depth), slice_s, time)
+    # Read three times below; written once instead of being worked out thrice.
+    shared_dir(df.sparkSession)
+    rows = _flag_rows(rows, max_gap_s, depth_cutoff, key, time, tie, depth).checkpoint()
 
     # One row per run and slice, then per run, then per chunk.
     pieces = rows.groupBy(key, SLICE, "chunk", "run").agg(
@@ -209,16 +220,23 @@ def dive_segments(
     runs = runs.join(deep, [key, "chunk"]).withColumn(
         "is_dive", F.col("submerged") & (steps > min_points)
     )
-    counted = running_sums(
-        runs, {"count": F.col("is_dive").cast("long")}, [key, "chunk"], ("run",)
-    ).withColumn("own", F.when(F.col("is_dive"), F.col("count")))
-    numbered = with_neighbours(counted, ["own"], [key, "chunk"], ("run",)).select(
+    near = with_neighbours(
+        runs,
+        ["is_dive"],
+        [key, "chunk"],
+        ("run",),
+        counts={"count": lambda prior, run: run["is_dive"]},
+    )
+    # Dives before a run, itself included, give its own number and those of the
+    # runs on either side.
+    count, is_dive = F.col("count"), F.col("is_dive")
+    numbered = near.select(
         key,
         "chunk",
         "run",
-        F.col("own"),
-        F.col("before")["own"].alias("own_before"),
-        F.col("after")["own"].alias("own_after"),
+        F.when(is_dive, count).alias("own"),
+        F.when(F.col("before")["is_dive"], count - is_dive.cast("long")).alias("own_before"),
+        F.when(F.col("after")["is_dive"], count + 1).alias("own_after"),
         F.lit(True).alias("_deep"),
     )
     # Spread the numbers over the slices a run touches, so that the join back

@@ -12,11 +12,14 @@ The slice width decides how rows are spread, never what comes out.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A condition on the previous and the current row, given as structs.
+Flag = Callable[[Column, Column], Column]
+
 SLICE = "slice_no"
 DAY_S = 86_400
 # Rows of one slice that a single task sorts comfortably.
@@ -68,40 +71,89 @@ def with_neighbours(
     columns: Sequence[str],
     keys: Sequence[str] = ("tag_id",),
     order: Sequence[str] = ("datetime", "foid"),
-    before: str = "before",
-    after: str = "after",
+    reach: int = 1,
+    counts: Mapping[str, Flag] | None = None,
 ) -> DataFrame:
-    """Add the previous and next row of the same key as structs.
+    """Add the rows around each row of the same key, as structs.
+
+    ``before`` and ``after`` hold ``order`` and ``columns`` of the previous and
+    next row, NULL at the ends; with a ``reach`` of 2 ``before2`` and
+    ``after2`` hold the ones beyond.  ``counts`` adds running counts (current
+    row included) of rows for which a flag, a function of the previous and the
+    current row, is true; for the very first row the previous one is NULL.
 
-    Each struct holds ``order`` and ``columns`` and is NULL at the ends.
     ``rows`` must carry the slice number, rising with ``order``.
     """
+    counts = counts or {}
     here = F.struct(*order, *columns)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(SLICE)
-    edges = (
-        rows.groupBy(*keys, SLICE)
-        .agg(F.min(here).alias("_first"), F.max(here).alias("_last"))
-        .select(
-            *keys,
-            SLICE,
-            F.lag("_last").over(across).alias("_prior_slice"),
-            F.lead("_first").over(across).alias("_later_slice"),
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+
+    near = {"before": F.lag(here).over(inside), "after": F.lead(here).over(inside)}
+    if reach == 2:
+        near |= {"before2": F.lag(here, 2).over(inside), "after2": F.lead(here, 2).over(inside)}
+    shifted = rows.withColumns(near)
+
+    def as_count(flag: Column) -> Column:
+        return F.coalesce(flag.cast("long"), F.lit(0).cast("long"))
+
+    # Inside a slice every row but the first knows its previous row.
+    marks = {
+        name: F.when(F.col("before").isNull(), F.lit(0).cast("long")).otherwise(
+            as_count(flag(F.col("before"), here))
         )
+        for name, flag in counts.items()
+    }
+    edges = shifted.groupBy(*keys, SLICE).agg(
+        F.min(F.struct(here.alias("at"), F.col("after").alias("next"))).alias("_first"),
+        F.max(F.struct(here.alias("at"), F.col("before").alias("prior"))).alias("_last"),
+        *[F.sum(mark).alias(f"_in_{name}") for name, mark in marks.items()],
     )
-    shifted = rows.withColumns(
-        {before: F.lag(here).over(inside), after: F.lead(here).over(inside)}
-    )
-    return (
-        _carry(shifted, edges, keys)
-        .withColumns(
+    first, last = F.col("_first"), F.col("_last")
+    carried = {
+        "_before": F.lag(last["at"]).over(across),
+        "_after": F.lead(first["at"]).over(across),
+    }
+    if reach == 2:
+        carried |= {
+            "_before2": F.coalesce(
+                F.lag(last["prior"]).over(across), F.lag(last["at"], 2).over(across)
+            ),
+            "_after2": F.coalesce(
+                F.lead(first["next"]).over(across), F.lead(first["at"], 2).over(across)
+            ),
+        }
+    edges = edges.withColumns(carried)
+    if counts:
+        edges = edges.withColumns(
+            {f"_at_{n}": as_count(flag(F.col("_before"), first["at"])) for n, flag in counts.items()}
+        )
+        edges = edges.withColumns(
             {
-                before: F.coalesce(before, "_prior_slice"),
-                after: F.coalesce(after, "_later_slice"),
+                f"_off_{n}": F.col(f"_at_{n}")
+                + F.coalesce(F.sum(F.col(f"_in_{n}") + F.col(f"_at_{n}")).over(earlier), F.lit(0))
+                for n in counts
             }
         )
-        .drop("_prior_slice", "_later_slice")
-    )
+        shifted = shifted.withColumns({n: F.sum(mark).over(so_far) for n, mark in marks.items()})
+    passed = [*carried, *[f"_off_{n}" for n in counts]]
+    joined = _carry(shifted, edges.select(*keys, SLICE, *passed), keys)
+
+    whole = {
+        "before": F.coalesce("before", "_before"),
+        "after": F.coalesce("after", "_after"),
+        **{n: F.col(n) + F.col(f"_off_{n}") for n in counts},
+    }
+    if reach == 2:
+        # The second row of a slice has one neighbour inside and one outside.
+        for side in ("before", "after"):
+            outside = F.when(F.col(side).isNotNull(), F.col(f"_{side}")).otherwise(
+                F.col(f"_{side}2")
+            )
+            whole[f"{side}2"] = F.coalesce(F.col(f"{side}2"), outside)
+    return joined.withColumns(whole).drop(*passed)
 
 
 def running_sums(

@@ -12,6 +12,7 @@ from .slices import DAY_S, SLICE, running_sums, with_neighbours, with_slice
 
 # Fixed value: highest plausible speed of a bird, in metres per second.
 VMAX_MS = 25.0
+AROUND = ("before", "after", "before2", "after2")
 
 
 def _with_rms(rows: DataFrame, key: str) -> DataFrame:
@@ -21,17 +22,15 @@ def _with_rms(rows: DataFrame, key: str) -> DataFrame:
     a time difference has no speed and leaves NULL as well.
     """
     order = ("datetime", "foid")
-    one = with_neighbours(rows, ["lat", "lon"], [key], order)
-    two = with_neighbours(one, ["before", "after"], [key], order, "_b", "_a")
+    near = with_neighbours(rows, ["lat", "lon"], [key], order, reach=2)
 
     def speed(other: Column) -> Column:
         metres = distance_m(F.col("lat"), F.col("lon"), other["lat"], other["lon"])
         return metres / F.nullif(F.abs(seconds_between(F.col("datetime"), other["datetime"])), F.lit(0.0))
 
-    around = [F.col("before"), F.col("after"), F.col("_b")["before"], F.col("_a")["after"]]
-    squares = [speed(o) * speed(o) for o in around]
+    squares = [speed(F.col(c)) * speed(F.col(c)) for c in AROUND]
     total = squares[0] + squares[1] + squares[2] + squares[3]
-    return two.withColumn("rms_speed", F.sqrt(total / 4.0)).drop("before", "after", "_b", "_a")
+    return near.withColumn("rms_speed", F.sqrt(total / 4.0)).drop(*AROUND)
 
 
 def rms_speed(fixes: DataFrame, key: str = "uni_id", slice_s: int = DAY_S) -> DataFrame:
@@ -93,9 +92,8 @@ def speed_filter(
 
 def _labelled(fixes: DataFrame, removed: DataFrame, key: str, slice_s: int) -> DataFrame:
     order = ("datetime", "foid")
-    near = with_neighbours(with_slice(fixes, slice_s), [], [key], order)
-    near = with_neighbours(near, ["before", "after"], [key], order, "_b", "_a")
-    at_end = F.col("_b")["before"].isNull() | F.col("_a")["after"].isNull()
+    near = with_neighbours(with_slice(fixes, slice_s), [], [key], order, reach=2)
+    at_end = F.col("before2").isNull() | F.col("after2").isNull()
     marked = near.join(
         removed.withColumn("_gone", F.lit(True)), [key, "datetime", "foid"], "left"
     )

@@ -54,8 +54,10 @@ def weekly_status(
     )
     drifting = drift.flag_surface_drift(known, drift_step_s, drift_steps, slice_s=slice_s)
     unique = clean.keep_first(clean.trailing(drifting, as_of, hours))
+    # Dives do not need the drift flag, so their rows take the short way.
+    depths = clean.keep_first(clean.trailing(known, as_of, hours))
     dives = segments.dive_segments(
-        clean.depth_rows(unique),
+        clean.depth_rows(depths),
         depth_cutoff,
         dive_depth,
         max_gap_s,

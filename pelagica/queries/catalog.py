@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import deployed, records, sequences  # noqa: F401
+from . import calibrations, deployed, files, geometry, records, sequences, streams  # noqa: F401
 from .registry import checks, queries
 
 __all__ = ["checks", "queries"]
