@@ -60,11 +60,23 @@ def _frames(key: str, seen: dict[object, np.ndarray]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({key: group, "x": points[:, 0], "y": points[:, 1]})
 
 
+def ring_area(points: np.ndarray) -> float:
+    """Area of a closed ring, zero for fewer than three corners."""
+    x, y = points[:, 0], points[:, 1]
+    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2.0)
+
+
 def _of_group(key: str):
     def corners(groups: tuple, part: pd.DataFrame) -> pd.DataFrame:
         points = hull_points(part[["x", "y"]].to_numpy())
         return pd.DataFrame(
-            {key: groups[0], "ordinal": np.arange(1, len(points) + 1), "x": points[:, 0], "y": points[:, 1]}
+            {
+                key: groups[0],
+                "ordinal": np.arange(1, len(points) + 1),
+                "x": points[:, 0],
+                "y": points[:, 1],
+                "area": ring_area(points),
+            }
         )
 
     return corners
@@ -85,31 +97,24 @@ def convex_hull(
     placed = placed.dropna()
     task_level = placed.mapInPandas(_candidates(key), f"{key} {key_type}, x double, y double")
     part = F.pmod(F.hash("x", "y"), F.lit(fan)).alias("part")
-    shape = f"{key} {key_type}, ordinal long, x double, y double"
+    shape = f"{key} {key_type}, ordinal long, x double, y double, area double"
     part_level = task_level.groupBy(key, part).applyInPandas(_of_group(key), shape)
-    corners = part_level.groupBy(key).applyInPandas(_of_group(key), shape)
-    return corners.join(hull_polygons(corners, key).select(key, "area"), key)
+    return part_level.groupBy(key).applyInPandas(_of_group(key), shape)
 
 
 def hull_polygons(corners: DataFrame, key: str) -> DataFrame:
-    """One row per hull: its corners as an array, bounding box and area."""
+    """One row per hull: its corners as an array, and its bounding box."""
     ordered = F.transform(
         F.sort_array(F.collect_list(F.struct("ordinal", "x", "y"))),
         lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")),
     )
-    shapes = corners.groupBy(key).agg(
+    return corners.groupBy(key).agg(
         ordered.alias("ring"),
         F.min("x").alias("x_min"),
         F.max("x").alias("x_max"),
         F.min("y").alias("y_min"),
         F.max("y").alias("y_max"),
     )
-    doubled = F.aggregate(
-        _edges("ring"),
-        F.lit(0.0),
-        lambda total, e: total + e["ax"] * e["by"] - e["bx"] * e["ay"],
-    )
-    return shapes.withColumn("area", F.abs(doubled) / 2.0)
 
 
 def _edges(ring: str) -> Column:

@@ -322,7 +322,9 @@ def surface_intervals(
     dives: DataFrame, key: str = "tag_id", slice_s: int = DAY_S
 ) -> DataFrame:
     """Time from the end of each dive to the start of the tag's next one."""
-    bouts = with_slice(dive_bouts(dives, key), slice_s, "dive_start")
+    # One small row per dive, looked at from both sides: written once.
+    shared_dir(dives.sparkSession)
+    bouts = with_slice(dive_bouts(dives, key), slice_s, "dive_start").checkpoint()
     near = with_neighbours(bouts, [], [key], ("dive_start", "dive_chunk", "dive_no"))
     return near.select(
         key,

@@ -221,11 +221,15 @@ def fill_from_neighbours(
             .over(across.rowsBetween(1, Window.unboundedFollowing))
             .alias("_carry_following")
         )
-    edges = (
-        rows.groupBy(*keys, SLICE)
+    # Slices without a value need the carry too; they are listed on their own,
+    # so that only rows with a value are reduced.
+    extremes = (
+        rows.filter(F.col(value).isNotNull())
+        .groupBy(*keys, SLICE)
         .agg(F.max(value).alias("_max"), F.min(value).alias("_min"))
-        .select(*keys, SLICE, *carried)
     )
+    present = rows.select(*keys, SLICE).distinct()
+    edges = present.join(extremes, [*keys, SLICE], "left").select(*keys, SLICE, *carried)
     joined = _carry(rows.withColumns(filled), edges, keys)
     if last:
         joined = joined.withColumn(last, F.coalesce(last, "_carry_last"))

@@ -36,17 +36,23 @@ def tag_summary(
     keys: Sequence[str] = ("project_id", "tag_id"),
     drift: bool = False,
     dives: bool = False,
+    types: Sequence[str] = (),
 ) -> DataFrame:
     """Times, depths, sensors and duration per group.
 
     ``drift`` adds the number of surface-drift rows and ``dives`` the number of
-    distinct dive chunks; both columns must then be present.
+    distinct dive chunks; both columns must then be present.  ``types`` adds
+    the number of rows of each record type, NULL where there are none, in the
+    same pass.
     """
     columns = _summary_columns()
     if drift:
         columns.append(F.sum("gps_surfacedrifts").alias("gps_surfacedrift_pts"))
     if dives:
         columns.append(F.countDistinct("dive_chunk").alias("n_depth"))
+    for name in types:
+        rows = F.count(F.when(F.col("datatype") == name, 1))
+        columns.append(F.nullif(rows, F.lit(0)).alias(name))
     seconds = seconds_between("min_dt", "max_dt")
     return (
         records.groupBy(*keys)

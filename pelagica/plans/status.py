@@ -24,10 +24,7 @@ def daily_status(
     as_of = as_of if as_of is not None else clean.latest_time(records)
     recent = clean.trailing(records, as_of, hours)
     known = deployments.join_latest_deployment(recent, deployment_table, ["project_id"])
-    unique = clean.keep_first(known)
-    report = summary.tag_summary(unique)
-    wide = summary.datatype_pivot(summary.datatype_counts(unique), types)
-    return report.join(wide, "tag_id", "left")
+    return summary.tag_summary(clean.keep_first(known), types=types)
 
 
 def weekly_status(
@@ -65,6 +62,5 @@ def weekly_status(
         slice_s=slice_s,
     )
     rate = segments.mean_daily_dives(segments.daily_dives(dives))
-    report = summary.tag_summary(unique, ("project_id", "tag_id"), drift=True)
-    wide = summary.datatype_pivot(summary.datatype_counts(unique), types)
-    return report.join(rate, "tag_id", "left").join(wide, "tag_id", "left")
+    report = summary.tag_summary(unique, drift=True, types=types)
+    return report.join(rate, "tag_id", "left")

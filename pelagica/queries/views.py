@@ -37,28 +37,25 @@ SELECT event_id AS foid, user_id AS tag_id, CAST(ts AS timestamp) AS datetime,
 FROM {events}""",
     # Field table of deployments: one to three per tag, the last often open.
     "deployments": """
-SELECT s.s_suppkey AS tag_id, d.dep_no,
-  'B' || CAST(s.s_suppkey AS string) || '_' || CAST(d.dep_no AS string) AS bird_id,
-  'P' || CAST(CASE WHEN d.dep_no = 1 THEN n.n_regionkey ELSE (n.n_regionkey + 1) % 5 END AS string)
-    AS project_id,
-  d.dep_start,
-  CASE WHEN d.dep_no = d.n_deps AND n.n_nationkey < 12 THEN NULL ELSE d.dep_end END AS dep_end,
-  n.n_nationkey - 12 AS utc_offset
+SELECT tag_id, dep_no,
+  'B' || CAST(tag_id AS string) || '_' || CAST(dep_no AS string) AS bird_id,
+  'P' || CAST((region_no + CASE WHEN dep_no = 1 THEN 0 ELSE 1 END) % 5 AS string) AS project_id,
+  dep_start, CASE WHEN dep_no = n_deps AND region_no < 12 THEN NULL ELSE dep_end END AS dep_end,
+  region_no - 12 AS utc_offset
 FROM (
-  SELECT s_suppkey, 1 AS dep_no, timestamp '2024-01-02 00:00:00' AS dep_start,
-    timestamp '2024-01-11 00:00:00' AS dep_end,
-    CASE WHEN s_acctbal >= 6000 THEN 3 WHEN s_acctbal >= 3000 THEN 2 ELSE 1 END AS n_deps
+  SELECT s_suppkey AS tag_id, s_nationkey AS region_no, 1 AS dep_no,
+    CASE WHEN s_acctbal >= 6000 THEN 3 WHEN s_acctbal >= 3000 THEN 2 ELSE 1 END AS n_deps,
+    timestamp '2024-01-02 00:00:00' AS dep_start, timestamp '2024-01-11 00:00:00' AS dep_end
   FROM {supplier}
   UNION ALL
-  SELECT s_suppkey, 2, timestamp '2024-01-12 00:00:00', timestamp '2024-01-21 00:00:00',
-    CASE WHEN s_acctbal >= 6000 THEN 3 ELSE 2 END
+  SELECT s_suppkey, s_nationkey, 2, CASE WHEN s_acctbal >= 6000 THEN 3 ELSE 2 END,
+    timestamp '2024-01-12 00:00:00', timestamp '2024-01-21 00:00:00'
   FROM {supplier} WHERE s_acctbal >= 3000
   UNION ALL
-  SELECT s_suppkey, 3, timestamp '2024-01-22 00:00:00', timestamp '2024-01-31 00:00:00', 3
+  SELECT s_suppkey, s_nationkey, 3, 3,
+    timestamp '2024-01-22 00:00:00', timestamp '2024-01-31 00:00:00'
   FROM {supplier} WHERE s_acctbal >= 6000
-) d
-JOIN {supplier} s ON s.s_suppkey = d.s_suppkey
-JOIN {nation} n ON n.n_nationkey = s.s_nationkey""",
+) d""",
     # One transmitted file per tag and day.
     "files": """
 SELECT CAST(user_id AS string) || '_GPRS_' || replace(CAST(CAST(ts AS date) AS string), '-', '')

@@ -36,12 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="pelagica-")
-    context.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pelagica-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -34,8 +34,10 @@ NUMBER_COLUMNS = {
 ALIASES = {"conductivity_mS/cm": ("conductivity_mS.cm", "conductivity_mS_cm")}
 TIME_COLUMNS = ("UTC_datetime", "UTC_timestamp")
 DATE_AND_TIME = ("UTC_date", "UTC_time")
+ALL_COLUMNS = (*TIME_COLUMNS, *DATE_AND_TIME, *TEXT_COLUMNS, *NUMBER_COLUMNS)
 HEADER_MARK = "device_id"
-MAX_COLUMNS = 64
+COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+QUOTE_AT_END = r'^\s*"|"\s*$'
 # Smallest size, in bytes, of a file that holds more than its header.
 MIN_FILE_BYTES = 309
 
@@ -52,8 +54,8 @@ def read_tags(
     """Read logger files into one table with fixed columns, matched by name.
 
     Spark's CSV reader maps columns by position once a schema is given, which
-    swaps columns when files differ.  Here every line is split with
-    ``from_csv`` and each file's own header line says where a column stands.
+    swaps columns when files differ.  Here every line is split at its commas
+    and each file's own header line says where a column stands.
     Short rows and absent columns give NULL, as do values that do not parse.
 
     ``name_column`` and ``project`` are expressions over the file metadata
@@ -75,15 +77,22 @@ def read_tags(
         )
         .filter(F.col("file_size") > min_bytes)
     )
-    fields = ", ".join(f"c{i} STRING" for i in range(MAX_COLUMNS))
-
     def split(text: str) -> Column:
-        parsed = F.from_csv(text, F.lit(fields))
-        return F.array(*[parsed[f"c{i}"] for i in range(MAX_COLUMNS)])
+        quoted = F.transform(
+            F.split(text, COMMA_OUTSIDE_QUOTES), lambda c: F.regexp_replace(c, QUOTE_AT_END, "")
+        )
+        return F.when(F.col(text).contains('"'), quoted).otherwise(F.split(text, ","))
 
+    def place(*spellings: str) -> Column:
+        """Position of a column in the header, -1 when it is absent."""
+        found = [F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)) for n in spellings]
+        return F.coalesce(*found, F.lit(0)).cast("int") - 1
+
+    wanted = {name: (name, *ALIASES.get(name, ())) for name in ALL_COLUMNS}
     is_header = F.col("value").contains(HEADER_MARK)
     is_record = ~is_header & (F.trim("value") != "")
-    # One small row per input split: the file's header and the rows before.
+    # One small row per input split: where the file's columns stand, and how
+    # many records of the file come before the split.
     in_file = Window.partitionBy("file_path")
     earlier = in_file.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     splits = (
@@ -98,27 +107,29 @@ def read_tags(
             F.max("_header").over(in_file).alias("_header"),
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"),
         )
+        .withColumn("_names", F.transform(split("_header"), F.trim))
+        .select(
+            "file_path",
+            SLICE,
+            "_earlier",
+            F.struct(*[place(*s).alias(f"p{i}") for i, s in enumerate(wanted.values())]).alias("_at"),
+        )
     )
     records = lines.filter(is_record)
     if number_rows:
         in_split = Window.partitionBy("file_path", SLICE).orderBy("_line")
         placed = records.withColumn("_line", F.monotonically_increasing_id())
         records = placed.withColumn("_row", F.row_number().over(in_split))
-    rows = records.join(splits, ["file_path", SLICE]).withColumns(
-        {"_v": split("value"), "_h": F.transform(split("_header"), F.trim)}
-    )
+    rows = records.join(splits, ["file_path", SLICE]).withColumn("_v", split("value"))
     if number_rows:
         rows = rows.withColumn("foid", F.col("_earlier") + F.col("_row"))
 
-    def cell(*names: str) -> Column:
-        found = [
-            F.get("_v", F.array_position("_h", F.lit(name)).cast("int") - 1) for name in names
-        ]
-        return F.nullif(F.trim(F.coalesce(*found)), F.lit(""))
+    def cell(name: str) -> Column:
+        at = F.col("_at")[f"p{list(wanted).index(name)}"]
+        return F.nullif(F.trim(F.get("_v", at)), F.lit(""))
 
     def number(name: str) -> Column:
-        text = cell(name, *ALIASES.get(name, ()))
-        return nan_to_null(text.try_cast("double"))
+        return nan_to_null(cell(name).try_cast("double"))
 
     moments = [parse_either(cell(name)) for name in TIME_COLUMNS]
     moments.append(parse_either(F.concat_ws(" ", cell(DATE_AND_TIME[0]), cell(DATE_AND_TIME[1]))))
