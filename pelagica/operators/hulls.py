@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 # Cross products up to this size count as collinear (degrees squared).
 EPSILON = 1e-12
+# Corners a task keeps in memory before it passes them on.
+MAX_KEPT = 200_000
+
+
+def _turn(a: tuple, b: tuple, c: tuple) -> float:
+    """Positive when ``c`` lies to the left of the line from ``a`` to ``b``."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
 
 def hull_points(points: np.ndarray) -> np.ndarray:
@@ -19,67 +26,102 @@ def hull_points(points: np.ndarray) -> np.ndarray:
     Starts at the lowest x (then lowest y); collinear points are left out.
     """
     points = np.unique(points, axis=0)
+    if len(points) > 64:
+        points = _outer(points)
     if len(points) < 3:
         return points
 
-    def chain(ordered: np.ndarray) -> list[np.ndarray]:
-        kept: list[np.ndarray] = []
+    def chain(ordered: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
         for p in ordered:
-            while len(kept) > 1:
-                (ax, ay), (bx, by) = kept[-2], kept[-1]
-                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > EPSILON:
-                    break
+            while len(kept) > 1 and _turn(kept[-2], kept[-1], p) <= EPSILON:
                 kept.pop()
             kept.append(p)
         return kept[:-1]
 
-    return np.array(chain(points) + chain(points[::-1]))
+    ordered = [tuple(p) for p in points.tolist()]
+    return np.array(chain(ordered) + chain(ordered[::-1]))
+
+
+def _outer(points: np.ndarray) -> np.ndarray:
+    """Leave out points well inside the polygon of the extremes in 16 directions."""
+    angles = np.arange(16) * (np.pi / 8)
+    reach = points @ np.vstack([np.cos(angles), np.sin(angles)])
+    ring = points[reach.argmax(axis=0)]
+    inner = np.ones(len(points), dtype=bool)
+    for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+        if not np.array_equal(a, b):
+            inner &= _turn(a, b, points.T) > EPSILON
+    return points[~inner]
+
+
+def ring_area(points: np.ndarray) -> float:
+    """Area of a closed ring, zero for fewer than three corners."""
+    x, y = points[:, 0], points[:, 1]
+    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2.0)
 
 
-def _candidates(key: str):
-    """Per-task reduction: only corners of what the task has seen so far."""
+def _reduce_by(key: str):
+    """Per-task reduction: of each group only the corners of what was seen."""
+
+    def as_frame(seen: dict[object, np.ndarray]) -> pd.DataFrame:
+        points = np.vstack(list(seen.values()))
+        groups = np.repeat(np.array(list(seen), dtype=object), [len(p) for p in seen.values()])
+        return pd.DataFrame({key: groups, "x": points[:, 0], "y": points[:, 1]})
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[object, np.ndarray] = {}
         for batch in batches:
-            for group, part in batch.groupby(key, sort=False):
-                points = part[["x", "y"]].to_numpy()
+            points = batch[["x", "y"]].to_numpy()
+            for group, rows in batch.groupby(key, sort=False).indices.items():
+                part = points[rows]
                 if group in seen:
-                    points = np.vstack([seen[group], points])
-                seen[group] = hull_points(points)
-            if sum(map(len, seen.values())) > 100_000:
-                yield from _frames(key, seen)
+                    part = np.vstack([seen[group], part])
+                seen[group] = hull_points(part)
+            if sum(map(len, seen.values())) > MAX_KEPT:
+                yield as_frame(seen)
                 seen = {}
-        yield from _frames(key, seen)
+        if seen:
+            yield as_frame(seen)
 
     return reduce_batches
 
 
-def _frames(key: str, seen: dict[object, np.ndarray]) -> Iterator[pd.DataFrame]:
-    for group, points in seen.items():
-        yield pd.DataFrame({key: group, "x": points[:, 0], "y": points[:, 1]})
-
+def _finish(key: str):
+    """Final corners of groups that arrive one after another."""
 
-def ring_area(points: np.ndarray) -> float:
-    """Area of a closed ring, zero for fewer than three corners."""
-    x, y = points[:, 0], points[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2.0)
-
-
-def _of_group(key: str):
-    def corners(groups: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        points = hull_points(part[["x", "y"]].to_numpy())
+    def as_frame(done: list[tuple[object, np.ndarray]]) -> pd.DataFrame:
+        rings = [hull_points(points) for _, points in done]
+        sizes = [len(ring) for ring in rings]
+        points = np.vstack(rings)
         return pd.DataFrame(
             {
-                key: groups[0],
-                "ordinal": np.arange(1, len(points) + 1),
+                key: np.repeat(np.array([group for group, _ in done], dtype=object), sizes),
+                "ordinal": np.concatenate([np.arange(1, n + 1) for n in sizes]),
                 "x": points[:, 0],
                 "y": points[:, 1],
-                "area": ring_area(points),
+                "area": np.repeat([ring_area(ring) for ring in rings], sizes),
             }
         )
 
-    return corners
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: tuple[object, np.ndarray] | None = None
+        for batch in batches:
+            points = batch[["x", "y"]].to_numpy()
+            done = []
+            for group, rows in batch.groupby(key, sort=False).indices.items():
+                part = points[rows]
+                if waiting is not None and waiting[0] == group:
+                    part = np.vstack([waiting[1], part])
+                elif waiting is not None:
+                    done.append(waiting)
+                waiting = (group, part)
+            if done:
+                yield as_frame(done)
+        if waiting is not None:
+            yield as_frame([waiting])
+
+    return finish
 
 
 def convex_hull(
@@ -87,19 +129,22 @@ def convex_hull(
 ) -> DataFrame:
     """Corners of each group's convex hull with their ordinal and the hull's area.
 
-    Points shrink in three steps: to the corners within a task, to the corners
-    within one of ``fan`` parts of a group, and to the corners of the group.
-    The hull of hulls is the hull, so no point that matters is lost and no task
-    receives a whole group.
+    Points shrink in three steps: to the corners of what one task reads, to the
+    corners of one of ``fan`` parts of a group, and to the corners of the
+    group.  The hull of hulls is the hull, so no point that matters is lost and
+    no task receives a whole group.
     """
     key_type = points.schema[key].dataType.simpleString()
-    placed = points.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    placed = placed.dropna()
-    task_level = placed.mapInPandas(_candidates(key), f"{key} {key_type}, x double, y double")
-    part = F.pmod(F.hash("x", "y"), F.lit(fan)).alias("part")
-    shape = f"{key} {key_type}, ordinal long, x double, y double, area double"
-    part_level = task_level.groupBy(key, part).applyInPandas(_of_group(key), shape)
-    return part_level.groupBy(key).applyInPandas(_of_group(key), shape)
+    placed = points.select(
+        key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    ).dropna()
+    shape = f"{key} {key_type}, x double, y double"
+    by_task = placed.mapInPandas(_reduce_by(key), shape)
+    part = F.pmod(F.hash("x", "y"), F.lit(fan))
+    by_part = by_task.repartition(key, part).mapInPandas(_reduce_by(key), shape)
+    corners = f"{key} {key_type}, ordinal long, x double, y double, area double"
+    grouped = by_part.repartition(key).sortWithinPartitions(key)
+    return grouped.mapInPandas(_finish(key), corners)
 
 
 def hull_polygons(corners: DataFrame, key: str) -> DataFrame:

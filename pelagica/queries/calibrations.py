@@ -65,9 +65,9 @@ def calib_index(t: Tables) -> DataFrame:
     "WITH "
     + TODO
     + """,
-tokens AS (SELECT tag_id, d.day_offset, CAST(tag_id AS string) || '_GPRS_' ||
-    strftime(CAST(start_utc AS date) + d.day_offset, '%Y%m%d') AS token
-  FROM todo, (SELECT 0 AS day_offset UNION ALL SELECT 1) d),
+days AS (SELECT tag_id, start_utc, unnest([0, 1]) AS day_offset FROM todo),
+tokens AS (SELECT tag_id, day_offset, CAST(tag_id AS string) || '_GPRS_' ||
+    strftime(CAST(start_utc AS date) + day_offset, '%Y%m%d') AS token FROM days),
 found AS (SELECT k.tag_id, k.token, k.day_offset, f.file_name
   FROM tokens k JOIN {files} f ON starts_with(f.file_name, k.token))
 SELECT * FROM found
