@@ -213,12 +213,16 @@ def fill_from_neighbours(
             .alias("_carry_last")
         )
     if following:
-        filled[following] = F.first(value, ignorenulls=True).over(
-            inside.rowsBetween(1, Window.unboundedFollowing)
+        # Backwards from the end: a frame that grows is linear, one that shrinks
+        # (up to unbounded following) is worked out anew for every row.
+        backwards = Window.partitionBy(*keys, SLICE).orderBy(*[F.col(c).desc() for c in order])
+        from_end = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc())
+        filled[following] = F.last(value, ignorenulls=True).over(
+            backwards.rowsBetween(Window.unboundedPreceding, -1)
         )
         carried.append(
-            F.first("_min", ignorenulls=True)
-            .over(across.rowsBetween(1, Window.unboundedFollowing))
+            F.last("_min", ignorenulls=True)
+            .over(from_end.rowsBetween(Window.unboundedPreceding, -1))
             .alias("_carry_following")
         )
     # Slices without a value need the carry too; they are listed on their own,
