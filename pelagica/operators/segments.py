@@ -194,25 +194,23 @@ def dive_segments(
     shared_dir(df.sparkSession)
     rows = _flag_rows(rows, max_gap_s, depth_cutoff, key, time, tie, depth).checkpoint()
 
-    # One row per run and slice, then per run, then per chunk.
+    # One row per run and slice, then per run; and the chunks deep enough.
     pieces = rows.groupBy(key, SLICE, "chunk", "run").agg(
         F.count("*").alias("n"),
-        F.max(depth).alias("deepest"),
         F.max("opens").alias("opens"),
         F.max("closes").alias("closes"),
         F.max("submerged").alias("submerged"),
     )
     runs = pieces.groupBy(key, "chunk", "run").agg(
         F.sum("n").alias("n"),
-        F.max("deepest").alias("deepest"),
         F.max("opens").alias("opens"),
         F.max("closes").alias("closes"),
         F.max("submerged").alias("submerged"),
         F.min(SLICE).alias(SLICE),
     )
     deep = (
-        runs.groupBy(key, "chunk")
-        .agg(F.sum("n").alias("_n"), F.max("deepest").alias("_deepest"))
+        rows.groupBy(key, "chunk")
+        .agg(F.count("*").alias("_n"), F.max(depth).alias("_deepest"))
         .filter((F.col("_deepest") >= dive_depth) & (F.col("_n") >= min_points))
         .select(key, "chunk")
     )

@@ -7,7 +7,9 @@ boundary along those small rows, and join it back on ``(key, slice)``.  Both
 sides of that join already are clustered the same way, so the rows are
 shuffled once however many of these steps are chained.
 
-The slice width decides how rows are spread, never what comes out.
+The slice width decides how rows are spread, never what comes out.  Rows whose
+key is NULL belong to no timeline and are left out; rows without a time come
+first.
 """
 
 from __future__ import annotations
@@ -63,7 +65,9 @@ def with_slice(df: DataFrame, slice_s: int = DAY_S, time: str = "datetime") -> D
 def _carry(
     rows: DataFrame, summary: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    return rows.join(summary, [*keys, SLICE], "left")
+    # An inner join puts the same filter on both sides, so that rows and summary
+    # read one and the same shuffle.  Every row's slice has its summary.
+    return rows.join(summary, [*keys, SLICE])
 
 
 def with_neighbours(
@@ -106,9 +110,16 @@ def with_neighbours(
         )
         for name, flag in counts.items()
     }
+    # One row of a slice has no previous row in it and one has no next row.
+    opening = F.when(
+        F.col("before").isNull(), F.struct(here.alias("at"), F.col("after").alias("next"))
+    )
+    closing = F.when(
+        F.col("after").isNull(), F.struct(here.alias("at"), F.col("before").alias("prior"))
+    )
     edges = shifted.groupBy(*keys, SLICE).agg(
-        F.min(F.struct(here.alias("at"), F.col("after").alias("next"))).alias("_first"),
-        F.max(F.struct(here.alias("at"), F.col("before").alias("prior"))).alias("_last"),
+        F.first(opening, ignorenulls=True).alias("_first"),
+        F.first(closing, ignorenulls=True).alias("_last"),
         *[F.sum(mark).alias(f"_in_{name}") for name, mark in marks.items()],
     )
     first, last = F.col("_first"), F.col("_last")
