@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import distance_m
 from ..functions.time import seconds_between
 from ..session import shared_dir
-from .slices import DAY_S, SLICE, running_sums, with_neighbours, with_slice
+from .clean import union_by_name
+from .slices import (
+    DAY_S,
+    SLICE,
+    fill_from_neighbours,
+    running_sums,
+    with_neighbours,
+    with_slice,
+)
 
 # Fixed value: highest plausible speed of a bird, in metres per second.
 VMAX_MS = 25.0
+ORDER = ("datetime", "foid")
 AROUND = ("before", "after", "before2", "after2")
 
 
-def _with_rms(rows: DataFrame, key: str) -> DataFrame:
-    """Root-mean-square speed to the two fixes before and the two after.
+def _rated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the root-mean-square speed and the place in the track.
 
-    NULL where a track has fewer than two fixes on either side.  A step without
-    a time difference has no speed and leaves NULL as well.
+    The speed is over the steps to the two fixes before and the two after, and
+    NULL where a track has fewer on either side or a step takes no time.
     """
-    order = ("datetime", "foid")
-    near = with_neighbours(rows, ["lat", "lon"], [key], order, reach=2)
+    near = with_neighbours(
+        rows, ["lat", "lon"], keys, ORDER, reach=2, counts={"place": lambda prior, row: F.lit(True)}
+    )
 
     def speed(other: Column) -> Column:
         metres = distance_m(F.col("lat"), F.col("lon"), other["lat"], other["lon"])
-        return metres / F.nullif(F.abs(seconds_between(F.col("datetime"), other["datetime"])), F.lit(0.0))
+        seconds = F.abs(seconds_between(F.col("datetime"), other["datetime"]))
+        return metres / F.nullif(seconds, F.lit(0.0))
 
     squares = [speed(F.col(c)) * speed(F.col(c)) for c in AROUND]
     total = squares[0] + squares[1] + squares[2] + squares[3]
@@ -35,24 +48,72 @@ def _with_rms(rows: DataFrame, key: str) -> DataFrame:
 
 def rms_speed(fixes: DataFrame, key: str = "uni_id", slice_s: int = DAY_S) -> DataFrame:
     """Add ``rms_speed`` (m/s) to every fix; the two at each end have none."""
-    return _with_rms(with_slice(fixes, slice_s), key).drop(SLICE)
+    return _rated(with_slice(fixes, slice_s), [key]).drop(SLICE, "place")
 
 
-def _peaks(rows: DataFrame, key: str, vmax: float) -> DataFrame:
-    """The fastest fix of every run of fixes above ``vmax``.
+def _peaks(rows: DataFrame, keys: Sequence[str], vmax: float) -> DataFrame:
+    """The fastest fix of every run of fixes above ``vmax``, the first on a tie.
 
     Only rows above the limit are looked at: two of them are neighbours exactly
-    when their positions in the track follow each other.
+    when their places in the track follow each other.
     """
     over = rows.filter(F.col("rms_speed") > vmax)
-    ranked = running_sums(over, {"rank": F.lit(1).cast("long")}, [key])
+    ranked = running_sums(over, {"rank": F.lit(1).cast("long")}, keys)
     earliest = F.struct("rms_speed", (-F.col("place")).alias("neg"))
     return (
-        ranked.groupBy(key, (F.col("place") - F.col("rank")).alias("run"))
+        ranked.groupBy(*keys, (F.col("place") - F.col("rank")).alias("run"))
         .agg(F.max(earliest).alias("peak"))
-        .select(key, (-F.col("peak")["neg"]).alias("place"))
+        .select(*keys, (-F.col("peak")["neg"]).alias("place"))
+    )
+
+
+def _near_peaks(rated: DataFrame, key: str, vmax: float, rounds: int) -> DataFrame:
+    """The stretches of track that ``rounds`` rounds can change, numbered.
+
+    Removing a fix changes the speed of the two fixes on either side, so after
+    n rounds nothing farther than 2n places from a fix above the limit has
+    changed.  Four more fixes on each side are kept as neighbours; ``fixed``
+    marks what cannot change.
+    """
+    marked = rated.withColumn(
+        "_over", F.when(F.col("rms_speed") > vmax, F.struct(*ORDER, "place"))
+    )
+    filled = fill_from_neighbours(marked, "_over", [key], ORDER, last="_last", following="_next")
+    away = F.least(
+        F.col("place") - F.col("_last")["place"], F.col("_next")["place"] - F.col("place")
+    )
+    kept = (
+        filled.withColumn("_away", away)
+        .filter(F.col("_away") <= 2 * rounds + 4)
+        .withColumn("fixed", F.col("_away") > 2 * rounds)
+        .drop("_over", "_last", "_next", "_away")
     )
 
+    def starts(prior: Column, row: Column) -> Column:
+        return prior.isNull() | (row["place"] - prior["place"] > 1)
+
+    return with_neighbours(kept, ["place"], [key], ORDER, counts={"stretch": starts}).drop(
+        "before", "after"
+    )
+
+
+def _settle(
+    stretches: DataFrame, key: str, vmax: float, rounds: int
+) -> tuple[list[DataFrame], bool]:
+    """Remove peaks for up to ``rounds`` rounds; the removed, and whether all are gone."""
+    keys, removed, state = [key, "stretch"], [], stretches
+    for _ in range(rounds):
+        peaks = _peaks(state, keys, vmax).checkpoint()
+        if peaks.isEmpty():
+            return removed, True
+        removed.append(state.join(peaks, [*keys, "place"], "left_semi").select(key, *ORDER))
+        changing = state.join(peaks.select(*keys), keys, "left_semi")
+        rest = changing.join(peaks, [*keys, "place"], "left_anti").drop("rms_speed", "place")
+        rated = _rated(rest, keys)
+        speed = F.when(~F.col("fixed"), F.col("rms_speed"))
+        state = rated.withColumn("rms_speed", speed).checkpoint()
+    return removed, False
+
 
 def speed_filter(
     fixes: DataFrame,
@@ -60,39 +121,42 @@ def speed_filter(
     key: str = "uni_id",
     slice_s: int = DAY_S,
     keep_removed: bool = False,
+    rounds: int = 8,
 ) -> DataFrame:
     """Remove the peak of every run above ``vmax`` until no fix is above it.
 
-    The number of rounds depends on the data, so this operator runs jobs: each
-    round writes the tracks that still change to the shared checkpoint folder
-    and goes on with those only.  Tracks without a fix above the limit are
-    final.  With ``keep_removed`` all fixes come back with a ``mfilter`` label
+    How many rounds that takes depends on the data, so this operator runs jobs.
+    All fixes are rated once; the rounds then work on the stretches around fixes
+    above the limit, a small part of the data, and of those only on the ones
+    that still change.  If ``rounds`` rounds were not enough the remaining fixes
+    are rated again; there is no limit on how often.  What passes from round to
+    round is written to the shared checkpoint folder.
+
+    With ``keep_removed`` all fixes come back with a ``mfilter`` label
     (``removed``, ``end_location`` for the two fixes at each end, else ``not``).
     """
     shared_dir(fixes.sparkSession)
     columns = fixes.columns
-    narrow = with_slice(fixes.select(key, "datetime", "foid", "lat", "lon"), slice_s)
-    active, removed = narrow, None
-    while True:
-        rated = _with_rms(active, key)
-        rated = running_sums(rated, {"place": F.lit(1).cast("long")}, [key]).checkpoint()
-        peaks = _peaks(rated, key, vmax).checkpoint()
-        if peaks.isEmpty():
-            break
-        gone = rated.join(peaks, [key, "place"], "left_semi").select(key, "foid", "datetime")
-        removed = gone if removed is None else removed.unionByName(gone)
-        changing = rated.join(peaks.select(key), key, "left_semi")
-        active = changing.join(peaks, [key, "place"], "left_anti").select(*narrow.columns)
-    if removed is None:
-        removed = narrow.limit(0).select(key, "foid", "datetime")
-    if not keep_removed:
-        return fixes.join(removed, [key, "datetime", "foid"], "left_anti").select(*columns)
-    return _labelled(fixes, removed, key, slice_s).select(*columns, "mfilter")
+    alive = with_slice(fixes.select(key, *ORDER, "lat", "lon"), slice_s)
+    removed: list[DataFrame] = []
+    settled = False
+    while not settled:
+        rated = _rated(alive, [key]).checkpoint()
+        stretches = _near_peaks(rated, key, vmax, rounds).checkpoint()
+        gone, settled = _settle(stretches, key, vmax, rounds)
+        removed += gone
+        if not settled:
+            alive = rated.drop("rms_speed", "place").join(
+                union_by_name(gone), [key, *ORDER], "left_anti"
+            )
+    out = union_by_name(removed) if removed else alive.limit(0).select(key, *ORDER)
+    if keep_removed:
+        return _labelled(fixes, out, key, slice_s).select(*columns, "mfilter")
+    return fixes.join(out, [key, *ORDER], "left_anti").select(*columns)
 
 
 def _labelled(fixes: DataFrame, removed: DataFrame, key: str, slice_s: int) -> DataFrame:
-    order = ("datetime", "foid")
-    near = with_neighbours(with_slice(fixes, slice_s), [], [key], order, reach=2)
+    near = with_neighbours(with_slice(fixes, slice_s), [], [key], ORDER, reach=2)
     at_end = F.col("before2").isNull() | F.col("after2").isNull()
     marked = near.join(
         removed.withColumn("_gone", F.lit(True)), [key, "datetime", "foid"], "left"
