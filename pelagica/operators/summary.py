@@ -103,14 +103,21 @@ def extent(
     lat: str = "lat",
     lon: str = "lon",
     margin: float = EXTENT_MARGIN_DEG,
+    birds: bool = False,
 ) -> DataFrame:
-    """Bounding box per group, widened by a margin."""
-    return fixes.groupBy(*keys).agg(
+    """Bounding box per group, widened by a margin.
+
+    ``birds`` adds the number of fixes and of animals in the same pass.
+    """
+    columns = [
         (F.min(lat) - margin).alias("y_min"),
         (F.max(lat) + margin).alias("y_max"),
         (F.min(lon) - margin).alias("x_min"),
         (F.max(lon) + margin).alias("x_max"),
-    )
+    ]
+    if birds:
+        columns += [F.count("*").alias("n_rows"), F.countDistinct("uni_id").alias("n_birds")]
+    return fixes.groupBy(*keys).agg(*columns)
 
 
 def legacy_extent(track: DataFrame, keys: Sequence[str] = ("species",)) -> DataFrame:

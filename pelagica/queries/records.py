@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import maths, text, time
-from ..operators import clean, deployments, sensors, summary
+from ..operators import clean, deployments, summary
+from ..plans import status
 from .registry import Tables, query
 
 # Record types of the test views, for the pivot.
@@ -315,9 +316,7 @@ SELECT project_id, tag_id, """
 FROM recent GROUP BY project_id, tag_id""",
 )
 def tag_status_24h(t: Tables) -> DataFrame:
-    from ..plans.status import daily_status
-
-    return daily_status(t.tag_records, t.deployments, TYPES)
+    return status.daily_status(t.tag_records, t.deployments, TYPES)
 
 
 @query(
@@ -333,24 +332,3 @@ GROUP BY project_id""",
 def gps_extent(t: Tables) -> DataFrame:
     fixes = clean.usable_fixes(t.tag_records)
     return summary.extent(deployments.assign_deployment(fixes, t.deployments))
-
-
-@query(
-    "sensor_long",
-    """
-SELECT tag_id, datetime, foid, 'depth' AS series, -depth_m AS y FROM {tag_records}
-WHERE depth_m <> 0
-UNION ALL SELECT tag_id, datetime, foid, 'lat', abs(lat) FROM {tag_records} WHERE lat IS NOT NULL
-UNION ALL SELECT tag_id, datetime, foid, 'temperature', ext_temperature_c FROM {tag_records}
-  WHERE ext_temperature_c < 100 AND ext_temperature_c > 0
-UNION ALL SELECT tag_id, datetime, foid, 'conductivity', conductivity_ms_cm FROM {tag_records}
-  WHERE conductivity_ms_cm IS NOT NULL
-UNION ALL SELECT tag_id, datetime, foid, 'battery', bat_soc_pct FROM {tag_records}
-  WHERE lat IS NOT NULL
-UNION ALL SELECT tag_id, datetime, foid, 'solar', solar_i_ma + 101e0 FROM {tag_records}
-  WHERE lat IS NOT NULL
-UNION ALL SELECT tag_id, datetime, foid, 'vector_sum',
-  sqrt(acc_x*acc_x + acc_y*acc_y + acc_z*acc_z) * 0.1e0 FROM {tag_records} WHERE lat IS NOT NULL""",
-)
-def sensor_long(t: Tables) -> DataFrame:
-    return sensors.sensor_long(t.tag_records)

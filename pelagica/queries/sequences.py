@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, deployments, drift, match, segments, speed
-from ..plans import status, studies
+from ..operators import clean, deployments, drift, match, segments, sensors, speed
+from ..plans import dives, status, studies, tracks
 from .records import LATEST, STATUS_COLUMNS, TYPES
-from .registry import Tables, query
+from .registry import CHECKS, Tables, query
 
 DIVE = {"depth_cutoff": 20, "dive_depth": 60, "max_gap_s": 172_800, "min_points": 2}
 CHUNK = {"dive_depth": 60, "max_gap_s": 172_800, "min_points": 2}
@@ -395,3 +395,77 @@ JOIN (SELECT uni_id, max(step) AS last FROM steps GROUP BY uni_id) e
 def speed_filter(t: Tables) -> DataFrame:
     kept = speed.speed_filter(_tracks(t), slice_s=t.slice_s)
     return kept.select("foid", "uni_id", "datetime", "lat", "lon")
+
+
+@query(
+    "sensor_long",
+    "WITH "
+    + drift_ctes("{tag_records}")
+    + ",\n"
+    + dive_ctes("{tag_records}")
+    + ",\n"
+    + DAILY
+    + """
+SELECT tag_id, datetime, foid, 'depth' AS series, -depth_m AS y FROM {tag_records}
+WHERE depth_m <> 0
+UNION ALL SELECT tag_id, datetime, foid, 'lat', abs(lat) FROM {tag_records} WHERE lat IS NOT NULL
+UNION ALL SELECT tag_id, datetime, foid, 'temperature', ext_temperature_c FROM {tag_records}
+  WHERE ext_temperature_c < 100 AND ext_temperature_c > 0
+UNION ALL SELECT tag_id, datetime, foid, 'conductivity', conductivity_ms_cm FROM {tag_records}
+  WHERE conductivity_ms_cm IS NOT NULL
+UNION ALL SELECT tag_id, datetime, foid, 'battery', bat_soc_pct FROM {tag_records}
+  WHERE lat IS NOT NULL
+UNION ALL SELECT tag_id, datetime, foid, 'solar', solar_i_ma + 101e0 FROM {tag_records}
+  WHERE lat IS NOT NULL
+UNION ALL SELECT tag_id, datetime, foid, 'vector_sum',
+  sqrt(acc_x*acc_x + acc_y*acc_y + acc_z*acc_z) * 0.1e0 FROM {tag_records} WHERE lat IS NOT NULL
+UNION ALL SELECT r.tag_id, r.datetime, r.foid, 'drift', abs(r.lat) + 5e0 FROM {tag_records} r
+  WHERE r.lat IS NOT NULL AND """
+    + drift_flag("r")
+    + """ = 1
+UNION ALL SELECT tag_id, CAST(date AS timestamp) + INTERVAL 23 HOUR + INTERVAL 59 MINUTE, NULL,
+  'daily_dives', CAST(n AS double) FROM daily""",
+)
+def sensor_long(t: Tables) -> DataFrame:
+    records = drift.flag_surface_drift(t.tag_records, **DRIFT, slice_s=t.slice_s)
+    daily = sensors.daily_series(segments.daily_dives(_dives(t)))
+    return clean.union_by_name([sensors.sensor_long(records), daily])
+
+
+@query(
+    "track_assembly",
+    CHECKS["speed_filter"].replace(
+        "SELECT s.foid, s.uni_id, s.datetime, s.lat, s.lon FROM steps s",
+        "SELECT split_part(s.uni_id, '_', 1) AS project_id, min(s.lat) - 0.25e0 AS y_min, "
+        "max(s.lat) + 0.25e0 AS y_max, min(s.lon) - 0.25e0 AS x_min, max(s.lon) + 0.25e0 AS x_max, "
+        "count(*) AS n_rows, count(DISTINCT s.uni_id) AS n_birds FROM steps s",
+    )
+    + " GROUP BY 1",
+)
+def track_assembly(t: Tables) -> DataFrame:
+    """All fixes to speed-filtered tracks, with extent and animals per project."""
+    return tracks.project_extents(
+        tracks.assemble_tracks(t.tag_records, t.deployments, slice_s=t.slice_s)
+    )
+
+
+@query(
+    "dive_gps_match",
+    "WITH trimmed AS (SELECT * FROM {tag_records} r WHERE datatype <> 'SEN_ACC_5Hz' AND EXISTS ("
+    "SELECT 1 FROM {deployments} d WHERE r.tag_id = d.tag_id AND r.datetime > d.dep_start"
+    " AND (d.dep_end IS NULL OR r.datetime < d.dep_end))),"
+    + dive_ctes("trimmed")
+    + ",\n"
+    + SUMMARY
+    + f""",
+pairs AS (SELECT s.*, r.lat, r.lon, r.datatype AS gps_datatype, r.foid AS gps_oid,
+    r.datetime AS gps_time, {seconds("s.max_dt", "r.datetime")} AS gps_tdiff,
+    row_number() OVER (PARTITION BY s.tag_id, s.dive_chunk
+      ORDER BY abs({seconds("s.max_dt", "r.datetime")}), r.datetime, r.foid) AS rn
+  FROM dive_sum s LEFT JOIN trimmed r ON r.tag_id = s.tag_id
+    AND CAST(r.datetime AS date) = s.date AND r.lat <> 0 AND r.lon <> 0 AND r.lon < 180)
+SELECT * EXCLUDE (rn) FROM pairs WHERE rn = 1""",
+)
+def dive_gps_match(t: Tables) -> DataFrame:
+    """One study: trim, leave out surface accelerometry, find dives, place them."""
+    return dives.place_dives(t.tag_records, t.deployments, **DIVE, slice_s=t.slice_s)

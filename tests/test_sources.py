@@ -119,9 +119,9 @@ def test_tables(spark, tmp_path):
     assert tables.read_raster_classes(spark, str(tmp_path / "cls.csv")).first()["tid"] == 10
     write(tmp_path, "cells.csv", "x,y,layer\n1,2,10\n")
     assert tables.read_cells(spark, str(tmp_path / "cells.csv")).first()["layer"] == 10
-    write(tmp_path / "old", "1.csv", "BirdID,LatDegree,LongDegree,ObsDepth,CalDepth\nBRAC_1,1,2,3,-4\n")
-    write(tmp_path / "old", "2.csv", "BirdID,LatDegree,LongDegree,ObsDepth,CalDepth\nPECO_1,,,,\n")
-    assert {r["species"] for r in tables.read_legacy(spark, str(tmp_path / "old")).collect()} == {"BRAC", "PECO"}
+    write(tmp_path / "old", "1.csv", "BirdID,LatDegree,LongDegree,ObsDepth,CalDepth\nAAAA_1,1,2,3,-4\n")
+    write(tmp_path / "old", "2.csv", "BirdID,LatDegree,LongDegree,ObsDepth,CalDepth\nBBBB_1,,,,\n")
+    assert {r["species"] for r in tables.read_legacy(spark, str(tmp_path / "old")).collect()} == {"AAAA", "BBBB"}
     write(tmp_path, "cal.csv", "tag_id,cal_start_datetime_local,cal_end_datetime_local,utc_offset,calprocessed_yn\n1,1/2/2024 3:00,1/2/2024 4:00,1,n\n")
     assert tables.read_calibration_index(spark, str(tmp_path / "cal.csv")).first()["cal_end_local"] == datetime(2024, 1, 2, 4)
 
