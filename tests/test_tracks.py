@@ -73,12 +73,13 @@ def test_rms_speed(spark, width):
 
 
 def test_speed_filter_runs_until_stable(spark):
-    tracks = random_tracks(6, 25)
+    tracks = random_tracks(6, 8)
     df = track_frame(spark, tracks)
     expected = {(k, i) for k, track in tracks.items() for i in speed_filtered(track, 25)}
-    for rounds in (2, 8):
-        filtered = speed_filter(df, 25, slice_s=100, rounds=rounds)
-        assert {(r["uni_id"], r["foid"]) for r in filtered.collect()} == expected
+    assert len(expected) < df.count()
+    # Two rounds at a time are not enough here, so all fixes are rated again.
+    filtered = speed_filter(df, 25, slice_s=100, rounds=2)
+    assert {(r["uni_id"], r["foid"]) for r in filtered.collect()} == expected
     labels = speed_filter(df, 25, slice_s=100, keep_removed=True)
     assert labels.count() == df.count()
     removed = {(r["uni_id"], r["foid"]) for r in labels.filter("mfilter = 'removed'").collect()}
