@@ -41,7 +41,8 @@ def _rated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         seconds = F.abs(seconds_between(F.col("datetime"), other["datetime"]))
         return metres / F.nullif(seconds, F.lit(0.0))
 
-    squares = [speed(F.col(c)) * speed(F.col(c)) for c in AROUND]
+    speeds = [speed(F.col(c)) for c in AROUND]
+    squares = [v * v for v in speeds]
     total = squares[0] + squares[1] + squares[2] + squares[3]
     return near.withColumn("rms_speed", F.sqrt(total / 4.0)).drop(*AROUND)
 
