@@ -20,6 +20,7 @@ STRING = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 SAMPLE_DOCS = 20_000
 MARGIN = 0.7
+SMOOTH = 8.0
 
 # Marks around a match; a text's own mark becomes a character that no pattern knows.
 MARK, OTHER = "\u0001", "\u0002"
@@ -73,12 +74,18 @@ def _pairs(strings: DataFrame, column: str) -> DataFrame:
 
 
 def _log_table(counts: dict[str, int], blend: float) -> list[list[float]]:
-    """Log-probabilities of the next character, add-one smoothed; ``blend`` of them uniform."""
-    size, table = len(LETTERS), []
+    """Log-probabilities of the next character; ``blend`` of them uniform.
+
+    Pairs are smoothed towards the frequency of the next character alone, and that by one for each character.
+    """
+    size = len(LETTERS)
+    single = {b: 1 + sum(counts.get(a + b, 0) for a in LETTERS) for b in LETTERS}
+    whole = sum(single.values())
+    table = []
     for a in LETTERS:
-        row = [counts.get(a + b, 0) for b in LETTERS]
-        total = sum(row) + size
-        table.append([math.log((1 - blend) * (n + 1) / total + blend / size) for n in row])
+        total = sum(counts.get(a + b, 0) for b in LETTERS)
+        row = [(counts.get(a + b, 0) + SMOOTH * single[b] / whole) / (total + SMOOTH) for b in LETTERS]
+        table.append([math.log((1 - blend) * p + blend / size) for p in row])
     return table
 
 
