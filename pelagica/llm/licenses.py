@@ -70,7 +70,8 @@ TEMPLATES = {
 # Words that tell licenses apart: a difference in one of them is another license.
 TELLING = frozenset("mit apache bsd gnu lesser affero mozilla gpl lgpl agpl nc nd sa by cc cc0 noncommercial noderivatives sharealike attribution".split())
 CUE = re.compile(r"licen[cs]e|copyright|permission|public\s+domain|creative\s+commons|\bcc[\s-]?(?:by|0)|redistribut|free\s+software|spdx", re.I)
-UNIT = re.compile(r"[^\n]*?(?:[.!?;:](?=\s)|\n|$)")
+# A sentence; the point after a single letter ("v. 2") doesn't end it.
+UNIT = re.compile(r"[^\n]*?(?:(?<![\s(]\w)[.!?;:](?=\s)|\n|$)")
 WORD = re.compile(r"\w+(?:\.\d+)*")
 GAP = 2
 LEVEL = 3

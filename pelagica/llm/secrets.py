@@ -21,6 +21,7 @@ ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 SAMPLE_DOCS = 20_000
 MARGIN = 0.7
 SMOOTH = 8.0
+USED = 3
 
 # Marks around a match; a text's own mark becomes a character that no pattern knows.
 MARK, OTHER = "\u0001", "\u0002"
@@ -95,8 +96,8 @@ def fit_markov(
     """Log-likelihood ratio, random against ordinary, of every pair of known characters.
 
     The labelled samples come from ``sample_docs`` documents, chosen by the hash of their id
-    (a bound on the training rows only): values that the base patterns mark are the random strings, all other
-    strings of six or more known characters the ordinary identifiers.  Of the random model half is
+    (a bound on the training rows only): values that the base patterns mark are the random strings, other strings
+    of six or more known characters that ``USED`` or more of the documents hold the ordinary identifiers.  Of the random model half is
     uniform, so that alphabets which the samples don't show are covered.  At most
     ``len(LETTERS) ** 2`` counts for each model reach the driver.
     """
@@ -108,7 +109,8 @@ def fit_markov(
     # take the marked values out before the ordinary strings are collected
     rest = F.expr("aggregate(x_base, x_text, (t, x) -> replace(t, x.v, ' '))")
     words = F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))
-    ordinary = spans.select(F.explode(words).alias("v"))
+    # an identifier is used again and again, a random string is not
+    ordinary = spans.select(F.explode(F.array_distinct(words)).alias("v")).groupBy("v").count().where(f"count >= {USED}")
     tables = []
     for strings, blend in ((random, 0.5), (ordinary, 0.0)):
         known = _pairs(strings, "v").where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
