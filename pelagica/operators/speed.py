@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.maths import distance_m
+from ..functions.maths import EARTH_RADIUS_M, distance_m
 from ..functions.time import seconds_between
 from ..session import shared_dir
 from .clean import union_by_name
@@ -15,7 +17,6 @@ from .slices import (
     DAY_S,
     SLICE,
     fill_from_neighbours,
-    running_sums,
     with_neighbours,
     with_slice,
 )
@@ -52,29 +53,10 @@ def rms_speed(fixes: DataFrame, key: str = "uni_id", slice_s: int = DAY_S) -> Da
     return _rated(with_slice(fixes, slice_s), [key]).drop(SLICE, "place")
 
 
-def _peaks(rows: DataFrame, keys: Sequence[str], vmax: float) -> DataFrame:
-    """The fastest fix of every run of fixes above ``vmax``, the first on a tie.
+def _near_peaks(rated: DataFrame, key: str, vmax: float, margin: int) -> DataFrame:
+    """The stretches of track within ``margin`` fixes of one above the limit, numbered.
 
-    Only rows above the limit are looked at: two of them are neighbours exactly
-    when their places in the track follow each other.
-    """
-    over = rows.filter(F.col("rms_speed") > vmax)
-    ranked = running_sums(over, {"rank": F.lit(1).cast("long")}, keys)
-    earliest = F.struct("rms_speed", (-F.col("place")).alias("neg"))
-    return (
-        ranked.groupBy(*keys, (F.col("place") - F.col("rank")).alias("run"))
-        .agg(F.max(earliest).alias("peak"))
-        .select(*keys, (-F.col("peak")["neg"]).alias("place"))
-    )
-
-
-def _near_peaks(rated: DataFrame, key: str, vmax: float, rounds: int) -> DataFrame:
-    """The stretches of track that ``rounds`` rounds can change, numbered.
-
-    Removing a fix changes the speed of the two fixes on either side, so after
-    n rounds nothing farther than 2n places from a fix above the limit has
-    changed.  Four more fixes on each side are kept as neighbours; ``fixed``
-    marks what cannot change.
+    Two more fixes on each side serve as neighbours; ``fixed`` marks them.
     """
     marked = rated.withColumn(
         "_over", F.when(F.col("rms_speed") > vmax, F.struct(*ORDER, "place"))
@@ -85,8 +67,8 @@ def _near_peaks(rated: DataFrame, key: str, vmax: float, rounds: int) -> DataFra
     )
     kept = (
         filled.withColumn("_away", away)
-        .filter(F.col("_away") <= 2 * rounds + 4)
-        .withColumn("fixed", F.col("_away") > 2 * rounds)
+        .filter(F.col("_away") <= margin + 2)
+        .withColumn("fixed", F.col("_away") > margin)
         .drop("_over", "_last", "_next", "_away")
     )
 
@@ -98,22 +80,123 @@ def _near_peaks(rated: DataFrame, key: str, vmax: float, rounds: int) -> DataFra
     )
 
 
-def _settle(
-    stretches: DataFrame, key: str, vmax: float, rounds: int
-) -> tuple[list[DataFrame], bool]:
-    """Remove peaks for up to ``rounds`` rounds; the removed, and whether all are gone."""
-    keys, removed, state = [key, "stretch"], [], stretches
-    for _ in range(rounds):
-        peaks = _peaks(state, keys, vmax).checkpoint()
-        if peaks.isEmpty():
-            return removed, True
-        removed.append(state.join(peaks, [*keys, "place"], "left_semi").select(key, *ORDER))
-        changing = state.join(peaks.select(*keys), keys, "left_semi")
-        rest = changing.join(peaks, [*keys, "place"], "left_anti").drop("rms_speed", "place")
-        rated = _rated(rest, keys)
-        speed = F.when(~F.col("fixed"), F.col("rms_speed"))
-        state = rated.withColumn("rms_speed", speed).checkpoint()
-    return removed, False
+class _Track:
+    """Fixes of many stretches in order, with the squared speeds to the next and the one after."""
+
+    def __init__(self, group: np.ndarray, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray) -> None:
+        self.row = np.arange(len(group))
+        self.group, self.seconds, self.fixed = group, seconds, fixed
+        self.lat, self.lon = lat, lon
+        self.squares = {k: np.full(len(group), np.nan) for k in (1, 2)}
+        for k in (1, 2):
+            self._measure(k, self.row)
+
+    def _measure(self, k: int, at: np.ndarray) -> None:
+        """Squared speed from each fix ``at`` to the one ``k`` places on, NaN at a stretch's end."""
+        last = len(self.row)
+        at = at[(at >= 0) & (at < last)]
+        self.squares[k][at] = np.nan
+        at = at[at + k < last]
+        at = at[self.group[at] == self.group[at + k]]
+        a, b = at, at + k
+        step = np.abs(self.seconds[b] - self.seconds[a])
+        dlat, dlon = np.radians(self.lat[b] - self.lat[a]) / 2, np.radians(self.lon[b] - self.lon[a]) / 2
+        h = np.sin(dlat) ** 2 + np.cos(np.radians(self.lat[a])) * np.cos(np.radians(self.lat[b])) * np.sin(dlon) ** 2
+        metres = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+        self.squares[k][at] = (metres / np.where(step == 0, np.nan, step)) ** 2
+
+    def speeds(self) -> np.ndarray:
+        """Root-mean-square speed over the two steps to either side, NaN for fixed fixes."""
+        total = np.full(len(self.row), np.nan)
+        if len(total) > 4:
+            one, two = self.squares[1], self.squares[2]
+            total[2:] = one[1:-1] + one[2:] + two[:-2] + two[2:]
+        return np.where(self.fixed, np.nan, np.sqrt(total / 4))
+
+    def remove(self, at: np.ndarray) -> None:
+        self._take(np.delete(np.arange(len(self.row)), at))
+        after = at - np.arange(len(at))
+        self._measure(1, after - 1)
+        self._measure(2, np.concatenate((after - 2, after - 1)))
+
+    def keep_groups(self, groups: np.ndarray) -> None:
+        inside = np.isin(self.group, groups)
+        if not inside.all():
+            self._take(np.flatnonzero(inside))
+
+    def _take(self, at: np.ndarray) -> None:
+        for name in ("row", "group", "seconds", "fixed", "lat", "lon"):
+            setattr(self, name, getattr(self, name)[at])
+        self.squares = {k: v[at] for k, v in self.squares.items()}
+
+
+def settle(
+    group: np.ndarray, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, vmax: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows removed from whole stretches, and the groups whose effects reach a fixed fix.
+
+    In every round the fastest fix of each run above the limit goes, the first on a tie, in all stretches at once; only
+    stretches that changed go on.
+    """
+    track = _Track(group, seconds, lat, lon, fixed)
+    removed, opened = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=group.dtype)]
+    while len(track.row):
+        speed = track.speeds()
+        over = np.flatnonzero(speed > vmax)
+        if not len(over):
+            break
+        first = np.concatenate(([True], (np.diff(over) > 1) | (np.diff(track.group[over]) != 0)))
+        starts = np.flatnonzero(first)
+        most = np.repeat(np.maximum.reduceat(speed[over], starts), np.diff(np.append(starts, len(over))))
+        best = np.flatnonzero(speed[over] == most)
+        run = np.cumsum(first)[best]
+        peaks = over[best[np.concatenate(([True], np.diff(run) > 0))]]
+        near = peaks[:, None] + np.array([-2, -1, 1, 2])
+        near = np.clip(near, 0, len(track.row) - 1)
+        touches = (track.fixed[near] & (track.group[near] == track.group[peaks][:, None])).any(axis=1)
+        beyond = np.unique(track.group[peaks[touches]])
+        opened.append(beyond)
+        removed.append(track.row[peaks])
+        changed = np.setdiff1d(track.group[peaks], beyond)
+        track.remove(peaks)
+        track.keep_groups(changed)
+    gone, out = np.concatenate(removed), np.concatenate(opened)
+    return gone[~np.isin(group[gone], out)], out
+
+
+def _settle_stretches(stretches: DataFrame, key: str, vmax: float) -> DataFrame:
+    """``key, ORDER, place, removed``: removed fixes, and (``removed`` false) those of stretches still open."""
+    types = {f.name: f.dataType.simpleString() for f in stretches.schema}
+    slim = stretches.select(
+        key, "stretch", *ORDER, "place", "lat", "lon", "fixed", (F.unix_micros(ORDER[0]) / 1e6).alias("_s")
+    )
+    out = [key, *ORDER, "place", "removed"]
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        group = frame.groupby([key, "stretch"], sort=False).ngroup().to_numpy()
+        columns = [frame[c].to_numpy(dtype=float) for c in ("_s", "lat", "lon")]
+        gone, opened = settle(group, *columns, frame["fixed"].to_numpy(dtype=bool), vmax)
+        still = np.flatnonzero(np.isin(group, opened) & ~frame["fixed"].to_numpy(dtype=bool))
+        return pd.concat([frame.iloc[gone].assign(removed=True), frame.iloc[still].assign(removed=False)])[out]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch.iloc[-1]
+            inside = (batch[key] == last[key]) & (batch["stretch"] == last["stretch"])
+            ended = batch[~inside]
+            if len(ended) or rest and (rest[-1].iloc[-1][[key, "stretch"]] != last[[key, "stretch"]]).any():
+                yield work(pd.concat([*rest, ended]))
+                rest = []
+            rest.append(batch[inside])
+        if rest:
+            yield work(pd.concat(rest))
+
+    grouped = slim.repartition(key, "stretch").sortWithinPartitions(key, "stretch", *ORDER)
+    shape = ", ".join(f"{c} {types[c]}" for c in out[:-1]) + ", removed boolean"
+    return grouped.mapInPandas(run, shape)
 
 
 def speed_filter(
@@ -122,35 +205,40 @@ def speed_filter(
     key: str = "uni_id",
     slice_s: int = DAY_S,
     keep_removed: bool = False,
-    rounds: int = 8,
+    rounds: int = 32,
 ) -> DataFrame:
     """Remove the peak of every run above ``vmax`` until no fix is above it.
 
-    How many rounds that takes depends on the data, so this operator runs jobs.
-    All fixes are rated once; the rounds then work on the stretches around fixes
-    above the limit, a small part of the data, and of those only on the ones
-    that still change.  If ``rounds`` rounds were not enough the remaining fixes
-    are rated again; there is no limit on how often.  What passes from round to
-    round is written to the shared checkpoint folder.
+    All fixes are rated once.  The stretches around fixes above the limit, a small part of the data, are then
+    settled as a whole, many in one pass over numpy arrays, however many rounds that takes; a stretch is the unit of
+    work, since its peaks go one after another.  ``2 * rounds`` fixes on each side belong to it.  A stretch whose
+    removals reach that border is started anew with eight times as many, and so on; settled stretches are not touched again,
+    so there are as many passes as the farthest effect needs powers of eight.  What passes from pass to pass is
+    written to the shared checkpoint folder.
 
     With ``keep_removed`` all fixes come back with a ``mfilter`` label
     (``removed``, ``end_location`` for the two fixes at each end, else ``not``).
     """
     shared_dir(fixes.sparkSession)
     columns = fixes.columns
-    alive = with_slice(fixes.select(key, *ORDER, "lat", "lon"), slice_s)
-    removed: list[DataFrame] = []
-    settled = False
-    while not settled:
-        rated = _rated(alive, [key]).checkpoint()
-        stretches = _near_peaks(rated, key, vmax, rounds).checkpoint()
-        gone, settled = _settle(stretches, key, vmax, rounds)
-        removed += gone
-        if not settled:
-            alive = rated.drop("rms_speed", "place").join(
-                union_by_name(gone), [key, *ORDER], "left_anti"
-            )
-    out = union_by_name(removed) if removed else alive.limit(0).select(key, *ORDER)
+    rated = _rated(with_slice(fixes.select(key, *ORDER, "lat", "lon"), slice_s), [key]).checkpoint()
+    margin, removed, opened = 2 * rounds, None, None
+    while True:
+        todo = rated if opened is None else rated.join(opened.select(key).distinct(), key, "left_semi")
+        stretches = _near_peaks(todo, key, vmax, margin)
+        if opened is not None:
+            wanted = stretches.join(opened.select(key, "place"), [key, "place"], "left_semi").select(key, "stretch")
+            stretches = stretches.join(wanted.distinct(), [key, "stretch"], "left_semi").checkpoint()
+            # a wider stretch starts from all its fixes, so it takes the place of settled ones inside it
+            removed = removed.join(stretches.select(key, "place"), [key, "place"], "left_anti")
+        outcome = _settle_stretches(stretches, key, vmax).checkpoint()
+        now = outcome.filter("removed").drop("removed")
+        removed = now if removed is None else union_by_name([removed, now]).checkpoint()
+        opened = outcome.filter("not removed")
+        if opened.isEmpty():
+            break
+        margin *= 8
+    out = removed.select(key, *ORDER)
     if keep_removed:
         return _labelled(fixes, out, key, slice_s).select(*columns, "mfilter")
     return fixes.join(out, [key, *ORDER], "left_anti").select(*columns)

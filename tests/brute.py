@@ -79,6 +79,9 @@ def rms_speeds(track):
         if i < 2 or i + 2 >= len(track):
             out.append(None)
             continue
+        if any(track[i][0] == track[i + j][0] for j in (-2, -1, 1, 2)):
+            out.append(None)
+            continue
         v = [metres(track[i], track[i + j]) / abs(track[i][0] - track[i + j][0]) for j in (-2, -1, 1, 2)]
         out.append(math.sqrt(sum(x * x for x in v) / 4))
     return out

@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brute import at, drift_flags, nearest, rms_speeds, speed_filtered
 from pelagica.operators.drift import flag_surface_drift
 from pelagica.operators.match import nearest_fix_same_day
-from pelagica.operators.speed import rms_speed, speed_filter
+from pelagica.operators.speed import rms_speed, settle, speed_filter
 
 
 @pytest.mark.parametrize("width", [4, 100_000])
@@ -88,6 +89,46 @@ def test_speed_filter_runs_until_stable(spark):
     assert all(r["count"] == min(4, len(tracks[r["uni_id"]])) for r in ends)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_settle_matches_brute_force(seed):
+    """Whole tracks settled at once, with fast runs of many lengths."""
+    rng = random.Random(seed)
+    tracks = []
+    for k in range(30):
+        t, lat, lon, track = 0, 40.0, -125.0, []
+        for _ in range(rng.randint(1, 8)):
+            fast = rng.random() < 0.4
+            for _ in range(rng.randint(1, 30)):
+                t += rng.choice([0, 1, 1, 1, 30])
+                lat += rng.uniform(0.0004, 0.0008) if fast else rng.uniform(-0.00004, 0.00004)
+                track.append((t, lat, lon))
+        tracks.append(track)
+    group = np.repeat(np.arange(30), [len(x) for x in tracks])
+    flat = np.array([fix for track in tracks for fix in track])
+    gone, opened = settle(group, flat[:, 0], flat[:, 1], flat[:, 2], np.zeros(len(flat), dtype=bool), 25)
+    left = np.setdiff1d(np.arange(len(flat)), gone)
+    start = np.concatenate(([0], np.cumsum([len(x) for x in tracks])))
+    assert not len(opened) and len(gone) > 100
+    assert left.tolist() == [start[k] + i for k, track in enumerate(tracks) for i in speed_filtered(track, 25)]
+
+
+def test_speed_filter_of_a_long_fast_run(spark):
+    """A thousand fixes at one a second from a plane: the effects reach far into the slow fixes around them."""
+    lat, track = 40.0, []
+    for i in range(3000):
+        lat += 0.0006 if 1000 <= i < 2000 else 0.000001
+        track.append((i, lat, -125.0))
+    tracks = {"plane": track, "slow": [(i, 40 + i * 1e-6, -125.0) for i in range(200)]}
+    df = track_frame(spark, tracks)
+    arrays = np.array(track).T
+    gone, _ = settle(np.zeros(3000, dtype=int), *arrays, np.zeros(3000, dtype=bool), 25)
+    assert len(gone) > 1000
+    want = {("plane", int(i)) for i in set(range(3000)) - set(gone.tolist())} | {("slow", i) for i in range(200)}
+    for rounds in (2, 500):
+        got = speed_filter(df, 25, slice_s=300, rounds=rounds)
+        assert {(r["uni_id"], r["foid"]) for r in got.collect()} == want
+
+
 def test_speed_filter_keeps_short_tracks(spark):
     tracks = {f"n{n}": [(i, 40.0 + i, -125.0) for i in range(n)] for n in (1, 2, 3, 4)}
     df = track_frame(spark, tracks)
