@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cross products up to this size count as collinear (degrees squared).
-EPSILON = 1e-12
+# What rounding can add to a cross product, as a share of its two products.
+ROUNDING = 3.4e-16
 # Corners a task keeps in memory before it passes them on.
 MAX_KEPT = 200_000
 
 
 def _turn(a: tuple, b: tuple, c: tuple) -> float:
-    """Positive when ``c`` lies to the left of the line from ``a`` to ``b``."""
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    """Positive when ``c`` lies to the left of the line from ``a`` to ``b``; the sign is exact.
+
+    Only a value within its own rounding error is worked out again in fractions.
+    """
+    one, two = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    if abs(one - two) > ROUNDING * (abs(one) + abs(two)):
+        return one - two
+    (ax, ay), (bx, by), (cx, cy) = ([Fraction(v) for v in p] for p in (a, b, c))
+    exact = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return (exact > 0) - (exact < 0)
 
 
 def hull_points(points: np.ndarray) -> np.ndarray:
@@ -25,16 +34,14 @@ def hull_points(points: np.ndarray) -> np.ndarray:
 
     Starts at the lowest x (then lowest y); collinear points are left out.
     """
-    points = np.unique(points, axis=0)
-    if len(points) > 64:
-        points = _outer(points)
+    points = _outer(np.unique(points, axis=0))
     if len(points) < 3:
         return points
 
     def chain(ordered: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
         for p in ordered:
-            while len(kept) > 1 and _turn(kept[-2], kept[-1], p) <= EPSILON:
+            while len(kept) > 1 and _turn(kept[-2], kept[-1], p) <= 0:
                 kept.pop()
             kept.append(p)
         return kept[:-1]
@@ -44,20 +51,25 @@ def hull_points(points: np.ndarray) -> np.ndarray:
 
 
 def _outer(points: np.ndarray) -> np.ndarray:
-    """Leave out points well inside the polygon of the extremes in 16 directions."""
+    """Leave out points certainly inside the polygon of the extremes in 16 directions."""
+    if len(points) < 4:
+        return points
     angles = np.arange(16) * (np.pi / 8)
     reach = points @ np.vstack([np.cos(angles), np.sin(angles)])
     ring = points[reach.argmax(axis=0)]
     inner = np.ones(len(points), dtype=bool)
     for a, b in zip(ring, np.roll(ring, -1, axis=0)):
         if not np.array_equal(a, b):
-            inner &= _turn(a, b, points.T) > EPSILON
+            one = (b[0] - a[0]) * (points[:, 1] - a[1])
+            two = (b[1] - a[1]) * (points[:, 0] - a[0])
+            inner &= one - two > ROUNDING * (np.abs(one) + np.abs(two))
     return points[~inner]
 
 
 def ring_area(points: np.ndarray) -> float:
     """Area of a closed ring, zero for fewer than three corners."""
-    x, y = points[:, 0], points[:, 1]
+    # from the first corner, so that a small ring far from the origin keeps its digits
+    x, y = points[:, 0] - points[0, 0], points[:, 1] - points[0, 1]
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2.0)
 
 
@@ -176,12 +188,14 @@ def _edges(ring: str) -> Column:
 
 
 def _inside(px: Column, py: Column, edges: Column) -> Column:
-    """Whether a point lies in a counter-clockwise ring; the edge is inside."""
-    return F.forall(
-        edges,
-        lambda e: (e["bx"] - e["ax"]) * (py - e["ay"]) - (e["by"] - e["ay"]) * (px - e["ax"])
-        >= -EPSILON,
-    )
+    """Whether a point lies in a counter-clockwise ring; the edge, up to rounding, is inside."""
+
+    def left(e: Column) -> Column:
+        one = (e["bx"] - e["ax"]) * (py - e["ay"])
+        two = (e["by"] - e["ay"]) * (px - e["ax"])
+        return one - two >= -ROUNDING * (F.abs(one) + F.abs(two))
+
+    return F.forall(edges, left)
 
 
 def _tile(value: Column, tile_deg: float) -> Column:

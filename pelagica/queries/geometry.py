@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, hulls, summary
@@ -42,9 +42,9 @@ def dives_region_filter(t: Tables) -> DataFrame:
 
 
 def hull_ctes(points: str, out: str) -> str:
-    """CTEs with the counter-clockwise hull edges of ``points(g, x, y)``.
+    """CTEs with the counter-clockwise hull edges of ``points(g, x, y)``, whole numbers.
 
-    An edge leaves every point on its left or on itself.
+    An edge leaves every point on its left or on itself; with whole numbers that is decided without rounding.
     """
     cross = "((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))"
     along = "((c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y))"
@@ -52,17 +52,23 @@ def hull_ctes(points: str, out: str) -> str:
     return f"""
 {out} AS (SELECT a.g, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM {points} a
   JOIN {points} b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y)
-  WHERE NOT EXISTS (SELECT 1 FROM {points} c WHERE c.g = a.g AND ({cross} < -1e-12
-    OR (abs({cross}) <= 1e-12 AND ({along} < 0 OR {along} > {length})))))"""
+  WHERE NOT EXISTS (SELECT 1 FROM {points} c WHERE c.g = a.g AND ({cross} < 0
+    OR ({cross} = 0 AND ({along} < 0 OR {along} > {length})))))"""
 
 
+# The view's positions are whole thousandths of a degree.  Hulls are taken of whole numbers, so that points on a line
+# are on it in both engines, and rests of animals 1e-7 degrees wide (thousandths of a ten-thousandth) are among them.
 HULLS = (
     """
-known AS (SELECT d.project_id, d.project_id || '_' || d.bird_id AS uni_id, r.lon AS x, r.lat AS y
-  FROM {tag_records} r JOIN {deployments} d ON r.tag_id = d.tag_id AND r.datetime > d.dep_start
-    AND (d.dep_end IS NULL OR r.datetime < d.dep_end)
-  WHERE lat <> 0 AND lon <> 0 AND lon < 180),
-bird_points AS (SELECT DISTINCT uni_id AS g, x, y FROM known),"""
+fixes AS (SELECT r.*, CAST(round(r.lon * 1000) AS bigint) * 10000 AS xi, CAST(round(r.lat * 1000) AS bigint) * 10000 AS yi
+  FROM {tag_records} r WHERE lat <> 0 AND lon <> 0 AND lon < 180),
+known AS (SELECT d.project_id, d.project_id || '_' || d.bird_id AS uni_id, xi AS x, yi AS y
+  FROM fixes r JOIN {deployments} d ON r.tag_id = d.tag_id AND r.datetime > d.dep_start
+    AND (d.dep_end IS NULL OR r.datetime < d.dep_end)),
+resting AS (SELECT 'rest_' || CAST(s_suppkey AS string) AS g, CAST(s_suppkey AS bigint) * 100 + dx AS x,
+    CAST(s_nationkey AS bigint) * 100 + dy AS y
+  FROM {supplier} CROSS JOIN (SELECT 0 AS dx, 0 AS dy UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 1 UNION ALL SELECT 0, 1) c),
+bird_points AS (SELECT DISTINCT uni_id AS g, x, y FROM known UNION ALL SELECT g, x, y FROM resting),"""
     + hull_ctes("bird_points", "bird_edges")
     + """,
 project_points AS (SELECT DISTINCT k.project_id AS g, e.ax AS x, e.ay AS y
@@ -74,11 +80,24 @@ edges AS (SELECT * FROM bird_edges UNION ALL SELECT * FROM project_edges)"""
 )
 
 
+def _whole(value: Column, steps: int) -> Column:
+    """Degrees on a grid of ``1 / steps`` as whole numbers of 1e-7 degrees."""
+    return F.rint(value * steps) * (10_000_000 // steps)
+
+
 def _known_fixes(t: Tables) -> DataFrame:
     fixes = clean.usable_fixes(t.tag_records)
+    fixes = fixes.withColumns({c: _whole(F.col(c), 1000) for c in ("lat", "lon")})
     return deployments.assign_deployment(fixes, t.deployments, ("project_id", "bird_id"))
 
 
+def _resting(t: Tables) -> DataFrame:
+    """Animals that stay within a square of 1e-7 degrees."""
+    corner = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]))
+    named = t.supplier.select(F.concat(F.lit("rest_"), F.col("s_suppkey").cast("string")).alias("uni_id"), "s_suppkey", "s_nationkey", corner.alias("c"))
+    return named.select("uni_id", (F.col("s_nationkey") * 100 + F.col("c.y")).cast("double").alias("lat"), (F.col("s_suppkey") * 100 + F.col("c.x")).cast("double").alias("lon"))
+
+
 @query(
     "convex_hull",
     "WITH "
@@ -86,14 +105,15 @@ def _known_fixes(t: Tables) -> DataFrame:
     + """,
 turned AS (SELECT *, CASE WHEN atan2(b_y - ay, bx - ax) <= 1e-12 - pi() / 2
   THEN atan2(b_y - ay, bx - ax) + 2 * pi() ELSE atan2(b_y - ay, bx - ax) END AS turn FROM edges)
-SELECT g AS home, row_number() OVER (PARTITION BY g ORDER BY turn) AS ordinal, ax AS x, ay AS y,
-  round(abs(sum(ax * b_y - bx * ay) OVER (PARTITION BY g)) / 2e0, 6) AS area
+SELECT g AS home, row_number() OVER (PARTITION BY g ORDER BY turn) AS ordinal, ax / 1e7 AS x, ay / 1e7 AS y,
+  CAST(abs(sum(CAST(ax AS hugeint) * b_y - CAST(bx AS hugeint) * ay) OVER (PARTITION BY g)) AS double) / 2e0 AS area
 FROM turned""",
 )
 def convex_hull(t: Tables) -> DataFrame:
-    """Hull of every animal and of every project."""
-    corners = habitat.home_ranges(_known_fixes(t))
-    return corners.withColumn("area", F.round("area", 6))
+    """Hull of every animal and of every project; the area in squares of 1e-7 degrees."""
+    known = _known_fixes(t).select("uni_id", "project_id", "lat", "lon")
+    corners = habitat.home_ranges(known.unionByName(_resting(t), allowMissingColumns=True)).filter("home IS NOT NULL")
+    return corners.withColumns({c: F.col(c) / 1e7 for c in ("x", "y")})
 
 
 @query(
@@ -115,17 +135,22 @@ def raster_cells(t: Tables) -> DataFrame:
 CLIPPED = (
     HULLS
     + """,
-clipped AS (SELECT h.g AS home, c.x, c.y, c.layer FROM {raster_cells} c
+whole_cells AS (SELECT *, CAST(round(x * 10000) AS bigint) * 1000 AS xi, CAST(round(y * 10000) AS bigint) * 1000 AS yi
+  FROM {raster_cells}),
+clipped AS (SELECT h.g AS home, c.x, c.y, c.layer FROM whole_cells c
   JOIN (SELECT DISTINCT g FROM project_edges) h ON NOT EXISTS (
     SELECT 1 FROM project_edges e WHERE e.g = h.g
-      AND (e.bx - e.ax) * (c.y - e.ay) - (e.b_y - e.ay) * (c.x - e.ax) < -1e-12))"""
+      AND (e.bx - e.ax) * (c.yi - e.ay) - (e.b_y - e.ay) * (c.xi - e.ax) < 0))"""
 )
 
 
 def _clipped(t: Tables) -> DataFrame:
     known = _known_fixes(t).withColumnRenamed("project_id", "home")
     corners = hulls.convex_hull(known, "home")
-    return hulls.clip_cells(t.raster_cells, corners, "home")
+    cells = t.raster_cells.withColumnsRenamed({"x": "lon", "y": "lat"})
+    cells = cells.withColumns({"x": _whole(F.col("lon"), 10_000), "y": _whole(F.col("lat"), 10_000)})
+    clipped = hulls.clip_cells(cells, corners, "home", 10_000_000.0)
+    return clipped.drop("x", "y").withColumnsRenamed({"lon": "x", "lat": "y"})
 
 
 @query("raster_clip_hull", "WITH " + CLIPPED + "\nSELECT * FROM clipped")

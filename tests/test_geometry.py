@@ -52,6 +52,22 @@ def test_random_hulls(spark):
             assert (np.abs(side) < 1e-12).sum() >= 2
 
 
+@pytest.mark.parametrize("width", [1e-5, 1e-7, 1e-12])
+def test_small_hulls_keep_their_corners(spark, width):
+    square = [(-125.0 + x * width, 40.0 + y * width) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0.5, 0.5))]
+    got = corners(spark, [("s", *p) for p in square], fan=3)["s"]
+    assert sorted(got) == sorted(set(square[:4]))
+
+
+def test_the_split_of_rows_does_not_matter():
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e-8, 1e-13):
+        points = np.round(rng.normal(size=(400, 2)), 1) * scale + [-125.3, 40.7]
+        whole = hulls.hull_points(points)
+        parts = np.vstack([hulls.hull_points(points[i::7]) for i in range(7)])
+        assert np.array_equal(whole, hulls.hull_points(parts))
+
+
 def test_all_points_on_a_circle_stay(spark):
     angles = np.linspace(0, 2 * np.pi, 500, endpoint=False)
     points = [("c", float(np.cos(a)), float(np.sin(a))) for a in angles]
