@@ -14,7 +14,7 @@ TODO = """todo AS (SELECT tag_id, cal_start_local, cal_end_local, utc_offset,
 ROWS = (
     TODO
     + """,
-calrows AS (SELECT r.foid, r.tag_id, r.datetime, r.acc_x, r.acc_y, r.acc_z,
+calrows AS (SELECT r.foid, r.tag_id, t.start_utc, r.datetime, r.acc_x, r.acc_y, r.acc_z,
     sqrt(acc_x*acc_x + acc_y*acc_y + acc_z*acc_z) AS vectoral_sum
   FROM {tag_records} r JOIN todo t ON t.tag_id = r.tag_id
     AND r.datetime > t.start_utc - INTERVAL 860000 SECOND
@@ -23,18 +23,18 @@ calrows AS (SELECT r.foid, r.tag_id, r.datetime, r.acc_x, r.acc_y, r.acc_z,
 USABLE = (
     ROWS
     + """,
-gate AS (SELECT tag_id, count(*) FILTER (WHERE vectoral_sum > 0.8e0) AS n_rows,
-    count(*) FILTER (WHERE vectoral_sum > 0.8e0) >= 10 AS enough FROM calrows GROUP BY tag_id),
-usable AS (SELECT c.*, row_number() OVER (PARTITION BY c.tag_id ORDER BY datetime, foid) AS row_no
-  FROM calrows c JOIN gate g ON g.tag_id = c.tag_id AND g.enough WHERE c.vectoral_sum > 0.8e0)"""
+gate AS (SELECT tag_id, start_utc, count(*) FILTER (WHERE vectoral_sum > 0.8e0) AS n_rows,
+    count(*) FILTER (WHERE vectoral_sum > 0.8e0) >= 10 AS enough FROM calrows GROUP BY tag_id, start_utc),
+usable AS (SELECT c.*, row_number() OVER (PARTITION BY c.tag_id, c.start_utc ORDER BY datetime, foid) AS row_no
+  FROM calrows c JOIN gate g ON g.tag_id = c.tag_id AND g.start_utc = c.start_utc AND g.enough WHERE c.vectoral_sum > 0.8e0)"""
 )
 LABELLED = (
     USABLE
     + """,
 labelled AS (SELECT u.*, u.row_no - k.beg_pt + 1 AS x, s.seg AS calib_seg
-  FROM usable u JOIN {calib_chunks} k ON k.tag_id = u.tag_id
+  FROM usable u JOIN {calib_chunks} k ON k.tag_id = u.tag_id AND k.start_utc = u.start_utc
     AND abs(k.end_pt - k.beg_pt) < 300 AND u.row_no BETWEEN k.beg_pt AND k.end_pt
-  LEFT JOIN {calib_segments} s ON s.tag_id = u.tag_id
+  LEFT JOIN {calib_segments} s ON s.tag_id = u.tag_id AND s.start_utc = u.start_utc
     AND u.row_no - k.beg_pt + 1 BETWEEN s.beg AND s.fin)"""
 )
 
@@ -66,13 +66,13 @@ def calib_index(t: Tables) -> DataFrame:
     + TODO
     + """,
 days AS (SELECT tag_id, start_utc, unnest([0, 1]) AS day_offset FROM todo),
-tokens AS (SELECT tag_id, day_offset, CAST(tag_id AS string) || '_GPRS_' ||
+tokens AS (SELECT tag_id, start_utc, day_offset, CAST(tag_id AS string) || '_GPRS_' ||
     strftime(CAST(start_utc AS date) + day_offset, '%Y%m%d') AS token FROM days),
-found AS (SELECT k.tag_id, k.token, k.day_offset, f.file_name
+found AS (SELECT k.tag_id, k.start_utc, k.token, k.day_offset, f.file_name
   FROM tokens k JOIN {files} f ON starts_with(f.file_name, k.token))
 SELECT * FROM found
-UNION ALL SELECT tag_id, token, day_offset, NULL FROM tokens
-WHERE day_offset = 0 AND tag_id NOT IN (SELECT tag_id FROM found)""",
+UNION ALL SELECT tag_id, start_utc, token, day_offset, NULL FROM tokens k
+WHERE day_offset = 0 AND NOT EXISTS (SELECT 1 FROM found f WHERE f.tag_id = k.tag_id AND f.start_utc = k.start_utc)""",
 )
 def calib_file_match(t: Tables) -> DataFrame:
     return calibration.match_files(_todo(t), t.files)
@@ -93,17 +93,25 @@ def calib_segment_label(t: Tables) -> DataFrame:
     return _labelled(t)
 
 
+@query(
+    "calib_long_chunks",
+    "SELECT tag_id, start_utc, beg_pt, end_pt FROM {calib_chunks} WHERE abs(end_pt - beg_pt) >= 300",
+)
+def calib_long_chunks(t: Tables) -> DataFrame:
+    return calibration.long_chunks(t.calib_chunks)
+
+
 @query(
     "calib_corrections",
     "WITH "
     + LABELLED
     + """
-SELECT tag_id, calib_seg, regexp_replace(calib_seg, '[12]', '') AS axis,
+SELECT tag_id, start_utc, calib_seg, regexp_replace(calib_seg, '[12]', '') AS axis,
   regexp_replace(calib_seg, '[XYZ]', '') AS seg, count(*) AS n_values,
   round(avg(vectoral_sum), 6) AS u_vec_sum, min(acc_x) AS min, max(acc_x) AS max,
   min(CASE calib_seg[1] WHEN 'X' THEN acc_x WHEN 'Y' THEN acc_y ELSE acc_z END) AS axis_min,
   max(CASE calib_seg[1] WHEN 'X' THEN acc_x WHEN 'Y' THEN acc_y ELSE acc_z END) AS axis_max
-FROM labelled WHERE calib_seg IS NOT NULL GROUP BY tag_id, calib_seg""",
+FROM labelled WHERE calib_seg IS NOT NULL GROUP BY tag_id, start_utc, calib_seg""",
 )
 def calib_corrections(t: Tables) -> DataFrame:
     return calibration.corrections(_labelled(t))

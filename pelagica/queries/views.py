@@ -89,18 +89,24 @@ FROM {customer}""",
 SELECT s_suppkey AS tag_id, timestamp '2024-01-15 08:00:00' AS cal_start_local,
   timestamp '2024-01-16 20:00:00' AS cal_end_local, s_nationkey - 12 AS utc_offset,
   CASE WHEN s_acctbal < 5000 THEN 'n' ELSE 'y' END AS calprocessed_yn
-FROM {supplier}""",
-    # Row ranges picked by hand: the calibration chunk of a tag ...
+FROM {supplier}
+UNION ALL
+SELECT s_suppkey, timestamp '2024-01-20 08:00:00', timestamp '2024-01-21 20:00:00', s_nationkey - 12,
+  CASE WHEN s_acctbal < 2500 THEN 'n' ELSE 'y' END
+FROM {supplier} WHERE s_acctbal < 4000""",
+    # Row ranges picked by hand: the chunk of a calibration, for some one that is too long ...
     "calib_chunks": """
-SELECT tag_id, 3 AS beg_pt, 36 AS end_pt FROM {calib_index} WHERE calprocessed_yn = 'n'""",
+SELECT tag_id, cal_start_local - utc_offset * INTERVAL '1' HOUR AS start_utc, 3 AS beg_pt,
+  CASE WHEN tag_id % 9 = 0 THEN 303 ELSE 36 END AS end_pt
+FROM {calib_index} WHERE calprocessed_yn = 'n'""",
     # ... and the six positions inside it.
     "calib_segments": """
-SELECT tag_id, 'X1' AS seg, 1 AS beg, 4 AS fin FROM {calib_chunks}
-UNION ALL SELECT tag_id, 'X2', 6, 9 FROM {calib_chunks}
-UNION ALL SELECT tag_id, 'Z1', 11, 14 FROM {calib_chunks}
-UNION ALL SELECT tag_id, 'Z2', 16, 19 FROM {calib_chunks}
-UNION ALL SELECT tag_id, 'Y1', 21, 24 FROM {calib_chunks}
-UNION ALL SELECT tag_id, 'Y2', 26, 29 FROM {calib_chunks}""",
+SELECT tag_id, start_utc, 'X1' AS seg, 1 AS beg, 4 AS fin FROM {calib_chunks}
+UNION ALL SELECT tag_id, start_utc, 'X2', 6, 9 FROM {calib_chunks}
+UNION ALL SELECT tag_id, start_utc, 'Z1', 11, 14 FROM {calib_chunks}
+UNION ALL SELECT tag_id, start_utc, 'Z2', 16, 19 FROM {calib_chunks}
+UNION ALL SELECT tag_id, start_utc, 'Y1', 21, 24 FROM {calib_chunks}
+UNION ALL SELECT tag_id, start_utc, 'Y2', 26, 29 FROM {calib_chunks}""",
 }
 
 

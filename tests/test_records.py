@@ -173,16 +173,31 @@ def test_calibration_steps(spark):
     )
     got = {(r["tag_id"], r["file_name"]) for r in calibration.match_files(todo, files).collect()}
     assert got == {(1, "1_GPRS_20240201_x.csv"), (1, "1_GPRS_20240202.csv"), (2, None)}
+    # a second calibration of a tag has its own files and its own miss
+    again = todo.unionByName(todo.filter("tag_id = 1").withColumn("start_utc", F.lit(datetime(2024, 3, 1))))
+    got = [(r["tag_id"], r["start_utc"].month, r["file_name"]) for r in calibration.match_files(again, files).collect()]
+    assert len(got) == 4 and (1, 3, None) in got
 
     rows = spark.createDataFrame(
         [(1, at(i), i, float(i), 0.0, 0.0) for i in range(12)],
         "tag_id long, datetime timestamp, foid long, acc_x double, acc_y double, acc_z double",
     )
-    summed = clean.with_vector_sum(rows)
+    todo = spark.createDataFrame(
+        [(1, at(5), at(6)), (1, at(100_000), at(100_001))], "tag_id long, start_utc timestamp, end_utc timestamp"
+    )
+    summed = calibration.calibration_rows(rows, todo, before_s=6, after_s=6)
+    assert summed.count() == 12
+    assert calibration.calibration_rows(rows, todo).groupBy("start_utc").count().count() == 2
     gate = calibration.calibration_gate(summed).first()
     assert (gate["n_rows"], gate["enough"]) == (11, True)
-    chunks = spark.createDataFrame([(1, 2, 9)], "tag_id long, beg_pt int, end_pt int")
-    segs = spark.createDataFrame([(1, "X1", 1, 3), (1, "Z2", 5, 6)], "tag_id long, seg string, beg int, fin int")
+    chunks = spark.createDataFrame(
+        [(1, at(5), 2, 9), (1, at(100_000), 1, 400)], "tag_id long, start_utc timestamp, beg_pt int, end_pt int"
+    )
+    assert calibration.long_chunks(chunks).first()["end_pt"] == 400
+    segs = spark.createDataFrame(
+        [(1, at(5), "X1", 1, 3), (1, at(5), "Z2", 5, 6), (1, at(100_000), "Y1", 1, 9)],
+        "tag_id long, start_utc timestamp, seg string, beg int, fin int",
+    )
     labelled = calibration.label_segments(calibration.passing_rows(summed), chunks, segs, slice_s=4)
     got = {r["foid"]: (r["x"], r["calib_seg"]) for r in labelled.collect()}
     assert got == {

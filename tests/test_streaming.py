@@ -44,10 +44,11 @@ def test_dives_equal_batch_on_closed_chunks(spark, arrivals):
     chunks = batch.groupBy("tag_id", "chunk").agg(
         F.min("datetime").alias("chunk_start"), F.max("datetime").alias("_end")
     )
-    latest = batch.agg(F.max("datetime")).first()[0]
+    latest = batch.groupBy("tag_id").agg(F.max("datetime").alias("_latest"))
     expected = (
         batch.join(chunks, ["tag_id", "chunk"])
-        .filter(F.unix_timestamp("_end") < F.lit(int(latest.timestamp()) - 2))
+        .join(latest, "tag_id")
+        .filter(F.unix_timestamp("_end") < F.unix_timestamp("_latest") - 2)
         .withColumn("is_dive_chunk", F.col("dive_chunk").isNotNull())
         .select(*got.drop("batch").columns)
     )
@@ -64,7 +65,28 @@ def test_replayed_batch_writes_the_same(spark, arrivals):
     first = spark.read.parquet(out).count()
     each(rows, 0)
     assert spark.read.parquet(out).count() == first
-    assert first + spark.read.parquet(state).count() == 600
+    assert first + spark.read.parquet(f"{state}/open").count() == 600
+
+
+def test_a_tag_that_sends_late_keeps_its_chunk(spark):
+    """One unbroken series in two parts, the second after much later rows of another tag."""
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    each = dives.dive_batches(out, state, max_gap_s=2)
+
+    def rows(tag, start, n, offset=0):
+        return [(tag, at(start + i), offset + i, 5.0, 1.0) for i in range(n)]
+
+    batches = [rows(1, 0, 8), rows(2, 90_000, 5), rows(1, 8, 8, 8) + rows(2, 99_000, 5, 5), rows(1, 500, 1, 16) + [(3, None, 0, 5.0, 1.0), (None, at(1), 0, 5.0, 1.0)]]
+    batches.append(rows(1, 3, 1, 99) + rows(1, 16, 1, 98))  # both within the closed chunk's time
+    for k, part in enumerate(batches):
+        each(spark.createDataFrame(part, SCHEMA), k)
+    got = spark.read.parquet(out)
+    chunks = {(r["tag_id"], r["chunk_start"]): r["n"] for r in got.groupBy("tag_id", "chunk_start").agg(F.count("*").alias("n")).collect()}
+    assert chunks == {(1, at(0)): 16, (2, at(90_000)): 5}
+    late = {(r["tag_id"], r["foid"]) for r in spark.read.parquet(f"{out}-late").collect()}
+    assert late == {(3, 0), (None, 0), (1, 99), (1, 98)}
+    left = spark.read.parquet(f"{state}/open").filter("batch = 4").count()
+    assert left == 6 and spark.read.parquet(f"{state}/open").select("batch").distinct().count() == 2
 
 
 def test_ingest_reads_every_file_once(spark, arrivals):
