@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 # The text forms of times found in logger and field files.
 MONTH_FIRST = "M/d/yyyy H:mm"
+MONTH_FIRST_SHORT = "M/d/yy H:mm"
 DAY_FIRST = ("d/M/yyyy H:mm:ss", "d-M-yyyy H:mm:ss", "d.M.yyyy H:mm:ss")
+DAY_FIRST_SHORT = ("d/M/yy H:mm:ss", "d-M-yy H:mm:ss", "d.M.yy H:mm:ss")
 
 
 def parse_month_first(text: Column | str) -> Column:
-    """``M/d/yyyy H:mm`` to timestamp, NULL when it does not parse."""
-    return F.try_to_timestamp(_col(text), F.lit(MONTH_FIRST))
+    """``M/d/yyyy H:mm`` to timestamp, NULL when it does not parse.
+
+    Years of two digits, as spreadsheets write them, are those from 2000 on.
+    """
+    return F.coalesce(*[F.try_to_timestamp(_col(text), F.lit(p)) for p in (MONTH_FIRST, MONTH_FIRST_SHORT)])
 
 
 def parse_iso(text: Column | str) -> Column:
@@ -21,8 +26,8 @@ def parse_iso(text: Column | str) -> Column:
 
 
 def parse_day_first(text: Column | str) -> Column:
-    """Day-first times with any of the usual separators."""
-    return F.coalesce(*[F.try_to_timestamp(_col(text), F.lit(p)) for p in DAY_FIRST])
+    """Day-first times with any of the usual separators, years of four or two digits."""
+    return F.coalesce(*[F.try_to_timestamp(_col(text), F.lit(p)) for p in (*DAY_FIRST, *DAY_FIRST_SHORT)])
 
 
 def parse_either(text: Column | str) -> Column:

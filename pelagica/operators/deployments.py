@@ -32,7 +32,7 @@ def clean_deployments(raw: DataFrame, manufacturer: str | None = None) -> DataFr
     """Parse times, move the local start to UTC, keep rows that name a tag."""
     if manufacturer is not None:
         raw = raw.filter(F.col("TagManufacture") == manufacturer)
-    present = [c for c in FIELD_COLUMNS if c in raw.columns]
+    present = [c for c in (*FIELD_COLUMNS, "dep_no") if c in raw.columns]
     named = raw.select(*present).withColumnsRenamed(FIELD_COLUMNS)
     named = named.filter(F.col("tag_id").isNotNull())
     start = parse_month_first("dep_start")

@@ -26,8 +26,9 @@ SLICE = "slice_no"
 DAY_S = 86_400
 # Rows of one slice that a single task sorts comfortably.
 TARGET_ROWS = 2_000_000
-# Rows without a time have no place on the timeline; they share one slice.
-NO_TIME = -1
+# Rows without a time come before every slice; so many slices share them.
+NO_TIME = -(2**62)
+NO_TIME_SLICES = 1024
 
 
 def measure_slice_seconds(
@@ -57,9 +58,17 @@ def measure_slice_seconds(
 
 
 def with_slice(df: DataFrame, slice_s: int = DAY_S, time: str = "datetime") -> DataFrame:
-    """Number the slice every row falls into."""
+    """Number the slice every row falls into.
+
+    Rows without a time are spread over slices of their own by ranges of
+    ``foid``, where there is one, so that they keep its order.
+    """
     number = F.floor(F.unix_timestamp(time) / F.lit(slice_s))
-    return df.withColumn(SLICE, F.coalesce(number, F.lit(NO_TIME)))
+    no_time = F.lit(NO_TIME)
+    if "foid" in df.columns and df.schema["foid"].dataType.typeName() in ("long", "integer"):
+        part = F.floor(F.greatest(F.col("foid"), F.lit(0)) / F.lit(TARGET_ROWS))
+        no_time = no_time + F.coalesce(F.least(part, F.lit(NO_TIME_SLICES - 1)), F.lit(0))
+    return df.withColumn(SLICE, F.coalesce(number, no_time))
 
 
 def _carry(
@@ -236,15 +245,9 @@ def fill_from_neighbours(
             .over(from_end.rowsBetween(Window.unboundedPreceding, -1))
             .alias("_carry_following")
         )
-    # Slices without a value need the carry too; they are listed on their own,
-    # so that only rows with a value are reduced.
-    extremes = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*keys, SLICE)
-        .agg(F.max(value).alias("_max"), F.min(value).alias("_min"))
-    )
-    present = rows.select(*keys, SLICE).distinct()
-    edges = present.join(extremes, [*keys, SLICE], "left").select(*keys, SLICE, *carried)
+    # Slices without a value have NULL here and need the carry too.
+    extremes = rows.groupBy(*keys, SLICE).agg(F.max(value).alias("_max"), F.min(value).alias("_min"))
+    edges = extremes.select(*keys, SLICE, *carried)
     joined = _carry(rows.withColumns(filled), edges, keys)
     if last:
         joined = joined.withColumn(last, F.coalesce(last, "_carry_last"))

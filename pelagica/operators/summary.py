@@ -37,15 +37,17 @@ def tag_summary(
     drift: bool = False,
     dives: bool = False,
     types: Sequence[str] = (),
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Times, depths, sensors and duration per group.
 
     ``drift`` adds the number of surface-drift rows and ``dives`` the number of
     distinct dive chunks; both columns must then be present.  ``types`` adds
     the number of rows of each record type, NULL where there are none, in the
-    same pass.
+    same pass.  ``also`` names columns with one value in a group, of which the
+    largest is taken.
     """
-    columns = _summary_columns()
+    columns = [*_summary_columns(), *[F.max(c).alias(c) for c in also]]
     if drift:
         columns.append(F.sum("gps_surfacedrifts").alias("gps_surfacedrift_pts"))
     if dives:

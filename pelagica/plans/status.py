@@ -43,18 +43,23 @@ def weekly_status(
 ) -> DataFrame:
     """Per tag over the last week: summary, surface drift, dive rate, record types.
 
-    Drift needs the rows before the window, so the trim comes after it.
+    Fixes sent twice, in overlapping files, count once before drift is looked
+    for.  A burst that reaches into the window shows it by ``drift_steps`` steps
+    before it, so that no earlier rows are read.  ``device_id`` and
+    ``deploy_end_short`` are in the report if the inputs have them.
     """
     as_of = as_of if as_of is not None else clean.latest_time(records)
+    earlier_h = (drift_steps + 1) * drift_step_s / 3600
+    end = [c for c in ("deploy_end_short",) if c in deployment_table.columns]
     known = deployments.join_latest_deployment(
-        records, deployment_table, ["project_id", "bird_id"]
+        clean.trailing(records, as_of, hours + earlier_h), deployment_table, ["project_id", "bird_id", *end]
     )
-    drifting = drift.flag_surface_drift(known, drift_step_s, drift_steps, slice_s=slice_s)
-    unique = clean.keep_first(clean.trailing(drifting, as_of, hours))
+    once = clean.keep_first(known)
+    drifting = drift.flag_surface_drift(once, drift_step_s, drift_steps, slice_s=slice_s)
+    unique = clean.trailing(drifting, as_of, hours)
     # Dives do not need the drift flag, so their rows take the short way.
-    depths = clean.keep_first(clean.trailing(known, as_of, hours))
     dives = segments.dive_segments(
-        clean.depth_rows(depths),
+        clean.depth_rows(clean.trailing(once, as_of, hours)),
         depth_cutoff,
         dive_depth,
         max_gap_s,
@@ -62,5 +67,6 @@ def weekly_status(
         slice_s=slice_s,
     )
     rate = segments.mean_daily_dives(segments.daily_dives(dives))
-    report = summary.tag_summary(unique, drift=True, types=types)
+    also = [*end, *[c for c in ("device_id",) if c in records.columns]]
+    report = summary.tag_summary(unique, drift=True, types=types, also=also)
     return report.join(rate, "tag_id", "left")

@@ -21,12 +21,12 @@ def annotate_records(
     min_points: int = 3,
     slice_s: int = DAY_S,
 ) -> DataFrame:
-    """Records with drift flag, dive labels and the deployment they belong to.
+    """Cleaned records with drift flag, dive labels and the deployment they belong to.
 
     Each record gets the latest deployment of its tag that started before it;
     records before any deployment drop out.
     """
-    unique = clean.keep_first(records)
+    unique = clean.keep_first(clean.clean_records(records))
     drifting = drift.flag_surface_drift(unique, drift_step_s, drift_steps, slice_s=slice_s)
     dives = segments.dive_segments(
         clean.depth_rows(unique), depth_cutoff, dive_depth, max_gap_s, min_points, slice_s=slice_s
@@ -37,9 +37,17 @@ def annotate_records(
 
 
 def deployment_report(annotated: DataFrame) -> DataFrame:
-    """Whole-deployment summary per project, tag and animal."""
+    """Whole-deployment summary per project, tag and animal, with the tag's daily dives."""
     keys = ("project_id", "tag_id", "bird_id")
-    return summary.tag_summary(annotated, keys, drift=True, dives=True)
+    also = [c for c in ("device_id",) if c in annotated.columns]
+    report = summary.tag_summary(annotated, keys, drift=True, dives=True, also=also)
+    rate = segments.mean_daily_dives(segments.daily_dives(clean.depth_rows(annotated)))
+    return report.join(rate, "tag_id", "left")
+
+
+def chunks_by_project(annotated: DataFrame) -> DataFrame:
+    """Distinct dive chunks per project and tag."""
+    return summary.dive_chunk_counts(annotated, ("project_id", "tag_id"))
 
 
 def store_studies(annotated: DataFrame, path: str) -> None:

@@ -242,12 +242,18 @@ report AS (SELECT project_id, tag_id, """
   nullif(count(*) FILTER (WHERE datatype = 'SEN_ACC_5Hz'), 0) AS "SEN_ACC_5Hz",
   nullif(count(*) FILTER (WHERE datatype = 'SEN_TDR'), 0) AS "SEN_TDR"
 FROM recent GROUP BY project_id, tag_id)
-SELECT report.*, rate.udives_day FROM report LEFT JOIN rate USING (tag_id)""",
+SELECT report.*, rate.udives_day, CAST(tag_id AS string) AS device_id,
+  coalesce(strftime(d.dep_end, '%Y%m%d'), 'open') AS deploy_end_short
+FROM report LEFT JOIN rate USING (tag_id) JOIN latest USING (tag_id) JOIN {deployments} d USING (tag_id, dep_no)""",
 )
 def tag_status_week(t: Tables) -> DataFrame:
+    """Records sent twice, in overlapping files, by a third of the tags."""
+    own = t.tag_records.withColumns({"device_id": F.col("tag_id").cast("string"), "file_name": F.lit("a")})
+    again = own.filter("tag_id % 3 = 0").withColumns({"file_name": F.lit("b"), "foid": F.col("foid") + 10_000_000_000})
+    ends = t.deployments.withColumn("deploy_end_short", F.coalesce(F.date_format("dep_end", "yyyyMMdd"), F.lit("open")))
     return status.weekly_status(
-        t.tag_records,
-        t.deployments,
+        own.unionByName(again),
+        ends,
         TYPES,
         drift_step_s=DRIFT["max_step_s"],
         drift_steps=DRIFT["min_steps"],
@@ -256,30 +262,28 @@ def tag_status_week(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "deployment_summary",
-    "WITH "
-    + drift_ctes("{tag_records}")
+# Cleaned records with drift, dives and deployment.
+STUDY = (
+    """used AS (SELECT * FROM {tag_records} WHERE (lat IS NOT NULL OR depth_m IS NOT NULL)
+  AND NOT (coalesce(lat = 0 AND lon = 0, false) AND depth_m IS NULL)),
+"""
+    + drift_ctes("used")
     + ",\n"
-    + dive_ctes("{tag_records}")
+    + dive_ctes("used")
     + """,
 known AS (SELECT r.*, a.project_id, a.bird_id, v.dive_chunk, """
     + drift_flag("r")
     + """ AS gps_surfacedrifts
-  FROM {tag_records} r
-  JOIN (SELECT q.foid, d.project_id, d.bird_id FROM {tag_records} q
+  FROM used r
+  JOIN (SELECT q.foid, d.project_id, d.bird_id FROM used q
         ASOF JOIN {deployments} d ON q.tag_id = d.tag_id AND q.datetime > d.dep_start) a
     ON a.foid = r.foid
-  LEFT JOIN dives v ON v.foid = r.foid)
-SELECT project_id, tag_id, bird_id, """
-    + STATUS_COLUMNS
-    + """,
-  CAST(sum(gps_surfacedrifts) AS bigint) AS gps_surfacedrift_pts,
-  count(DISTINCT dive_chunk) AS n_depth
-FROM known GROUP BY project_id, tag_id, bird_id""",
+  LEFT JOIN dives v ON v.foid = r.foid)"""
 )
-def deployment_summary(t: Tables) -> DataFrame:
-    annotated = studies.annotate_records(
+
+
+def _annotated(t: Tables) -> DataFrame:
+    return studies.annotate_records(
         t.tag_records,
         t.deployments,
         drift_step_s=DRIFT["max_step_s"],
@@ -287,7 +291,36 @@ def deployment_summary(t: Tables) -> DataFrame:
         **DIVE,
         slice_s=t.slice_s,
     )
-    return studies.deployment_report(annotated)
+
+
+@query(
+    "deployment_summary",
+    "WITH "
+    + STUDY
+    + """
+SELECT report.*, rate.udives_day FROM (
+SELECT project_id, tag_id, bird_id, """
+    + STATUS_COLUMNS
+    + """,
+  CAST(sum(gps_surfacedrifts) AS bigint) AS gps_surfacedrift_pts,
+  count(DISTINCT dive_chunk) AS n_depth
+FROM known GROUP BY project_id, tag_id, bird_id) report
+LEFT JOIN (SELECT tag_id, CAST(floor(sum(n) / count(*)) AS bigint) AS udives_day
+  FROM (SELECT tag_id, CAST(datetime AS date) AS date, count(DISTINCT dive_chunk) AS n
+    FROM known WHERE depth_m IS NOT NULL GROUP BY 1, 2) GROUP BY 1) rate USING (tag_id)""",
+)
+def deployment_summary(t: Tables) -> DataFrame:
+    return studies.deployment_report(_annotated(t))
+
+
+@query(
+    "project_dive_chunks",
+    "WITH "
+    + STUDY
+    + "\nSELECT project_id, tag_id, count(DISTINCT dive_chunk) AS n_depth FROM known GROUP BY 1, 2",
+)
+def project_dive_chunks(t: Tables) -> DataFrame:
+    return studies.chunks_by_project(_annotated(t))
 
 
 @query(

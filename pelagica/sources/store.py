@@ -11,10 +11,11 @@ def write_summary(df: DataFrame, folder: str, name: str, day: date, files: int |
     """Write a dated summary as CSV and return its path.
 
     Summaries have one row per tag, so one file is the default; pass ``None``
-    to leave the partitioning alone.
+    to leave the partitioning alone.  The rows move to that file in a step of
+    their own, so that the work before it keeps its tasks.
     """
     path = f"{folder.rstrip('/')}/{name}_{day:%Y-%m-%d}"
-    out = df.coalesce(files) if files else df
+    out = df.repartition(files) if files else df
     out.write.mode("overwrite").csv(path, header=True)
     return path
 

@@ -45,8 +45,20 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> Dat
 def read_deployments(
     spark: SparkSession, path: str, manufacturer: str | None = None
 ) -> DataFrame:
-    """The deployment table, cleaned."""
-    return clean_deployments(read_csv(spark, path, DEPLOYMENT_SCHEMA), manufacturer)
+    """The deployment table, cleaned; ``dep_no`` rises in the order of the file."""
+    listed = read_csv(spark, path, DEPLOYMENT_SCHEMA).withColumn("dep_no", F.monotonically_increasing_id())
+    return clean_deployments(listed, manufacturer)
+
+
+def unparsed_times(raw: DataFrame, parsed: DataFrame, columns: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """Texts of a raw table that are no times: ``keys``, the column and its text.
+
+    ``columns`` maps raw text columns to the parsed ones; ``keys`` name a row in both tables.
+    """
+    both = raw.join(parsed.select(*keys, *columns.values()), list(keys))
+    texts = [F.struct(F.lit(c).alias("column"), F.col(c).alias("text"), F.col(p).isNull().alias("bad")) for c, p in columns.items()]
+    found = both.select(*keys, F.explode(F.array(*texts)).alias("t")).select(*keys, "t.*")
+    return found.filter(F.col("bad") & (F.trim("text") != "")).drop("bad")
 
 
 def parse_gps(raw: DataFrame) -> DataFrame:

@@ -35,7 +35,6 @@ ALIASES = {"conductivity_mS/cm": ("conductivity_mS.cm", "conductivity_mS_cm")}
 TIME_COLUMNS = ("UTC_datetime", "UTC_timestamp")
 DATE_AND_TIME = ("UTC_date", "UTC_time")
 ALL_COLUMNS = (*TIME_COLUMNS, *DATE_AND_TIME, *TEXT_COLUMNS, *NUMBER_COLUMNS)
-HEADER_MARK = "device_id"
 COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 QUOTE_AT_END = r'^\s*"|"\s*$'
 # Smallest size, in bytes, of a file that holds more than its header.
@@ -55,13 +54,16 @@ def read_tags(
 
     Spark's CSV reader maps columns by position once a schema is given, which
     swaps columns when files differ.  Here every line is split at its commas
-    and each file's own header line says where a column stands.
-    Short rows and absent columns give NULL, as do values that do not parse.
+    and each file's own header, its first line, says where a column stands.
+    Short rows and absent columns give NULL, as do values that do not parse.  A
+    file without any time column is an error.
 
     ``name_column`` and ``project`` are expressions over the file metadata
     columns ``file_path``, ``file_name``; by default the tag is taken from the
-    file name.  ``foid`` is the row number in the file, counted per input split
-    and added up, so a large file is not pulled into one task.
+    file name.  ``foid`` counts a tag's rows over its files, in the order of their
+    names, so that no two rows of a tag share a number.  It is counted per input
+    split and added up, so a large file is not pulled into one task.  A split is
+    read by one task in order, which is what its line numbers rest on.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
     if modified_after:
@@ -89,25 +91,31 @@ def read_tags(
         return F.coalesce(*found, F.lit(0)).cast("int") - 1
 
     wanted = {name: (name, *ALIASES.get(name, ())) for name in ALL_COLUMNS}
-    is_header = F.col("value").contains(HEADER_MARK)
-    is_record = ~is_header & (F.trim("value") != "")
+    lines = lines.filter(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
+    starts_file = (F.col(SLICE) == 0).cast("int")
+    tag = name_column if name_column is not None else tag_of_file("file_name")
     # One small row per input split: where the file's columns stand, and how
-    # many records of the file come before the split.
+    # many records of the tag come before the split.
     in_file = Window.partitionBy("file_path")
-    earlier = in_file.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    of_tag = Window.partitionBy("_tag").orderBy("file_name", "file_path", SLICE)
+    earlier = of_tag.rowsBetween(Window.unboundedPreceding, -1)
+    no_time = F.raise_error(F.concat(F.lit("no time column in "), F.col("file_path")))
+    has_time = F.arrays_overlap("_names", F.array(*[F.lit(c) for c in (*TIME_COLUMNS, DATE_AND_TIME[0])]))
     splits = (
-        lines.groupBy("file_path", SLICE)
+        lines.groupBy("file_path", "file_name", SLICE)
         .agg(
-            F.min(F.when(is_header, F.col("value"))).alias("_header"),
-            F.count(F.when(is_record, 1)).alias("_n"),
+            F.min_by("value", "_line").alias("_first"),
+            (F.count("*") - F.max(starts_file)).alias("_n"),
         )
+        .withColumn("_tag", tag)
         .select(
             "file_path",
             SLICE,
-            F.max("_header").over(in_file).alias("_header"),
+            F.max(F.when(F.col(SLICE) == 0, F.regexp_replace("_first", "^\ufeff", ""))).over(in_file).alias("_header"),
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"),
         )
         .withColumn("_names", F.transform(split("_header"), F.trim))
+        .withColumn("_names", F.when(has_time, F.col("_names")).otherwise(no_time))
         .select(
             "file_path",
             SLICE,
@@ -115,11 +123,12 @@ def read_tags(
             F.struct(*[place(*s).alias(f"p{i}") for i, s in enumerate(wanted.values())]).alias("_at"),
         )
     )
-    records = lines.filter(is_record)
     if number_rows:
         in_split = Window.partitionBy("file_path", SLICE).orderBy("_line")
-        placed = records.withColumn("_line", F.monotonically_increasing_id())
-        records = placed.withColumn("_row", F.row_number().over(in_split))
+        records = lines.withColumn("_row", F.row_number().over(in_split) - starts_file).filter("_row > 0")
+    else:
+        first_line = F.min("_line").over(Window.partitionBy("file_path", SLICE))
+        records = lines.withColumn("_first", first_line).filter((F.col(SLICE) > 0) | (F.col("_line") > F.col("_first")))
     rows = records.join(splits, ["file_path", SLICE]).withColumn("_v", split("value"))
     if number_rows:
         rows = rows.withColumn("foid", F.col("_earlier") + F.col("_row"))
@@ -134,7 +143,7 @@ def read_tags(
     moments = [parse_either(cell(name)) for name in TIME_COLUMNS]
     moments.append(parse_either(F.concat_ws(" ", cell(DATE_AND_TIME[0]), cell(DATE_AND_TIME[1]))))
     columns = [
-        (name_column if name_column is not None else tag_of_file("file_name")).alias("tag_id"),
+        tag.alias("tag_id"),
         F.coalesce(*moments).alias("datetime"),
         *[cell(raw).alias(name) for raw, name in TEXT_COLUMNS.items()],
         *[number(raw).alias(name) for raw, name in NUMBER_COLUMNS.items()],
