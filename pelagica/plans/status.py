@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..operators import clean, deployments, drift, segments, summary
 from ..operators.slices import DAY_S
+from ..session import write_once
 
 
 def daily_status(
@@ -45,7 +46,8 @@ def weekly_status(
 
     Fixes sent twice, in overlapping files, count once before drift is looked
     for.  A burst that reaches into the window shows it by ``drift_steps`` steps
-    before it, so that no earlier rows are read.  ``device_id`` and
+    before it, so that no earlier rows are read; the rows of the window are written
+    once to the shared checkpoint folder.  ``device_id`` and
     ``deploy_end_short`` are in the report if the inputs have them.
     """
     as_of = as_of if as_of is not None else clean.latest_time(records)
@@ -54,7 +56,7 @@ def weekly_status(
     known = deployments.join_latest_deployment(
         clean.trailing(records, as_of, hours + earlier_h), deployment_table, ["project_id", "bird_id", *end]
     )
-    once = clean.keep_first(known)
+    once = write_once(clean.keep_first(known))
     drifting = drift.flag_surface_drift(once, drift_step_s, drift_steps, slice_s=slice_s)
     unique = clean.trailing(drifting, as_of, hours)
     # Dives do not need the drift flag, so their rows take the short way.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, drift, segments, summary
 from ..operators.slices import DAY_S
+from ..session import write_once
 from ..sources.store import write_by
 
 
@@ -24,9 +25,10 @@ def annotate_records(
     """Cleaned records with drift flag, dive labels and the deployment they belong to.
 
     Each record gets the latest deployment of its tag that started before it;
-    records before any deployment drop out.
+    records before any deployment drop out.  The deduplicated records are written
+    once to the shared checkpoint folder: drift and dives both start from them.
     """
-    unique = clean.keep_first(clean.clean_records(records))
+    unique = write_once(clean.keep_first(clean.clean_records(records)))
     drifting = drift.flag_surface_drift(unique, drift_step_s, drift_steps, slice_s=slice_s)
     dives = segments.dive_segments(
         clean.depth_rows(unique), depth_cutoff, dive_depth, max_gap_s, min_points, slice_s=slice_s

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; all of them can be changed on a live session.
 SETTINGS = {
@@ -43,6 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def write_once(df: DataFrame) -> DataFrame:
+    """Checkpoint rows that come straight from a reader with many parsed columns.
+
+    Spark derives conditions on every column from the parse expressions of the
+    others, which for such plans takes more memory than the driver has; the rows
+    need none of them, so the rule is off while they are written.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    rule = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(rule, "true")
+    spark.conf.set(rule, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(rule, before)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder through Spark's file systems, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import at
+from pelagica.operators import deployments
+from pelagica.plans import studies
 from pelagica.session import scratch_path, shared_dir
 from pelagica.sources import inventory, store, tables, tag_logs
 
@@ -61,6 +63,46 @@ def test_read_tags_numbers_rows_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_the_first_line_is_the_header(spark, tmp_path):
+    """Without ``device_id``, and with a data line that holds the word."""
+    write(tmp_path, "7_a.csv", "\ufeffUTC_datetime,datatype,depth_m\n\n2024-01-01 00:00:00,device_id,1\n2024-01-01 00:00:01,x,2\n")
+    write(tmp_path, "7_b.csv", "depth_m,UTC_datetime\n3,2024-01-01 00:00:00\n4,1/2/24 10:00\n")
+    for numbered in (True, False):
+        rows = tag_logs.read_tags(spark, str(tmp_path), min_bytes=0, number_rows=numbered).collect()
+        got = {r["depth_m"]: r["datetime"] for r in rows}
+        assert got == {1.0: datetime(2024, 1, 1), 2.0: datetime(2024, 1, 1, 0, 0, 1), 3.0: datetime(2024, 1, 1), 4.0: datetime(2024, 1, 2, 10)}
+    # rows of a tag are numbered over its files
+    assert {r["depth_m"]: r["foid"] for r in tag_logs.read_tags(spark, str(tmp_path), min_bytes=0).collect()} == {1.0: 1, 2.0: 2, 3.0: 3, 4.0: 4}
+    write(tmp_path, "8_a.csv", "depth_m,comment\n3,none\n")
+    with pytest.raises(Exception, match="no time column in .*8_a.csv"):
+        tag_logs.read_tags(spark, str(tmp_path), min_bytes=0).collect()
+
+
+def test_own_readers_feed_own_plans(spark, tmp_path):
+    """Deployments and logs from files into the as-of join, the study report and the chunk counts."""
+    write(
+        tmp_path, "dep.csv",
+        "Bird_ID,TagSerialNumber,Project_ID,DeploymentStartDatetime,Deployment_End_Short,DeploymentEndDatetime_UTC,UTC_offset_deploy,TagManufacture\n"
+        "a,7,P,1/1/24 0:00,x,1/5/24 0:00,0,M\nb,7,Q,1/10/2024 0:00,x,,0,M\nc,7,R,soon,x,,0,M\n",
+    )
+    lines = "".join(f"2024-01-{d:02d} 00:00:{s:02d},1.5,2.5,{5 if s in (3, 4, 5, 6) else 0}\n" for d in (2, 11, 12) for s in range(10))
+    write(tmp_path / "logs", "7_GPRS_20240101.csv", "UTC_datetime,Latitude,Longitude,depth_m\n" + lines)
+    table = tables.read_deployments(spark, str(tmp_path / "dep.csv"))
+    raw = spark.read.csv(str(tmp_path / "dep.csv"), header=True).withColumnRenamed("Bird_ID", "bird_id")
+    bad = tables.unparsed_times(raw, table, {"DeploymentStartDatetime": "dep_start"}, ["bird_id"]).collect()
+    assert [(r["bird_id"], r["text"]) for r in bad] == [("c", "soon")]
+    records = tag_logs.read_tags(spark, str(tmp_path / "logs"), min_bytes=0)
+    found = deployments.asof_deployment(records, table).groupBy("bird_id").count().collect()
+    assert {r["bird_id"]: r["count"] for r in found} == {"a": 10, "b": 20}
+    assert deployments.assign_deployment(records, table).count() == 30
+    annotated = studies.annotate_records(records, table)
+    report = {r["bird_id"]: r for r in studies.deployment_report(annotated).collect()}
+    assert {b: (r["n_depth"], r["udives_day"]) for b, r in report.items()} == {"a": (1, 1), "b": (2, 1)}
+    assert {(r["project_id"], r["n_depth"]) for r in studies.chunks_by_project(annotated).collect()} == {("P", 1), ("Q", 2)}
+    studies.store_studies(annotated, str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out"))[-2:] == ["project_id=P", "project_id=Q"]
+
+
 def test_small_files_are_skipped(spark, logs):
     assert tag_logs.read_tags(spark, str(logs), min_bytes=100).select("tag_id").distinct().count() == 2
     files = inventory.list_files(spark, str(logs))
