@@ -1,12 +1,17 @@
-"""Benchmark decontamination: a BM25 index of test items, searched with block-max WAND."""
+"""Benchmark decontamination: a BM25 index of test items, searched with block-max pruning.
+
+Block-max WAND moves item by item and asks at each step whether the maxima of the terms that could stand there reach the
+threshold.  Here the same bound is asked for all blocks of all passages of a text at once, in arrays, and whole blocks
+are passed over; what is retrieved is the same, all items above the threshold.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +23,11 @@ OVERLAP = 0.8
 # Share of an item's own BM25 score from which a passage is retrieved.
 SCORE = 0.5
 K1, B = 1.2, 0.75
-# Items in a block of the index, least distance of passages in words, and texts in one index.
-BLOCK = 8
+# Items in a block of the index, least distance of passages in words, passages searched at once, and texts in one index.
+BLOCK = 4
 STRIDE = 64
-INDEX_BYTES = 16 << 20
+PASSAGES = 512
+INDEX_BYTES = 1 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -55,19 +61,8 @@ def overlap(part: set[tuple[str, ...]], words: list[str]) -> float:
     return sum(s in have for s in part) / len(part)
 
 
-@dataclass
-class _List:
-    """Postings of one term: items in order and their scores, with a read position."""
-
-    items: list[int]
-    scores: list[float]
-    most: float
-    blocks: dict[int, float]
-    at: int = 0
-
-
 class Index:
-    """BM25 postings of items, scores divided by each item's own score, with block maxima."""
+    """BM25 postings of items, scores divided by each item's own score, with the maxima of blocks of items."""
 
     def __init__(self, items: list[tuple[int | None, str]], block: int = BLOCK) -> None:
         texts = [(i, words_of(t), question_and_answer(t)) for i, t in items]
@@ -76,103 +71,79 @@ class Index:
         self.block = block
         n = len(self.items)
         self.longest = max((len(w) for _, w, _ in self.items), default=0)
+        self.stride = max(STRIDE, self.longest)
         mean = sum(len(w) for _, w, _ in self.items) / max(1, n)
-        found: dict[str, list[tuple[int, float]]] = defaultdict(list)
         frequency = Counter(t for _, w, _ in self.items for t in set(w))
+        self.terms = {term: t for t, term in enumerate(sorted(frequency))}
+        found: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for k, (_, words, _) in enumerate(self.items):
             norm = K1 * (1 - B + B * len(words) / mean)
             scores = {t: self._idf(n, frequency[t]) * f * (K1 + 1) / (f + norm) for t, f in Counter(words).items()}
             own = sum(scores.values())
             for term, score in scores.items():
-                found[term].append((k, score / own))
-        self.terms = {term: t for t, term in enumerate(sorted(found))}
-        self.lists: list[_List] = []
-        self.bounds = np.zeros((len(found) + 1, -(-n // block)), dtype=np.float32)  # the last row: unknown words
-        for t, term in enumerate(sorted(found)):
-            items_of, scores_of = [k for k, _ in found[term]], [s for _, s in found[term]]
-            blocks: dict[int, float] = {}
-            for k, s in found[term]:
-                blocks[k // block] = max(blocks.get(k // block, 0.0), s)
-            for b, s in blocks.items():
-                self.bounds[t, b] = s
-            self.lists.append(_List(items_of, scores_of, max(scores_of), blocks))
+                found[self.terms[term]].append((k, score / own))
+        # postings of all terms one after another, each in the order of items
+        self.first = np.cumsum([0, *map(len, found)])
+        self.item = np.array([k for postings in found for k, _ in postings], dtype=np.int64)
+        self.score = np.array([s for postings in found for _, s in postings], dtype=float)
+        self.most = np.zeros((len(found), -(-n // block)), dtype=np.float32)
+        np.maximum.at(self.most, (np.repeat(np.arange(len(found)), np.diff(self.first)), self.item // block), self.score)
 
     @staticmethod
     def _idf(n: int, f: int) -> float:
         return math.log(1 + (n - f + 0.5) / (f + 0.5))
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: all items whose score for the terms reaches the threshold."""
-        last = len(self.items)
-        lists = [_List(x.items, x.scores, x.most, x.blocks) for x in (self.lists[t] for t in terms)]
-        found = []
-        slack = threshold - 1e-6
-        while True:
-            lists = sorted((x for x in lists if x.at < len(x.items)), key=lambda x: x.items[x.at])
-            bound, pivot = 0.0, None
-            for x in lists:
-                bound += x.most
-                if bound >= slack:
-                    pivot = x.items[x.at]
-                    break
-            if pivot is None:
-                return found
-            block = pivot // self.block
-            near = [x for x in lists if x.items[x.at] <= pivot]
-            if sum(x.blocks.get(block, 0.0) for x in near) < slack:
-                # no item up to the block's end, or to the next list's item, can reach it
-                others = [x.items[x.at] for x in lists if x.items[x.at] > pivot]
-                to = min([(block + 1) * self.block, last, *others])
-                self._skip(near, to)
-            elif near[0].items[near[0].at] == pivot:
-                score = sum(x.scores[x.at] for x in near)
-                if score >= slack:
-                    found.append((pivot, score))
-                self._skip(near, pivot + 1)
-            else:
-                self._skip([x for x in near if x.items[x.at] < pivot], pivot)
+    def search(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages and items whose score reaches the threshold, with the score.
 
-    @staticmethod
-    def _skip(lists: list[_List], to: int) -> None:
-        for x in lists:
-            while x.at < len(x.items) and x.items[x.at] < to:
-                x.at += 1
-
-    def passages(self, words: list[str], threshold: float) -> Iterator[tuple[int, list[int]]]:
-        """Start and known terms of every passage that some block of items may match.
-
-        Passages are so long, and overlap so far, that an item's words lie whole in one.
+        ``passage`` is sorted, with its distinct terms.  Block-max pruning, for many passages at once: where the block maxima
+        of a passage's terms don't add up to the threshold, no item of the block can reach it, and
+        the block's postings are passed over; in the other blocks every posting is added up.
         """
-        known, unknown = self.terms, len(self.terms)
-        ids = np.array([known.get(w, unknown) for w in words], dtype=np.int64)
-        places = np.flatnonzero(ids != unknown)
-        if not len(places):
-            return
-        stride = max(STRIDE, self.longest)
-        # a passage is one stride and the longest item; each word counts for the passage of its stride and the one before
-        terms, first = ids[places], places // stride
-        back = places - first * stride < self.longest
-        both = np.concatenate((first * (unknown + 1) + terms, (first[back] - 1) * (unknown + 1) + terms[back]))
-        both = np.unique(both[both >= 0])
-        passage, term = both // (unknown + 1), both % (unknown + 1)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(passage) > 0)))
-        reach = np.add.reduceat(self.bounds[term], starts, axis=0).max(axis=1)
-        ends = np.concatenate((starts[1:], [len(both)]))
-        for i in np.flatnonzero(reach >= threshold - 1e-4).tolist():
-            yield int(passage[starts[i]]) * stride, term[starts[i] : ends[i]].tolist()
+        reach = np.add.reduceat(self.most[term], starts, axis=0) >= threshold - 1e-4
+        sizes = np.diff(np.append(starts, len(passage)))
+        row = np.repeat(np.arange(len(starts)), sizes)
+        use = reach.any(axis=1)[row]
+        row, term = row[use], term[use]
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, item = np.repeat(row, n), self.item[at]
+        inside = reach[row, item // self.block]
+        keys, place = np.unique(row[inside] * len(self.items) + item[inside], return_inverse=True)
+        score = np.bincount(place, weights=self.score[at[inside]], minlength=len(keys))
+        hit = score >= threshold - 1e-6
+        return passage[starts][keys[hit] // len(self.items)], keys[hit] % len(self.items), score[hit]
+
+    def passages(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Passage numbers, sorted, and the distinct known terms of each.
+
+        A passage is one stride and the longest item, so that an item's words lie whole in one.
+        """
+        ids = np.fromiter(map(self.terms.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        places = np.flatnonzero(ids >= 0)
+        terms, first = ids[places], places // self.stride
+        # a word counts for the passage of its stride, and for the one before if that reaches so far
+        back = (places - first * self.stride < self.longest) & (first > 0)
+        size = len(self.terms)
+        both = np.sort(np.concatenate((first * size + terms, (first[back] - 1) * size + terms[back])))
+        both = both[np.concatenate(([True], np.diff(both) > 0))] if len(both) else both
+        return both // size if size else both, both % size if size else both
 
     def leaks(self, text: str | None, score: float = SCORE, share: float = OVERLAP) -> list[tuple]:
         """``item, score, question overlap, answer overlap, first word of the passage`` of every verified item."""
         words = words_of(text)
-        stride = max(STRIDE, self.longest)
+        passage, term = self.passages(words)
         best: dict[int, tuple] = {}
-        for start, terms in self.passages(words, score):
-            for k, found in self.search(terms, score):
+        cuts = np.unique(np.searchsorted(passage, np.arange(0, passage[-1] + 1, PASSAGES))) if len(passage) else []
+        for a, b in zip(cuts, [*cuts[1:], len(passage)]):
+            for p, k, found in zip(*(x.tolist() for x in self.search(passage[a:b], term[a:b], score))):
                 item, _, (question, answer) = self.items[k]
-                own = words[start : start + stride + self.longest]
-                q, a = overlap(question, own), overlap(answer, own)
-                if q >= share and a >= share and (k not in best or (found, -start) > (best[k][1], -best[k][4])):
-                    best[k] = (item, found, q, a, start)
+                start = p * self.stride
+                own = words[start : start + self.stride + self.longest]
+                q, a_ = overlap(question, own), overlap(answer, own)
+                if q >= share and a_ >= share and (k not in best or (found, -start) > (best[k][1], -best[k][4])):
+                    best[k] = (item, found, q, a_, start)
         return [best[k] for k in sorted(best)]
 
 
@@ -199,7 +170,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, shar
     """A row for every document and test item whose question and answer it repeats.
 
     Every passage of every whole text queries the index; items that reach ``score`` of their own BM25 score are
-    retrieved by block-max WAND, none is left out, and verified: at least ``share`` of the five-word shingles
+    retrieved with block-max pruning, none is left out, and verified: at least ``share`` of the five-word shingles
     of the question, and of the answer, stand in the passage.  Words are runs of letters, digits and underscores in lower case.
     ``start_word`` is where the best passage starts.
 

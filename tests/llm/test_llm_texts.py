@@ -177,21 +177,27 @@ def bench_items(rng, n):
     return [(i, " ".join(sentence(rng.randint(4, 15)) for _ in range(rng.randint(1, 4)))) for i in range(n)], sentence
 
 
-def test_wand_finds_all_above_the_threshold():
+def test_search_finds_all_above_the_threshold():
     rng = random.Random(6)
     items, sentence = bench_items(rng, 120)
     for block in (1, 4, 64):
         index = decontaminate.Index(items, block)
-        for _ in range(60):
-            words = decontaminate.words_of(sentence(40) + " " + rng.choice(items)[1][: rng.randint(20, 200)])
-            terms = sorted({index.terms[w] for w in words if w in index.terms})
-            scores = Counter()
-            for t in terms:
-                for k, s in zip(index.lists[t].items, index.lists[t].scores):
-                    scores[k] += s
+        for _ in range(30):
+            text = " ".join(sentence(60) + " " + rng.choice(items)[1][: rng.randint(20, 200)] for _ in range(4))
+            words = decontaminate.words_of(text)
+            passage, term = index.passages(words)
             for threshold in (0.3, 0.6):
-                want = {k: round(s, 9) for k, s in scores.items() if s >= threshold - 1e-6}
-                assert {k: round(s, 9) for k, s in index.search(terms, threshold)} == want
+                want = {}
+                for p in range(-(-len(words) // index.stride)):
+                    own = set(words[p * index.stride : (p + 1) * index.stride + index.longest])
+                    scores = Counter()
+                    for w in own & index.terms.keys():
+                        t = index.terms[w]
+                        for at in range(index.first[t], index.first[t + 1]):
+                            scores[int(index.item[at])] += index.score[at]
+                    want |= {(p, k): round(float(s), 9) for k, s in scores.items() if s >= threshold - 1e-6}
+                got = index.search(passage, term, threshold)
+                assert {(int(p), int(k)): round(float(s), 9) for p, k, s in zip(*got)} == want
 
 
 def test_leaks_against_brute_force(spark):
