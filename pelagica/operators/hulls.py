@@ -202,15 +202,8 @@ def _tile(value: Column, tile_deg: float) -> Column:
     return F.floor(value / F.lit(tile_deg))
 
 
-def clip_cells(
-    cells: DataFrame, corners: DataFrame, key: str, tile_deg: float = 1.0
-) -> DataFrame:
-    """Raster cells whose centre lies inside a hull, once per hull.
-
-    Hull boxes are cut into tiles of a fixed size, which makes the join an
-    equality on the tile.  Tiles wholly inside a hull need no further test; the
-    others compare their cells with the hull's edges.
-    """
+def _hull_tiles(corners: DataFrame, key: str, tile_deg: float) -> DataFrame:
+    """Tiles that hull boxes touch; ``edges`` is NULL for those wholly inside the hull."""
     hulls = hull_polygons(corners, key).withColumn("edges", _edges("ring"))
     tiles = (
         hulls.withColumn(
@@ -225,10 +218,23 @@ def clip_cells(
     whole = F.lit(True)
     for px, py in sides:
         whole = whole & _inside(px, py, F.col("edges"))
-    tiles = tiles.select(
-        key, "tx", "ty", F.when(~whole, F.col("edges")).alias("edges")
-    )
-    placed = cells.withColumns({"tx": _tile(F.col("x"), tile_deg), "ty": _tile(F.col("y"), tile_deg)})
+    return tiles.select(key, "tx", "ty", F.when(~whole, F.col("edges")).alias("edges"))
+
+
+def _placed(cells: DataFrame, tile_deg: float) -> DataFrame:
+    return cells.withColumns({"tx": _tile(F.col("x"), tile_deg), "ty": _tile(F.col("y"), tile_deg)})
+
+
+def clip_cells(
+    cells: DataFrame, corners: DataFrame, key: str, tile_deg: float = 1.0
+) -> DataFrame:
+    """Raster cells whose centre lies inside a hull, once per hull.
+
+    Hull boxes are cut into tiles of a fixed size, which makes the join an
+    equality on the tile.  Tiles wholly inside a hull need no further test; the
+    others compare their cells with the hull's edges.
+    """
+    tiles, placed = _hull_tiles(corners, key, tile_deg), _placed(cells, tile_deg)
     inside = F.col("edges").isNull() | _inside(F.col("x"), F.col("y"), F.col("edges"))
     return placed.join(tiles, ["tx", "ty"]).filter(inside).select(key, *cells.columns)
 
@@ -240,6 +246,24 @@ def with_class_names(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
+def class_counts_inside(
+    cells: DataFrame, corners: DataFrame, lookup: DataFrame, key: str, tile_deg: float = 1.0
+) -> DataFrame:
+    """Cells per hull and class, cells without a class left out.
+
+    Cells are counted by tile and class once; tiles wholly inside a hull add
+    those counts, and only the tiles at a hull's edge look at their cells again.
+    """
+    tiles = _hull_tiles(corners, key, tile_deg)
+    placed = _placed(cells.filter(F.col("layer").isNotNull()), tile_deg)
+    counts = placed.groupBy("tx", "ty", "layer").agg(F.count("*").alias("n"))
+    whole = tiles.filter(F.col("edges").isNull()).join(counts, ["tx", "ty"]).select(key, "layer", "n")
+    cut = placed.join(tiles.filter(F.col("edges").isNotNull()), ["tx", "ty"])
+    cut = cut.filter(_inside(F.col("x"), F.col("y"), F.col("edges"))).groupBy(key, "layer").agg(F.count("*").alias("n"))
+    total = whole.unionByName(cut).groupBy(key, "layer").agg(F.sum("n").alias("n"))
+    return with_class_names(total, lookup).select(key, "layer", "tid_short", "measurement", "n")
+
+
 def class_counts(
     cells: DataFrame, keys: Sequence[str], by: Sequence[str] = ("layer", "tid_short", "measurement")
 ) -> DataFrame:

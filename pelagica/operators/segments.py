@@ -281,13 +281,14 @@ def daily_dives(
 ) -> DataFrame:
     """Dive chunks, times and depths per tag and day.
 
-    With ``count_null`` rows outside any dive chunk count as one more.
+    ``count_null`` adds ``n_with_null``, in which rows outside any dive chunk
+    count as one more.
     """
     chunks = F.countDistinct("dive_chunk")
-    if count_null:
-        chunks = chunks + F.max(F.col("dive_chunk").isNull().cast("int"))
+    more = [(chunks + F.max(F.col("dive_chunk").isNull().cast("int"))).alias("n_with_null")] if count_null else []
     return dives.groupBy(key, F.to_date("datetime").alias("date")).agg(
         chunks.alias("n"),
+        *more,
         F.min("datetime").alias("min_dt"),
         F.max("datetime").alias("max_dt"),
         F.max("depth_m").alias("max_depth"),

@@ -22,5 +22,4 @@ def habitat_classes(
 ) -> DataFrame:
     """Raster cells per class inside each group's hull."""
     corners = hulls.convex_hull(positions, key, lon, lat)
-    clipped = hulls.clip_cells(cells, corners, key)
-    return hulls.class_counts(hulls.with_class_names(clipped, lookup), [key])
+    return hulls.class_counts_inside(cells, corners, lookup, key)

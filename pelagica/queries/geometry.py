@@ -11,6 +11,8 @@ from ..sources import tables
 from .registry import Tables, query
 
 PROJECTS = ("P1", "P3")
+# A fifth of a degree in units of 1e-7 degrees.
+TILE = 2_000_000.0
 
 
 def _raw_dives(t: Tables) -> DataFrame:
@@ -144,18 +146,19 @@ clipped AS (SELECT h.g AS home, c.x, c.y, c.layer FROM whole_cells c
 )
 
 
-def _clipped(t: Tables) -> DataFrame:
-    known = _known_fixes(t).withColumnRenamed("project_id", "home")
-    corners = hulls.convex_hull(known, "home")
+def _project_hulls(t: Tables) -> DataFrame:
+    return hulls.convex_hull(_known_fixes(t).withColumnRenamed("project_id", "home"), "home")
+
+
+def _whole_cells(t: Tables) -> DataFrame:
     cells = t.raster_cells.withColumnsRenamed({"x": "lon", "y": "lat"})
-    cells = cells.withColumns({"x": _whole(F.col("lon"), 10_000), "y": _whole(F.col("lat"), 10_000)})
-    clipped = hulls.clip_cells(cells, corners, "home", 10_000_000.0)
-    return clipped.drop("x", "y").withColumnsRenamed({"lon": "x", "lat": "y"})
+    return cells.withColumns({"x": _whole(F.col("lon"), 10_000), "y": _whole(F.col("lat"), 10_000)})
 
 
 @query("raster_clip_hull", "WITH " + CLIPPED + "\nSELECT * FROM clipped")
 def raster_clip_hull(t: Tables) -> DataFrame:
-    return _clipped(t)
+    clipped = hulls.clip_cells(_whole_cells(t), _project_hulls(t), "home", TILE)
+    return clipped.drop("x", "y").withColumnsRenamed({"lon": "x", "lat": "y"})
 
 
 @query(
@@ -178,7 +181,7 @@ FROM clipped c LEFT JOIN {raster_lookup} l ON l.tid = c.layer
 WHERE c.layer IS NOT NULL GROUP BY 1, 2, 3, 4""",
 )
 def raster_class_counts(t: Tables) -> DataFrame:
-    return hulls.class_counts(hulls.with_class_names(_clipped(t), t.raster_lookup), ["home"])
+    return hulls.class_counts_inside(_whole_cells(t), _project_hulls(t), t.raster_lookup, "home", TILE)
 
 
 @query(

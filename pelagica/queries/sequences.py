@@ -164,11 +164,7 @@ more AS (SELECT tag_id, CAST(datetime AS date) AS date, count(DISTINCT dive_chun
 SELECT daily.*, more.n_with_null FROM daily JOIN more USING (tag_id, date)""",
 )
 def daily_dives(t: Tables) -> DataFrame:
-    dives = _dives(t)
-    with_null = segments.daily_dives(dives, count_null=True)
-    return segments.daily_dives(dives).join(
-        with_null.select("tag_id", "date", F.col("n").alias("n_with_null")), ["tag_id", "date"]
-    )
+    return segments.daily_dives(_dives(t), count_null=True)
 
 
 @query(

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Scratch paths by application, for clear_scratch.
+_made: dict[str, list[str]] = {}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Put the runtime settings in place and return the session."""
@@ -69,4 +72,22 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what finished jobs of this application left in the shared folder.
+
+    To be called once their results are written: frames that are still to be
+    read from scratch tables or checkpoints can't be read afterwards.
+    """
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        remove_path(spark, path)
+    checkpoints = spark.sparkContext.getCheckpointDir()
+    if checkpoints:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoints)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoints}/rdd-*")) or []:
+            files.delete(found.getPath(), True)

@@ -56,6 +56,22 @@ def test_neighbours_and_counts_cross_slices(spark, width):
             assert r["rises"] == rises
 
 
+def test_rows_without_a_time_come_first(spark):
+    """Before 1970 as well, and in the order of their numbers over many slices."""
+    from pelagica.operators import slices
+
+    rows = [(1, None, i, i) for i in range(40)] + [(1, at(-60 * 365 * 86_400 + i), 100 + i, i) for i in range(5)] + [(1, at(5), 200, 1)]
+    df = spark.createDataFrame(rows, "tag_id long, datetime timestamp, foid long, v long")
+    target, slices.TARGET_ROWS = slices.TARGET_ROWS, 7
+    try:
+        sliced = with_slice(df, 100)
+        assert sliced.filter("datetime IS NULL").select(SLICE).distinct().count() == 6
+        got = {r["foid"]: r["n"] for r in running_sums(sliced, {"n": F.lit(1)}).collect()}
+    finally:
+        slices.TARGET_ROWS = target
+    assert got == {row[2]: i + 1 for i, row in enumerate(rows)}
+
+
 @pytest.mark.parametrize("width", [1, 7, 10_000])
 def test_running_sums(spark, width):
     rows, df = timeline(spark, 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from brute import at
 from pelagica.operators import deployments
 from pelagica.plans import studies
-from pelagica.session import scratch_path, shared_dir
+from pelagica.session import clear_scratch, scratch_path, shared_dir
 from pelagica.sources import inventory, store, tables, tag_logs
 
 
@@ -189,6 +189,19 @@ def test_writers(spark, tmp_path):
     assert store.read_table(spark, str(tmp_path / "t")).count() == 2
 
 
+def test_scratch_is_cleared(spark):
+    paths = [scratch_path(spark, "a"), scratch_path(spark, "b")]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    kept = spark.range(5).checkpoint()
+    assert kept.count() == 5
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert any(name.startswith("rdd-") for name in os.listdir(folder))
+    clear_scratch(spark)
+    assert not any(os.path.exists(path) for path in paths)
+    assert not any(name.startswith("rdd-") for name in os.listdir(folder))
+
+
 def test_shared_dir_is_reused(spark):
     assert shared_dir(spark) == shared_dir(spark)
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
