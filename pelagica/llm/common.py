@@ -33,6 +33,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """``x_id``: at most ``most`` distinct ids, those with the least hashes, stored.
+
+    Only hashes up to twice the share that is wanted are sorted, so that no task and not the driver gets more
+    ids for a larger table.
+    """
+    ids = df.select(F.col(id_col).alias("x_id")).where("x_id is not null").distinct()
+    share = min(1.0, 2 * most / max(1, ids.count()))
+    low = F.xxhash64("x_id").bitwiseAND(F.lit((1 << 40) - 1)) <= int(share * (1 << 40))
+    return stored(ids.where(low).orderBy(F.xxhash64("x_id").bitwiseAND(F.lit((1 << 40) - 1)), "x_id").limit(most), "sample")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder through Spark's file systems, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

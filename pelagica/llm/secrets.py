@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_ids, stored
+
 # The patterns of the base kinds, in their listed order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -19,7 +21,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STRING = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 SAMPLE_DOCS = 20_000
-MARGIN = 0.7
+MARGIN = 1.5
 SMOOTH = 8.0
 USED = 3
 
@@ -97,20 +99,24 @@ def fit_markov(
 
     The labelled samples come from ``sample_docs`` documents, chosen by the hash of their id
     (a bound on the training rows only): values that the base patterns mark are the random strings, other strings
-    of six or more known characters that ``USED`` or more of the documents hold the ordinary identifiers.  Of the random model half is
+    of six or more known characters that ``USED`` or more of the documents hold, in the forms that programs give
+    to words, the ordinary identifiers.  Of the random model half is
     uniform, so that alphabets which the samples don't show are covered.  At most
     ``len(LETTERS) ** 2`` counts for each model reach the driver.
     """
-    chosen = docs.select(F.col(id_col).alias("x_id")).orderBy(F.xxhash64("x_id"), "x_id").limit(sample_docs)
-    few = docs.join(chosen.distinct(), docs[id_col] == F.col("x_id"), "left_semi")
-    spans = base_spans(few, id_col, text_col)
+    chosen = sample_ids(docs, id_col, sample_docs)
+    few = docs.join(chosen, docs[id_col] == chosen["x_id"], "left_semi")
+    spans = stored(base_spans(few, id_col, text_col), "spans")
     value = F.expr(f"transform(x_base, x -> if(x.k = 0, regexp_extract(x.v, '{_java(ASSIGN)}', 2), x.v))")
     random = spans.select(F.explode(value).alias("v"))
     # take the marked values out before the ordinary strings are collected
     rest = F.expr("aggregate(x_base, x_text, (t, x) -> replace(t, x.v, ' '))")
     words = F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))
     # an identifier is used again and again, a random string is not
-    ordinary = spans.select(F.explode(F.array_distinct(words)).alias("v")).groupBy("v").count().where(f"count >= {USED}")
+    used = spans.select(F.explode(F.array_distinct(words)).alias("v")).groupBy("v").count().where(f"count >= {USED}")
+    # the forms in which programs write such words
+    forms = "array(v, upper(v), concat(v, initcap(v)), concat(v, '_', v), concat(v, '-', v), concat(upper(v), '_', upper(v)), concat(v, '/', v))"
+    ordinary = used.select(F.expr(f"explode({forms})").alias("v"))
     tables = []
     for strings, blend in ((random, 0.5), (ordinary, 0.0)):
         known = _pairs(strings, "v").where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
@@ -128,7 +134,7 @@ def find_secrets(
     """``doc_id, base, added``: spans of secrets in every whole text.
 
     ``base`` holds the spans of the fixed patterns, ``added`` the further strings of 16 or more
-    known characters whose mean log-likelihood ratio for each pair of characters exceeds ``margin`` and which
+    known characters, letters and digits among them, whose mean log-likelihood ratio for each pair of characters exceeds ``margin`` and which
     overlap no base span.  Spans are structs of start, end (exclusive, in code points), kind number and
     value.  Null and empty texts have no spans; repeated rows each get their row; other columns are ignored.
     """
@@ -143,7 +149,7 @@ def find_secrets(
         base_spans(docs, id_col, text_col)
         .withColumn("x_parts", _parts("x_text", STRING))
         .drop("x_text")
-        .withColumn("x_more", F.expr(_spans("x_parts", 3)))
+        .withColumn("x_more", F.expr(_spans("x_parts", 3, "x.v rlike '[0-9]' and x.v rlike '[A-Za-z]'")))
         .withColumn("x_more", F.expr(f"filter(x_more, x -> {free})"))
         .withColumn("x_more", F.expr(f"transform(x_more, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'v', x.v, 'c', {codes}))"))
         .withColumn("x_table", F.expr(table))
