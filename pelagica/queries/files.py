@@ -81,10 +81,10 @@ LAYOUTS = {
 }
 
 
-def write_logs(t: Tables) -> str:
-    """Write all records as logger files: a folder per project, a name per tag."""
-    path = scratch_path(t.spark, "logs")
-    known = t.tag_records.join(
+def write_logs(t: Tables, path: str | None = None, part: str = "true") -> str:
+    """Write records as logger files: a folder per project, a name per tag."""
+    path = path or scratch_path(t.spark, "logs")
+    known = t.tag_records.filter(part).join(
         deployments.latest_deployment(t.deployments).select("tag_id", "project_id"),
         "tag_id",
         "left",

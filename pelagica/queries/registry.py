@@ -40,6 +40,11 @@ def _slice_seconds(spark: SparkSession, sf_dir: str) -> int:
     return measure_slice_seconds(records.select("tag_id", "datetime"))
 
 
+def forget_slices() -> None:
+    """Measure slice widths anew, for files that have changed or timings."""
+    _slice_seconds.cache_clear()
+
+
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     """Register a query, with the SQL that must give the same rows."""
 

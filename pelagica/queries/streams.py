@@ -7,10 +7,13 @@ condition on the batch data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import dives, jobs
 from . import views
+from .files import write_logs
+from .records import LATEST
 from .registry import Tables, query
 from .sequences import DIVE, dive_ctes
 
@@ -43,6 +46,32 @@ def stream_ingest(t: Tables) -> DataFrame:
     return t.spark.read.schema(records.schema).parquet(out)
 
 
+@query(
+    "stream_logs",
+    "WITH "
+    + LATEST
+    + """
+SELECT CAST(r.tag_id AS string) AS tag_id, r.datetime, r.datatype, r.lat, r.lon, r.depth_m,
+  coalesce(l.project_id, 'none') AS project_id
+FROM {tag_records} r LEFT JOIN latest l ON l.tag_id = r.tag_id""",
+)
+def stream_logs(t: Tables) -> DataFrame:
+    """Logger files of three layouts, arriving in two lots; a third start finds nothing new."""
+    arrived, out, checkpoint = (scratch_path(t.spark, n) for n in ("logs", "ingested", "logs-checkpoint"))
+    folder = F.regexp_extract("file_path", r"/file=([^/]+)/", 1)
+    each = jobs.log_batches(
+        out,
+        min_bytes=0,
+        name_column=F.split_part(folder, F.lit("_"), F.lit(1)),
+        project=F.regexp_extract("file_path", r"/project=([^/]+)/", 1),
+    )
+    for part in ("tag_id % 2 = 0", "tag_id % 2 = 1", "false"):
+        write_logs(t, arrived, part)
+        jobs.run_batches(jobs.stream_log_files(t.spark, arrived, 100_000), each, checkpoint)
+    read = t.spark.read.parquet(out)
+    return read.select("tag_id", "datetime", "datatype", "lat", "lon", "depth_m", "project_id")
+
+
 @query(
     "stream_dedupe",
     "SELECT DISTINCT tag_id, date_trunc('hour', datetime) AS datetime FROM {tag_records}",

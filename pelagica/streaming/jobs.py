@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.inventory import MIN_FILE_BYTES
+from ..sources.tag_logs import read_tags
 
 
 def stream_files(
@@ -59,9 +60,31 @@ def run_batches(
     query.awaitTermination()
 
 
-def with_data_only(lines: DataFrame, min_bytes: int = MIN_FILE_BYTES) -> DataFrame:
-    """Rows of files larger than a bare header."""
-    return lines.filter(F.col("_metadata.file_size") > min_bytes)
+def stream_log_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Logger files of a folder as a stream of their paths; contents are not read."""
+    schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+    files = stream_files(
+        spark, path, schema, "binaryFile", "*.csv", files_per_batch, recursiveFileLookup="true"
+    )
+    return files.select("path", "length")
+
+
+def log_batches(out: str, min_bytes: int = MIN_FILE_BYTES, **options) -> Callable[[DataFrame, int], None]:
+    """The function for ``foreachBatch``: read each batch's files by their own headers.
+
+    ``out`` receives ``batch=<id>`` folders, written over when a batch is
+    repeated.  The driver sees the paths of one batch, as many as
+    ``files_per_batch`` allows; ``options`` go to ``read_tags``.  Row numbers
+    count over the tag's files of a batch.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r["path"] for r in batch.filter(F.col("length") > min_bytes).select("path").collect())
+        if paths:
+            records = read_tags(batch.sparkSession, paths, min_bytes=min_bytes, **options)
+            records.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return each
 
 
 def dedupe(records: DataFrame, delay: str, keys: tuple[str, ...] = ("tag_id", "datetime")) -> DataFrame:
