@@ -190,17 +190,19 @@ def dive_segments(
     belongs to the later one.  Other rows carry NULL.
     """
     rows = with_slice(df.select(key, time, tie, depth), slice_s, time)
-    # Read three times below; written once instead of being worked out thrice.
+    # Read twice below; written once instead of being worked out twice.
     shared_dir(df.sparkSession)
     rows = _flag_rows(rows, max_gap_s, depth_cutoff, key, time, tie, depth).checkpoint()
 
-    # One row per run and slice, then per run; and the chunks deep enough.
+    # One row per run and slice, of which all that follows is made; then per
+    # run, and the chunks deep enough.
     pieces = rows.groupBy(key, SLICE, "chunk", "run").agg(
         F.count("*").alias("n"),
+        F.max(depth).alias("deepest"),
         F.max("opens").alias("opens"),
         F.max("closes").alias("closes"),
         F.max("submerged").alias("submerged"),
-    )
+    ).checkpoint()
     runs = pieces.groupBy(key, "chunk", "run").agg(
         F.sum("n").alias("n"),
         F.max("opens").alias("opens"),
@@ -209,8 +211,8 @@ def dive_segments(
         F.min(SLICE).alias(SLICE),
     )
     deep = (
-        rows.groupBy(key, "chunk")
-        .agg(F.count("*").alias("_n"), F.max(depth).alias("_deepest"))
+        pieces.groupBy(key, "chunk")
+        .agg(F.sum("n").alias("_n"), F.max("deepest").alias("_deepest"))
         .filter((F.col("_deepest") >= dive_depth) & (F.col("_n") >= min_points))
         .select(key, "chunk")
     )
@@ -277,17 +279,18 @@ def dive_summary(dives: DataFrame, key: str = "tag_id") -> DataFrame:
 
 
 def daily_dives(
-    dives: DataFrame, key: str = "tag_id", count_null: bool = False
+    dives: DataFrame, key: str = "tag_id", count_null: bool = False, both: bool = False
 ) -> DataFrame:
     """Dive chunks, times and depths per tag and day.
 
-    ``count_null`` adds ``n_with_null``, in which rows outside any dive chunk
-    count as one more.
+    With ``count_null`` rows outside any dive chunk count as one more; ``both``
+    adds that count as ``n_with_null`` beside the plain one.
     """
     chunks = F.countDistinct("dive_chunk")
-    more = [(chunks + F.max(F.col("dive_chunk").isNull().cast("int"))).alias("n_with_null")] if count_null else []
+    with_null = chunks + F.max(F.col("dive_chunk").isNull().cast("int"))
+    more = [with_null.alias("n_with_null")] if both else []
     return dives.groupBy(key, F.to_date("datetime").alias("date")).agg(
-        chunks.alias("n"),
+        (with_null if count_null else chunks).alias("n"),
         *more,
         F.min("datetime").alias("min_dt"),
         F.max("datetime").alias("max_dt"),

@@ -164,7 +164,7 @@ more AS (SELECT tag_id, CAST(datetime AS date) AS date, count(DISTINCT dive_chun
 SELECT daily.*, more.n_with_null FROM daily JOIN more USING (tag_id, date)""",
 )
 def daily_dives(t: Tables) -> DataFrame:
-    return segments.daily_dives(_dives(t), count_null=True)
+    return segments.daily_dives(_dives(t), both=True)
 
 
 @query(
