@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_ids
+
 # Fixed values of HTML: elements without content, with raw text, that are never shown, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript noframes iframe object svg math canvas audio video textarea select option button title".split())
@@ -395,18 +397,20 @@ def made_page(rng: random.Random) -> str:
     return "<body>" + "".join(map(other, before)) + middle + "".join(map(other, after)) + "</body>"
 
 
-def train(pages: DataFrame, html_col: str = "html", sample: int = CORPUS_PAGES, made: int = MADE_PAGES) -> TreeModel:
-    """Fit on ``made`` pages made by rule and on up to ``sample`` pages of the corpus, chosen by hash.
+def train(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = CORPUS_PAGES, made: int = MADE_PAGES
+) -> TreeModel:
+    """Fit on ``made`` pages made by rule and on up to ``sample`` pages of the corpus, chosen by the hash of their id.
 
     A corpus page is labelled by its own structure if it has exactly one ``article`` element.
     """
     rng = random.Random(SEED)
     trees = [label_by_mark(parse(made_page(rng))) for _ in range(made)]
-    key = F.xxhash64(F.col(html_col))
-    size = F.octet_length(html_col)
+    chosen = sample_ids(pages, id_col, 4 * sample)
+    few = pages.join(chosen, pages[id_col] == chosen["x_id"], "left_semi")
     # the sample is for weights only: pages of usual length do
-    usual = pages.where(F.col(html_col).rlike("(?i)<article") & (size < 20_000)).select(key.alias("k"), F.col(html_col).alias("h"))
-    for row in usual.orderBy("k").limit(sample).collect():
+    usual = few.where(F.col(html_col).rlike("(?i)<article") & (F.octet_length(html_col) < 20_000))
+    for row in usual.select(F.xxhash64(html_col).alias("k"), F.col(html_col).alias("h")).orderBy("k").limit(sample).collect():
         labelled = label_by_structure(parse(row["h"]))
         if labelled:
             trees.append(labelled)
