@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sample_ids, stored
 
 # Bounds of the training sample (labelled ids of each class) and of the model.
 SAMPLE = 4_000
@@ -110,7 +110,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         .groupBy(F.col("doc_id").alias("x_id"))
         .agg(F.max("toxic").alias("x_toxic"))
     )
-    parts = [known.where(F.col("x_toxic") == k).orderBy(F.xxhash64("x_id"), "x_id").limit(sample) for k in (0, 1)]
+    parts = [sample_ids(known.where(F.col("x_toxic") == k), "x_id", sample).withColumn("x_toxic", F.lit(k)) for k in (0, 1)]
     chosen = stored(parts[0].union(parts[1]), "chosen")
     texts = docs.join(chosen, docs["doc_id"] == chosen["x_id"]).where(F.col("text").isNotNull())
     distinct = texts.groupBy(F.xxhash64("text").alias("x_hash")).agg(
