@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +162,19 @@ def store_roundtrip(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "summary_roundtrip",
+    "SELECT tag_id, datatype, count(*) AS no_rows FROM {tag_records} GROUP BY 1, 2",
+)
+def summary_roundtrip(t: Tables) -> DataFrame:
+    """Counts through a dated summary file; the second write of a day replaces the first."""
+    folder = scratch_path(t.spark, "summaries")
+    counts = summary.datatype_counts(t.tag_records)
+    store.write_summary(counts.limit(0), folder, "counts", date(2024, 1, 31))
+    path = store.write_summary(counts, folder, "counts", date(2024, 1, 31))
+    return t.spark.read.schema(counts.schema).csv(path, header=True)
+
+
 @query(
     "store_by_project",
     """
