@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, drift, segments, summary
 from ..operators.slices import DAY_S
 from ..session import write_once
+from ..sources.inventory import RECENT_DAYS, with_recent_last_record
+from ..sources.tag_logs import MIN_FILE_BYTES, read_tags
 
 
 def daily_status(
@@ -72,3 +76,26 @@ def weekly_status(
     also = [*end, *[c for c in ("device_id",) if c in records.columns]]
     report = summary.tag_summary(unique, drift=True, types=types, also=also)
     return report.join(rate, "tag_id", "left")
+
+
+def weekly_status_of_files(
+    spark: SparkSession,
+    folder: str,
+    deployment_table: DataFrame,
+    types: Sequence[str],
+    as_of: datetime,
+    min_bytes: int = MIN_FILE_BYTES,
+    changed_days: float = RECENT_DAYS,
+    last_record_days: float = 7,
+    **options: float,
+) -> DataFrame:
+    """The weekly report from a folder of logger files.
+
+    Read are files larger than a header that changed in the last ``changed_days``;
+    of these, the ones whose last record is less than ``last_record_days`` old.
+    """
+    since = as_of - timedelta(days=changed_days)
+    records = read_tags(spark, folder, min_bytes, modified_after=f"{since:%Y-%m-%dT%H:%M:%S}")
+    recent = with_recent_last_record(records, F.lit(as_of), last_record_days)
+    kept = records.join(recent.select("file_name"), "file_name", "left_semi")
+    return weekly_status(kept, deployment_table, types, F.lit(as_of), **options)

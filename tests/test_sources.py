@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brute import at
 from pelagica.operators import deployments
-from pelagica.plans import studies
+from pelagica.plans import status, studies
 from pelagica.session import clear_scratch, scratch_path, shared_dir
 from pelagica.sources import inventory, store, tables, tag_logs
 
@@ -103,6 +103,27 @@ def test_own_readers_feed_own_plans(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "out"))[-2:] == ["project_id=P", "project_id=Q"]
 
 
+def test_weekly_report_of_files(spark, tmp_path):
+    """Old and stale files and bare headers are left out; a fix sent in two files counts once."""
+    head = "device_id,UTC_datetime,datatype,Latitude,Longitude,depth_m\n"
+
+    def rows(day, fixes, start=0):
+        return "".join(f"9,2024-01-{day:02d} 00:00:{start + s:02d},GPS,{40 + s / 100},-125,\n" for s in range(fixes))
+
+    write(tmp_path, "9_a.csv", head + rows(20, 7))
+    write(tmp_path, "9_b.csv", head + rows(20, 7) + rows(21, 2))
+    write(tmp_path, "8_a.csv", head + rows(2, 9))  # nothing for weeks
+    write(tmp_path, "7_a.csv", head)
+    write(tmp_path, "6_a.csv", head + rows(20, 9))
+    os.utime(tmp_path / "6_a.csv", (1_700_000_000, 1_700_000_000))  # not changed since November
+    table = spark.createDataFrame(
+        [(t, f"b{t}", "P", "20240131", datetime(2024, 1, 1)) for t in "6789"],
+        "tag_id string, bird_id string, project_id string, deploy_end_short string, dep_start timestamp",
+    )
+    report = status.weekly_status_of_files(spark, str(tmp_path), table, ["GPS"], datetime(2024, 1, 22), min_bytes=len(head)).collect()
+    assert [(r["tag_id"], r["device_id"], r["deploy_end_short"], r["GPS"], r["gps_surfacedrift_pts"]) for r in report] == [("9", "9", "20240131", 9, 7)]
+
+
 def test_small_files_are_skipped(spark, logs):
     assert tag_logs.read_tags(spark, str(logs), min_bytes=100).select("tag_id").distinct().count() == 2
     files = inventory.list_files(spark, str(logs))
