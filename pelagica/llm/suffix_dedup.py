@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -21,6 +21,8 @@ SHARED = LENGTH - WINDOW + 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PLACE_BITS = np.uint64(24)
 MEMO = 1 << 20
+# Sorted suffixes compared at once.
+COMPARED = 8192
 
 _known: dict[bytes, int] = {}
 
@@ -88,29 +90,37 @@ def minimisers(words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> np.
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, key`` of every retained suffix: ``key`` hashes its first ``SHARED`` words."""
+    """``text_id, pos, key, doc_id`` of every retained suffix: ``key`` hashes its first ``SHARED`` words.
+
+    A text has one more row, with position -1: its number of words as ``key``, and the document.  ``text_id`` is a
+    hash of the text, equal for copies.  Texts of fewer than ``LENGTH`` words have no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            texts, places, keys, ids = [], [], [], []
+            for doc, text, name in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = word_hashes(text.as_py())
                 if len(words) < LENGTH:
                     continue
                 at = minimisers(words)
                 at = at[at <= len(words) - SHARED]
-                keys.append(gram_hashes(words, SHARED)[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                ids.append(np.full(len(at), doc, dtype=np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, places, keys)], names=["doc_id", "pos", "key"])
+                keys += [np.array([len(words)], dtype=np.int64), gram_hashes(words, SHARED)[at].view(np.int64)]
+                places += [np.array([-1], dtype=np.int32), at.astype(np.int32)]
+                texts.append(np.full(len(at) + 1, name, dtype=np.int64))
+                ids.append([doc] + [None] * len(at))
+            columns = [np.concatenate([np.zeros(0, t), *x]) for x, t in ((texts, np.int64), (places, np.int32), (keys, np.int64))]
+            found = [*map(pa.array, columns), pa.array([i for x in ids for i in x], type=pa.int64())]
+            yield pa.record_batch(found, names=["text_id", "pos", "key", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, key long")
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
+    return named.mapInArrow(run, "text_id long, pos int, key long, doc_id long")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The words around retained suffixes: ``key, doc_id, pos, r, l``.
 
-    ``wanted`` has one row a document with its positions and keys.  ``r`` holds a number of four bytes for
+    ``wanted`` has one row a document (``doc_id, text_id``) with its positions and keys.  ``r`` holds a number of four bytes for
     each of the ``LENGTH`` words from the position, ``l`` for the ``WINDOW`` words before it, nearest first; fewer
     at a text's ends.
     """
@@ -130,7 +140,8 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows = []
             yield _context_batch(rows)
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "found").mapInArrow(run, "key long, doc_id long, pos int, r binary, l binary")
+    named = docs.withColumn("text_id", F.xxhash64("text"))
+    return named.join(wanted, ["doc_id", "text_id"]).select("doc_id", "text", "found").mapInArrow(run, "key long, doc_id long, pos int, r binary, l binary")
 
 
 CONTEXT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -158,107 +169,158 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod(a == b, axis=1).sum(axis=1)
 
 
-def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extents to left and right that each sorted suffix shares with its nearest neighbour of another document.
+def _window_hashes(key: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row and every ``j`` below ``WINDOW`` a hash of the ``LENGTH`` words from ``j`` words before the
+    position, and whether the text has that many; windows of different keys or ``j`` never share a hash by design."""
+    n = len(key)
+    seed = _mixed(key.view(np.uint64))
+    after = [seed]
+    for k in range(LENGTH):
+        after.append(_mixed(after[-1] ^ right[:, k]))
+    before, found = seed * np.uint64(5), np.zeros((n, WINDOW), dtype=np.uint64)
+    there = np.zeros((n, WINDOW), dtype=bool)
+    has_right, has_left = (right < (1 << 32)).sum(axis=1), (left < (1 << 32)).sum(axis=1)
+    for j in range(WINDOW):
+        if j:
+            before = _mixed(before ^ left[:, j - 1])
+        found[:, j] = _mixed(after[LENGTH - j] * np.uint64(3) + before + np.uint64(j))
+        there[:, j] = (has_right >= LENGTH - j) & (has_left >= j)
+    return found, there
+
+
+def _shared_windows(doc: np.ndarray, found: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Which windows another document has too."""
+    row, j = np.nonzero(there)
+    hashes, docs = found[row, j], doc[row]
+    order = np.argsort(hashes, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
+    twice = np.minimum.reduceat(docs[order], starts) < np.maximum.reduceat(docs[order], starts)
+    out = np.zeros(there.shape, dtype=bool)
+    out[row[order], j[order]] = np.repeat(twice, np.diff(np.append(starts, len(order))))
+    return out
+
+
+def _compare(table: pa.Table, open_start: bool, open_end: bool) -> pa.RecordBatch:
+    """Passages of sorted suffixes, and windows of the first and last key if these may go on elsewhere."""
+    key, doc, pos = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
+    right, left = _matrix(table.column("r").combine_chunks(), LENGTH), _matrix(table.column("l").combine_chunks(), WINDOW)
+    n = len(key)
+    first = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+    starts, run = np.flatnonzero(first), np.cumsum(first) - 1
+    best_l, best_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for other in (starts[run] - 1, np.append(starts[1:], n)[run]):
+        have = np.flatnonzero((other >= 0) & (other < n))
+        have = have[key[other[have]] == key[have]]
+        l, r = _common(left[have], left[other[have]]), _common(right[have], right[other[have]])
+        better = l + r > best_l[have] + best_r[have]
+        best_l[have[better]], best_r[have[better]] = l[better], r[better]
+    settled = best_l + best_r >= LENGTH
+    edge = (open_start & (key == key[0])) | (open_end & (key == key[-1]))
+
+    group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+    # with two documents the neighbour is the only partner
+    unsure = (np.bincount(group, weights=~settled) > 0) | (np.bincount(group, weights=first) > 2)
+    within = np.flatnonzero(unsure[group] & ~edge)
+    begin, end = [pos[settled] - best_l[settled]], [pos[settled] + best_r[settled]]
+    whose, window = [doc[settled]], [np.zeros(settled.sum(), dtype=np.int64)]
+    if len(within):
+        found, there = _window_hashes(key[within], right[within], left[within])
+        if there.any():
+            hit = _shared_windows(doc[within], found, there)
+            some = np.flatnonzero(hit.any(axis=1))
+            least, most = hit[some].argmax(axis=1), WINDOW - 1 - hit[some][:, ::-1].argmax(axis=1)
+            begin.append(pos[within[some]] - most)
+            end.append(pos[within[some]] - least + LENGTH)
+            whose.append(doc[within[some]])
+            window.append(np.zeros(len(some), dtype=np.int64))
+    direct = sum(map(len, whose))
+    alone = [np.zeros(direct, dtype=bool)]
+    edges = np.flatnonzero(edge)
+    if len(edges):
+        found, there = _window_hashes(key[edges], right[edges], left[edges])
+        row, j = np.nonzero(there)
+        begin.append(pos[edges[row]] - j)
+        end.append(pos[edges[row]] - j + LENGTH)
+        whose.append(doc[edges[row]])
+        window.append(found[row, j].view(np.int64))
+        alone.append(~settled[edges[row]])
+    windows = np.concatenate(window)
+    columns = [np.concatenate(whose), np.concatenate(begin).astype(np.int32), np.concatenate(end).astype(np.int32)]
+    hashes = pa.array(windows, mask=np.arange(len(windows)) < direct)
+    columns = [*map(pa.array, columns), hashes, pa.array(np.concatenate(alone))]
+    return pa.record_batch(columns, names=["doc_id", "s", "e", "window", "alone"])
+
+
+def compare_neighbours(batches: Iterator[pa.RecordBatch], rows: int = COMPARED) -> Iterator[pa.RecordBatch]:
+    """``doc_id, s, e, window, alone``: passages that sorted suffixes share with other documents.
 
     Rows come in suffix order (key, words, words before).  A row's neighbours are the last row before and the first
-    row after it with the same key and another document.  ``settled`` is false if neither gives a match of
-    ``LENGTH`` words, or if a neighbour lies in another task: such rows are compared by equality later.
+    row after it with the same key and another document; it is extended to both sides as far as the better one
+    agrees.  A third document may agree less to the right but more to the left: where a key has more than two, all
+    windows of ``LENGTH`` words around its rows are compared by equality as well.  ``window`` is null for passages
+    found so.  The first and the last key of a task may go on in other tasks: their windows come out with
+    their hash, ``alone`` where the row has no neighbour that gives ``LENGTH`` words, to be compared over all tasks.
     """
     rest: pa.Table | None = None
-    names = ["key", "doc_id", "pos", "l", "r", "settled"]
-
-    def work(table: pa.Table) -> pa.RecordBatch:
-        key, doc, pos = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
-        right, left = _matrix(table.column("r").combine_chunks(), LENGTH), _matrix(table.column("l").combine_chunks(), WINDOW)
-        n = len(key)
-        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-        run = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-        best_l, best_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        after = np.concatenate((starts[1:], [n]))
-        for other in (starts[run] - 1, after[run]):
-            have = np.flatnonzero((other >= 0) & (other < n))
-            have = have[key[other[have]] == key[have]]
-            l = _common(left[have], left[other[have]])
-            r = _common(right[have], right[other[have]])
-            better = l + r > best_l[have] + best_r[have]
-            best_l[have[better]], best_r[have[better]] = l[better], r[better]
-        settled = best_l + best_r >= LENGTH
-        return pa.record_batch([pa.array(x) for x in (key, doc, pos, best_l.astype(np.int32), best_r.astype(np.int32), settled)], names=names)
-
+    open_start = True
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        if not table.num_rows:
+        rest = pa.concat_tables([rest, table]) if rest is not None else table
+        if rest.num_rows < rows:
             continue
-        key = table.column("key").to_numpy()
-        # a group that goes on in the next batch waits for it, unless it fills batches by itself: then rows at
-        # the cut have no neighbour beyond it and stay unsettled
-        cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else (len(key) if len(key) > 8 * batch.num_rows else 0)
-        if cut:
-            yield work(table.slice(0, cut))
-        rest = table.slice(cut)
+        key = rest.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        inside = cut == 0  # one key fills it: its rows so far go on their own
+        cut = cut or rest.num_rows
+        yield _compare(rest.slice(0, cut), open_start, inside)
+        rest, open_start = rest.slice(cut), inside
     if rest is not None and rest.num_rows:
-        yield work(rest)
-
+        yield _compare(rest, open_start, True)
 
-def _equal_windows(rows: DataFrame) -> DataFrame:
-    """``key, doc_id, pos, j, window``: a hash of the ``LENGTH`` words from ``j`` words before the position, for every j."""
-    r, l = f"substr(r, 1, 4 * ({LENGTH} - j))", "substr(l, 1, 4 * j)"
-    every = rows.select("key", "doc_id", "pos", "r", "l", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("j"))
-    whole = every.where(f"octet_length(r) >= 4 * ({LENGTH} - j) and octet_length(l) >= 4 * j")
-    return whole.select("key", "doc_id", "pos", "j", F.expr(f"xxhash64(key, j, {r}, {l})").alias("window"))
 
-
-def _n_words() -> Column:
-    return F.size(F.array_remove(F.split("text", r"[\x20\t-\r]+"), "")).cast("long")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compared: int = COMPARED) -> DataFrame:
     """``doc_id, start_word, end_word, n_words`` of passages of ``LENGTH`` or more words that other documents have too.
 
-    Copies of whole texts count once: the first takes part, and every copy is a passage from end to end.  Of
-    the others, suffixes at minimiser positions are retained; those whose first ``SHARED`` words another document has
-    are sorted, compared with their neighbours of other documents, and extended to both sides.  A suffix that its
-    neighbours don't settle (its partner agrees less to the right but more to the left, or lies in another task) is
-    compared by equality of all ``LENGTH``-word windows around it with every suffix of its key, so that no repeat is missed.
-    Sorted ranges cut through a key that many documents share; counts by key are combined before they are shuffled.
+    Copies of whole texts (by a 64-bit hash) count once: the first takes part, and every copy is a passage from end to
+    end.  Suffixes at minimiser positions are retained; those whose first ``SHARED`` words another document has
+    are sorted, compared with their neighbours of other documents, and extended to both sides; ``compare_neighbours`` says
+    what is done where that isn't enough, so that no document with a repeat is missed.  Where a key is cut over tasks, a
+    passage may end where the neighbours in one task differ, if a document in another task agrees further.  Sorted ranges cut through a key that many
+    documents share; counts by key are combined before they are shuffled.
 
     Words end at ASCII white space and are compared as they are.  Ends are exclusive; overlapping passages
-    are joined.  Null, empty and short texts have none; rows with a null id are left out, since passages are between
+    are joined.  ``compared`` is the number of sorted suffixes a task looks at together.  Null, empty and short texts have none; rows with a null id are left out, since passages are between
     ids; repeated rows count as one.
     """
     slim = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    digests = stored(
-        slim.select("doc_id", F.sha2("text", 256).alias("sha"), _n_words().alias("n_words")), "digests"
-    )
-    groups = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = stored(
-        digests.join(groups.where("first < last"), "sha").select("doc_id", "n_words", F.col("first") == F.col("doc_id")).toDF("doc_id", "n_words", "first"), "copies"
-    )
-    others = slim.join(copied.where("not first").select("doc_id").distinct(), "doc_id", "left_anti")
+    retained = stored(suffixes(slim), "suffixes")
+    first = retained.where("pos < 0").select("text_id", "doc_id", F.col("key").alias("n_words"))
+    texts = stored(first.groupBy("text_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "texts")
+    copied = first.join(texts.where("a < b"), "text_id")
 
-    retained = stored(suffixes(others), "suffixes")
-    spread = retained.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    placed = retained.where("pos >= 0").select("text_id", "pos", "key")
+    spread = placed.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b"))
     shared = stored(spread.where("a < b").select("key"), "shared")
-    found = retained.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key")).alias("found"))
-    rows = stored(contexts(others, stored(found, "found")), "contexts")
+    found = placed.join(shared, "key").groupBy("text_id").agg(F.collect_set(F.struct("pos", "key")).alias("found"))
+    found = found.join(texts, "text_id").select(F.col("a").alias("doc_id"), "text_id", "found")
+    rows = stored(contexts(slim, stored(found, "found")), "contexts")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "key", "r", "l", "doc_id", "pos").sortWithinPartitions("key", "r", "l", "doc_id", "pos")
-    compared = stored(ordered.mapInArrow(compare_neighbours, "key long, doc_id long, pos int, l int, r int, settled boolean"), "compared")
-    settled = compared.where("settled").select("doc_id", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
-
-    open_keys = stored(compared.where("not settled").select("key").distinct(), "open")
-    windows = _equal_windows(rows.join(open_keys, "key", "left_semi"))
-    twice = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("window")
-    late = windows.join(stored(twice, "windows"), "window").select(
-        "doc_id", (F.col("pos") - F.col("j")).alias("s"), (F.col("pos") - F.col("j") + LENGTH).alias("e")
-    )
-    whole = copied.where(F.col("n_words") >= LENGTH).select("doc_id", F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"))
-    return _joined(settled.union(late).union(whole).distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return compare_neighbours(batches, compared)
+
+    matched = stored(ordered.mapInArrow(compare, "doc_id long, s int, e int, window long, alone boolean"), "matched")
+    direct = matched.where("window is null").select("doc_id", "s", "e")
+    cut = matched.where("window is not null")
+    ranges = cut.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("alone").alias("wanted"))
+    twice = ranges.where("wanted and a < b").select("window")
+    late = cut.where("alone").join(twice, "window").select("doc_id", "s", "e")
+    whole = copied.select("doc_id", F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"))
+    return _joined(direct.union(late).union(whole).distinct())
 
 
 def _joined(spans: DataFrame) -> DataFrame:

@@ -233,6 +233,21 @@ def test_passages(spark, seed):
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in got.collect()) == brute_passages(docs, 50)
 
 
+@pytest.mark.parametrize("rows", [1, 5, 40])
+def test_passages_whatever_the_cuts(spark, rows):
+    """Keys cut through by tasks and by what is compared at once."""
+    ready(spark)
+    docs = passage_docs(4)
+    frame = spark.createDataFrame(docs, DOCS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = suffix_dedup.repeated_passages(frame, compared=rows).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == brute_passages(docs, 50)
+
+
 def test_passages_of_nulls_and_nothing(spark):
     ready(spark)
     assert suffix_dedup.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
