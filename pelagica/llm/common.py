@@ -45,13 +45,6 @@ def sample_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return stored(ids.where(low).orderBy(F.xxhash64("x_id").bitwiseAND(F.lit((1 << 40) - 1)), "x_id").limit(most), "sample")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a file or folder through Spark's file systems, if it is there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(target, True)
-
-
 def free_name(columns: Iterable[str], base: str) -> str:
     """``base``, or ``base`` with a suffix if a column already has that name."""
     taken = {column.lower() for column in columns}

@@ -35,7 +35,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(ready(spark), "warc")
     warc.write_archives(_read(spark, sf_dir, "pages"), root)
     read = warc.read_archives(spark, root, payloads=False)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,18 @@ OP8 = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+# Base32 of a SHA-1: the digits' bits in groups of five.
+OP2 = """WITH hashed AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(range(40), lambda i:
+    lpad(bin(CAST(strpos('0123456789abcdef', hex[i + 1]) - 1 AS bigint)), 4, '0')), '') AS b FROM hashed)
+SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(1 + list_sum(list_transform(range(5), lambda j:
+      CAST(b[5 * i + j + 1] AS bigint) * CAST(pow(2, 4 - j) AS bigint))) AS bigint)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits"""
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
@@ -109,4 +121,4 @@ def queries() -> dict[str, Query]:
 @cache
 def checks() -> dict[str, str]:
     """SQL with the same rows, for the queries that SQL can express."""
-    return {"op8_exact_dedup": OP8}
+    return {"op2_warc": OP2, "op8_exact_dedup": OP8}

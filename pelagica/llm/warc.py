@@ -17,7 +17,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, stored
+from ..session import remove_path
+from .common import stored
 
 SHARD_BYTES = 32 << 20
 MAX_SHARDS = 4096
@@ -246,7 +247,7 @@ def write_archives(
     written = stored(marked.mapInArrow(write, FILES), "shards")
     committed = written.mapInArrow(commit, FILES).drop("temporary")
     committed.write.json(f"{root}/{MANIFEST}")
-    remove(spark, f"{root}/_temporary")
+    remove_path(spark, f"{root}/_temporary")
     return manifest(spark, root)
 
 
