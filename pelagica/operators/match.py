@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import seconds_between
 from .clean import keep_first
-from .slices import DAY_S, SLICE, fill_from_neighbours, with_slice
+from .slices import DAY_S, fill_from_neighbours, with_slice
 
 
 def nearest_fix_same_day(
