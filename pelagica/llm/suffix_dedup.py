@@ -234,7 +234,6 @@ def _compare(table: pa.Table, open_start: bool, open_end: bool) -> pa.RecordBatc
             whose.append(doc[within[some]])
             window.append(np.zeros(len(some), dtype=np.int64))
     direct = sum(map(len, whose))
-    alone = [np.zeros(direct, dtype=bool)]
     edges = np.flatnonzero(edge)
     if len(edges):
         found, there = _window_hashes(key[edges], right[edges], left[edges])
@@ -243,23 +242,21 @@ def _compare(table: pa.Table, open_start: bool, open_end: bool) -> pa.RecordBatc
         end.append(pos[edges[row]] - j + LENGTH)
         whose.append(doc[edges[row]])
         window.append(found[row, j].view(np.int64))
-        alone.append(~settled[edges[row]])
     windows = np.concatenate(window)
     columns = [np.concatenate(whose), np.concatenate(begin).astype(np.int32), np.concatenate(end).astype(np.int32)]
     hashes = pa.array(windows, mask=np.arange(len(windows)) < direct)
-    columns = [*map(pa.array, columns), hashes, pa.array(np.concatenate(alone))]
-    return pa.record_batch(columns, names=["doc_id", "s", "e", "window", "alone"])
+    return pa.record_batch([*map(pa.array, columns), hashes], names=["doc_id", "s", "e", "window"])
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch], rows: int = COMPARED) -> Iterator[pa.RecordBatch]:
-    """``doc_id, s, e, window, alone``: passages that sorted suffixes share with other documents.
+    """``doc_id, s, e, window``: passages that sorted suffixes share with other documents.
 
     Rows come in suffix order (key, words, words before).  A row's neighbours are the last row before and the first
     row after it with the same key and another document; it is extended to both sides as far as the better one
     agrees.  A third document may agree less to the right but more to the left: where a key has more than two, all
     windows of ``LENGTH`` words around its rows are compared by equality as well.  ``window`` is null for passages
-    found so.  The first and the last key of a task may go on in other tasks: their windows come out with
-    their hash, ``alone`` where the row has no neighbour that gives ``LENGTH`` words, to be compared over all tasks.
+    found so.  The first and the last key of a task may go on in other tasks: all their windows come out
+    with their hash, to be compared over all tasks, whatever the neighbours in this task give.
     """
     rest: pa.Table | None = None
     open_start = True
@@ -284,9 +281,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Copies of whole texts (by a 64-bit hash) count once: the first takes part, and every copy is a passage from end to
     end.  Suffixes at minimiser positions are retained; those whose first ``SHARED`` words another document has
     are sorted, compared with their neighbours of other documents, and extended to both sides; ``compare_neighbours`` says
-    what is done where that isn't enough, so that no document with a repeat is missed.  Where a key is cut over tasks, a
-    passage may end where the neighbours in one task differ, if a document in another task agrees further.  Sorted ranges cut through a key that many
-    documents share; counts by key are combined before they are shuffled.
+    what is done where that isn't enough, so that no word of a repeat is missed.  Sorted ranges cut through a key that many
+    documents share: all windows at a cut are compared by equality over all tasks; counts by key are combined before they are shuffled.
 
     Words end at ASCII white space and are compared as they are.  Ends are exclusive; overlapping passages
     are joined.  ``compared`` is the number of sorted suffixes a task looks at together.  Null, empty and short texts have none; rows with a null id are left out, since passages are between
@@ -313,12 +309,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return compare_neighbours(batches, compared)
 
-    matched = stored(ordered.mapInArrow(compare, "doc_id long, s int, e int, window long, alone boolean"), "matched")
+    matched = stored(ordered.mapInArrow(compare, "doc_id long, s int, e int, window long"), "matched")
     direct = matched.where("window is null").select("doc_id", "s", "e")
     cut = matched.where("window is not null")
-    ranges = cut.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("alone").alias("wanted"))
-    twice = ranges.where("wanted and a < b").select("window")
-    late = cut.where("alone").join(twice, "window").select("doc_id", "s", "e")
+    ranges = cut.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    twice = ranges.where("a < b").select("window")
+    late = cut.join(twice, "window").select("doc_id", "s", "e")
     whole = copied.select("doc_id", F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"))
     return _joined(direct.union(late).union(whole).distinct())
 
