@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -40,7 +41,13 @@ TEMPLATES = {
         " of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this"
         " software without specific prior written permission.",
     ],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License."],
+    "BSD-2-Clause": [
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+        " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
+        " following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions"
+        " and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
         " provided that the above copyright notice and this permission notice appear in all copies.",
@@ -73,7 +80,10 @@ CUE = re.compile(r"licen[cs]e|copyright|permission|public\s+domain|creative\s+co
 # A sentence; the point after a single letter ("v. 2") doesn't end it.
 UNIT = re.compile(r"[^\n]*?(?:(?<![\s(]\w)[.!?;:](?=\s)|\n|$)")
 WORD = re.compile(r"\w+(?:\.\d+)*")
-GAP = 2
+# Ends of a sentence or paragraph, which single line ends are not.
+BREAK = re.compile(r"(?:(?<![\s(]\w)(?<!\b\d)[.!?](?=\s)|\n[^\S\n]*\n)")
+# Words before a digit that make it a version, and not the number of a clause.
+VERSION = frozenset("version versions v ver license licence public international clause".split())
 LEVEL = 3
 # Least part of its own compressed size that a template must save, wording that must be met, and winners looked at.
 SAVING = 0.15
@@ -113,21 +123,33 @@ def templates() -> list[Template]:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Sentences with a license cue, those at most ``GAP`` sentences apart as one block: start and end."""
+    """Lines and sentences with a license cue, with the rest of their sentences: start and end.
+
+    Distances are in words, so that line ends don't matter: cues at most the longest template apart are one block, and
+    a block goes on to both ends of its sentences, at most that far.
+    """
     if not CUE.search(text):
         return []
+    most = max(len(t.words) for t in templates())
+    starts = [m.start() for m in WORD.finditer(text)]
     found: list[list[int]] = []
-    at = 0
     for m in UNIT.finditer(text):
-        if m.end() == m.start():
-            continue
-        if CUE.search(m[0]):
-            if found and at - found[-1][2] <= GAP + 1:
-                found[-1][1:] = [m.end(), at]
+        if m.end() > m.start() and CUE.search(m[0]):
+            if found and bisect_left(starts, m.start()) - bisect_left(starts, found[-1][1]) <= most:
+                found[-1][1] = m.end()
             else:
-                found.append([m.start(), m.end(), at])
-        at += 1
-    return [(a, b) for a, b, _ in found]
+                found.append([m.start(), m.end()])
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        first, last = bisect_left(starts, a), bisect_left(starts, b)
+        low = max(starts[max(0, first - most)] if starts else a, out[-1][1] if out else 0)
+        low = max((m.end() for m in BREAK.finditer(text, min(low, a), a)), default=min(low, a))
+        high = starts[last + most] if last + most < len(starts) else len(text)
+        stop = BREAK.search(text, max(a, b - 1), high)
+        # a block that ends with its sentence needs no more
+        done = BREAK.search(text, max(a, b - 2), min(len(text), b + 1))
+        out.append((low, b if done else max(b, stop.end() if stop else high)))
+    return out
 
 
 def rank(block: str) -> list[tuple[float, Template]]:
@@ -138,12 +160,13 @@ def rank(block: str) -> list[tuple[float, Template]]:
     return sorted((x for x in rated if x[0] >= SAVING), key=lambda x: (-x[0], -len(x[1].words)))
 
 
-def wording(block: list[str], template: tuple[str, ...]) -> tuple[float, int, int, list[str], list[str]]:
-    """Share of a template's words met in order, first and last block word, and words missing and added between."""
+def wording(block: list[str], template: tuple[str, ...]) -> tuple[float, int, int, list[str], list[str], list[str]]:
+    """Share of a template's words met in order, first and last block word, words missing and added between, and the words
+    before the added ones."""
     match = SequenceMatcher(None, template, block, autojunk=False)
     pieces = [m for m in match.get_matching_blocks() if m.size]
     if not pieces:
-        return 0.0, 0, 0, list(template), []
+        return 0.0, 0, 0, list(template), [], []
     longest = max(pieces, key=lambda m: m.size)
     # words far from the longest match belong to something else
     near = [m for m in pieces if abs((m.b - m.a) - (longest.b - longest.a)) <= max(3, len(template) // 4)]
@@ -151,14 +174,19 @@ def wording(block: list[str], template: tuple[str, ...]) -> tuple[float, int, in
     met = {i for m in near for i in range(m.a, m.a + m.size)}
     have = {i for m in near for i in range(m.b, m.b + m.size)}
     missing = [w for i, w in enumerate(template) if i not in met]
-    added = [block[i] for i in range(first, last) if i not in have]
-    return len(met) / len(template), first, last, missing, added
+    more = [i for i in range(first, last) if i not in have]
+    return len(met) / len(template), first, last, missing, [block[i] for i in more], [block[i - 1] if i else "" for i in more]
 
 
 def _telling(words: list[str]) -> bool:
     return any(w in TELLING or w[0].isdigit() for w in words)
 
 
+def _telling_added(added: list[str], before: list[str]) -> bool:
+    """The same of added words, where a digit tells only in a version: clauses may be numbered."""
+    return any(w in TELLING or w[0].isdigit() and ("." in w or p in TELLING or p in VERSION) for w, p in zip(added, before))
+
+
 def scan(text: str | None) -> list[tuple]:
     """Confirmed licenses: ``start, end, license, template, saving, wording, missing, added`` in page order.
 
@@ -174,8 +202,8 @@ def scan(text: str | None) -> list[tuple]:
         words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
         best = None
         for saving, template in rank(block)[:RANKED]:
-            share, first, last, missing, added = wording([w for w, _, _ in words], template.words)
-            if share >= WORDING and not _telling(missing) and not _telling(added):
+            share, first, last, missing, added, before = wording([w for w, _, _ in words], template.words)
+            if share >= WORDING and not _telling(missing) and not _telling_added(added, before):
                 key = (len(template.words) * share, -len(added), saving)
                 if best is None or key > best[0]:
                     best = (key, saving, template, share, first, last, missing, added)
