@@ -85,10 +85,9 @@ BREAK = re.compile(r"(?:(?<![\s(]\w)(?<!\b\d)[.!?](?=\s)|\n[^\S\n]*\n)")
 # Words before a digit that make it a version, and not the number of a clause.
 VERSION = frozenset("version versions v ver license licence public international clause".split())
 LEVEL = 3
-# Least part of its own compressed size that a template must save, wording that must be met, and winners looked at.
+# Least part of its own compressed size that a template must save, and wording that must be met.
 SAVING = 0.15
 WORDING = 0.75
-RANKED = 8
 
 
 @dataclass(frozen=True)
@@ -190,7 +189,7 @@ def _telling_added(added: list[str], before: list[str]) -> bool:
 def scan(text: str | None) -> list[tuple]:
     """Confirmed licenses: ``start, end, license, template, saving, wording, missing, added`` in page order.
 
-    Every block is ranked against all templates; of the best ``RANKED`` the first whose words are met, with no difference in a
+    Every block is ranked against all templates; of all that save enough the one with most words met, and no difference in a
     word that tells licenses apart, wins.  What it covers is taken out and the rest looked at again.
     """
     text = text or ""
@@ -201,7 +200,7 @@ def scan(text: str | None) -> list[tuple]:
         block = text[start:end]
         words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
         best = None
-        for saving, template in rank(block)[:RANKED]:
+        for saving, template in rank(block):
             share, first, last, missing, added, before = wording([w for w, _, _ in words], template.words)
             if share >= WORDING and not _telling(missing) and not _telling_added(added, before):
                 key = (len(template.words) * share, -len(added), saving)

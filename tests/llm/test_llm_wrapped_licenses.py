@@ -26,3 +26,11 @@ def test_numbered_clauses(name, n, width):
         text = text.replace(start, f"\n\n{i + 1}. {start}")
     wrapped = "\n".join(textwrap.fill(p, width) for p in text.split("\n"))
     assert [f[2] for f in licenses.scan(wrapped)] == [name]
+
+
+def test_more_than_eight_ranked_before_the_one_that_passes(monkeypatch):
+    text = "Released under the MIT License."
+    right = next(t for t in licenses.templates() if t.text == text)
+    others = [t for t in licenses.templates() if t.license != "MIT"][:12]
+    monkeypatch.setattr(licenses, "rank", lambda block: [(1.0, t) for t in others] + [(0.5, right)])
+    assert [f[2] for f in licenses.scan(text)] == ["MIT"]
