@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, exact_dedup, html_text, licenses, packing, secrets, simhash, suffix_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, licenses, packing, pii, secrets, simhash, spelling, suffix_dedup, toxicity, turns, warc
+from .checks import OP2, OP8, OP11, OP12
 from .common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by rule."""
+    conversations = _read(spark, sf_dir, "conversations")
+    return turns.report(conversations, turns.damage(conversations))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant group of every word of the documents, after damage by rule."""
+    return spelling.spelling_groups(_read(spark, sf_dir, "documents"), damaged=spelling.DAMAGED)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(pii.find_personal(_read(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -93,27 +110,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_html_text, op2_warc, op3_packing, op4_suffix_dedup, op5_toxicity, op6_secrets, op7_simhash, op8_exact_dedup,
-        op9_licenses, op10_decontamination, pipeline,
+        op9_licenses, op10_decontamination, op11_turns, op12_spelling, op13_pii, pipeline,
     )
 }
 
-OP8 = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
-
-# Base32 of a SHA-1: the digits' bits in groups of five.
-OP2 = """WITH hashed AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
-  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
-bits AS (SELECT *, array_to_string(list_transform(range(40), lambda i:
-    lpad(bin(CAST(strpos('0123456789abcdef', hex[i + 1]) - 1 AS bigint)), 4, '0')), '') AS b FROM hashed)
-SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(32), lambda i:
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(1 + list_sum(list_transform(range(5), lambda j:
-      CAST(b[5 * i + j + 1] AS bigint) * CAST(pow(2, 4 - j) AS bigint))) AS bigint)]), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
-FROM bits"""
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -121,4 +121,4 @@ def queries() -> dict[str, Query]:
 @cache
 def checks() -> dict[str, str]:
     """SQL with the same rows, for the queries that SQL can express."""
-    return {"op2_warc": OP2, "op8_exact_dedup": OP8}
+    return {"op2_warc": OP2, "op8_exact_dedup": OP8, "op11_turns": OP11, "op12_spelling": OP12}

@@ -242,13 +242,14 @@ def test_stages_of_empty_documents(spark, tmp_path):
 def test_query_runs_on_the_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
     got = df.collect()
-    key = "page_id" if "page_id" in df.columns else "doc_id"
-    table = "pages" if key == "page_id" else "documents"
-    if name not in ("op4_suffix_dedup", "op9_licenses", "op10_decontamination"):
+    tables = {"page_id": "pages", "conv_id": "conversations", "doc_id": "documents"}
+    key = next((k for k in tables if k in df.columns), None)
+    table = tables.get(key)
+    if key and name not in ("op4_suffix_dedup", "op9_licenses", "op10_decontamination"):
         assert {r[key] for r in got} == {r[0] for r in duckdb.connect().execute(f"SELECT {key} FROM '{SF}/{table}.parquet'").fetchall()}
     if name in queries.checks():
         duck = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in tables.values():
             duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         cursor = duck.execute(queries.checks()[name])
         names = [c[0] for c in cursor.description]
