@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -168,10 +170,12 @@ def text_spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
         return []
     found: list[Span] = []
     for kind, finder in enumerate(FINDERS):
-        # most kinds have no candidate in most texts, so overlaps are looked for among few spans
+        taken = sorted((x.start, x.end) for x in found) if kind >= BASE else []
+        starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
         for start, end in finder(text):
             points = score(text, kind, start, end)
-            if kind >= BASE and (points < threshold or any(x.start < end and start < x.end for x in found)):
+            before = bisect_left(starts, end)  # spans that start before this one's end
+            if kind >= BASE and (points < threshold or before and ends[before - 1] > start):
                 continue
             found.append(Span(kind, start, end, points, text[start:end]))
     return found

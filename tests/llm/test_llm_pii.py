@@ -94,8 +94,8 @@ def test_added_spans_overlap_no_others():
     assert [pii.KINDS[x.kind] for x in pii.text_spans(text)] == ["card", "phone"]
 
 
-@pytest.mark.parametrize("unit", ["a", "1", "1.", "1 ", "+1", "a@", "@a", "+1 ", "(", "DE89", "3", "12-", "a@b.", "(12) 345 "])
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "1 ", "+1", "a@", "@a", "+1 ", "(", "DE89", "3", "12-", "a@b.", "(12) 345 ", "1.1.1.1 call (555) 555-1234 "])
 def test_very_long_texts_take_linear_time(unit):
     start = time.time()
     pii.text_spans(unit * (1_000_000 // len(unit)))
-    assert time.time() - start < 10
+    assert time.time() - start < 40
