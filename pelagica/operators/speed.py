@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -80,88 +82,155 @@ def _near_peaks(rated: DataFrame, key: str, vmax: float, margin: int) -> DataFra
     )
 
 
-class _Track:
-    """Fixes of many stretches in order, with the squared speeds to the next and the one after."""
-
-    def __init__(self, group: np.ndarray, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray) -> None:
-        self.row = np.arange(len(group))
-        self.group, self.seconds, self.fixed = group, seconds, fixed
-        self.lat, self.lon = lat, lon
-        self.squares = {k: np.full(len(group), np.nan) for k in (1, 2)}
-        for k in (1, 2):
-            self._measure(k, self.row)
-
-    def _measure(self, k: int, at: np.ndarray) -> None:
-        """Squared speed from each fix ``at`` to the one ``k`` places on, NaN at a stretch's end."""
-        last = len(self.row)
-        at = at[(at >= 0) & (at < last)]
-        self.squares[k][at] = np.nan
-        at = at[at + k < last]
-        at = at[self.group[at] == self.group[at + k]]
-        a, b = at, at + k
-        step = np.abs(self.seconds[b] - self.seconds[a])
-        dlat, dlon = np.radians(self.lat[b] - self.lat[a]) / 2, np.radians(self.lon[b] - self.lon[a]) / 2
-        h = np.sin(dlat) ** 2 + np.cos(np.radians(self.lat[a])) * np.cos(np.radians(self.lat[b])) * np.sin(dlon) ** 2
-        metres = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-        self.squares[k][at] = (metres / np.where(step == 0, np.nan, step)) ** 2
-
-    def speeds(self) -> np.ndarray:
-        """Root-mean-square speed over the two steps to either side, NaN for fixed fixes."""
-        total = np.full(len(self.row), np.nan)
-        if len(total) > 4:
-            one, two = self.squares[1], self.squares[2]
-            total[2:] = one[1:-1] + one[2:] + two[:-2] + two[2:]
-        return np.where(self.fixed, np.nan, np.sqrt(total / 4))
-
-    def remove(self, at: np.ndarray) -> None:
-        self._take(np.delete(np.arange(len(self.row)), at))
-        after = at - np.arange(len(at))
-        self._measure(1, after - 1)
-        self._measure(2, np.concatenate((after - 2, after - 1)))
-
-    def keep_groups(self, groups: np.ndarray) -> None:
-        inside = np.isin(self.group, groups)
-        if not inside.all():
-            self._take(np.flatnonzero(inside))
-
-    def _take(self, at: np.ndarray) -> None:
-        for name in ("row", "group", "seconds", "fixed", "lat", "lon"):
-            setattr(self, name, getattr(self, name)[at])
-        self.squares = {k: v[at] for k, v in self.squares.items()}
+class _Peaks:
+    """A value per place, and the first greatest one between two places, as a tree of maxima."""
+
+    def __init__(self, values: list[float]) -> None:
+        self.size = 1 << max(1, len(values) - 1).bit_length()
+        self.tree = [-1.0] * self.size + values + [-1.0] * (self.size - len(values))
+        for at in range(self.size - 1, 0, -1):
+            self.tree[at] = max(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def put(self, place: int, value: float) -> None:
+        tree, at = self.tree, place + self.size
+        tree[at] = value
+        while at > 1:
+            at >>= 1
+            left, right = tree[2 * at], tree[2 * at + 1]
+            best = left if left >= right else right
+            if tree[at] == best:
+                break
+            tree[at] = best
+
+    def first_greatest(self, lo: int, hi: int) -> int:
+        """Place of the greatest value in ``[lo, hi)``, the first of equal ones."""
+        tree, left, right = self.tree, [], []
+        lo, hi = lo + self.size, hi + self.size
+        while lo < hi:
+            if lo & 1:
+                left.append(lo)
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                right.append(hi)
+            lo, hi = lo >> 1, hi >> 1
+        at = max(left + right[::-1], key=tree.__getitem__)  # the first of equal nodes
+        while at < self.size:
+            at = 2 * at if tree[2 * at] == tree[at] else 2 * at + 1
+        return at - self.size
+
+
+class _Stretch:
+    """Fixes of one stretch as a linked list, with the squared speeds to the next and the one after.
+
+    A removal unlinks a fix, measures the three steps across the gap and rates the four fixes around it.  Runs lie between
+    neighbouring places of ``slow``, the sorted fixes not above the limit, so a run is found by
+    bisection and its peak in the tree: no removal looks at the rest of the stretch.
+    """
+
+    def __init__(self, seconds: Sequence[float], lat: Sequence[float], lon: Sequence[float], fixed: Sequence[bool], vmax: float) -> None:
+        n = len(seconds)
+        self.seconds, self.fixed, self.vmax = seconds, fixed, vmax
+        self.lat, self.lon = [math.radians(x) for x in lat], [math.radians(x) for x in lon]
+        # a place of its own before the first and behind the last fix, which lead to themselves
+        self.before, self.after = [*range(-1, n - 1), n - 1, -1], [*range(1, n + 1), n, 0]
+        self.one, self.two = [math.nan] * (n + 2), [math.nan] * (n + 2)
+        for i in range(n - 1):
+            self.one[i] = self._square(i, i + 1)
+        for i in range(n - 2):
+            self.two[i] = self._square(i, i + 2)
+        rated = [self._rate(i) for i in range(n)]
+        self.slow = [-1, *(i for i, v in enumerate(rated) if not v > vmax), n]
+        self.peaks = _Peaks([v if v > vmax else -1.0 for v in rated])
+
+    def _square(self, a: int, b: int) -> float:
+        n = len(self.seconds)
+        if not (0 <= a < n and 0 <= b < n):
+            return math.nan
+        step = abs(self.seconds[b] - self.seconds[a])
+        if not step:
+            return math.nan
+        h = math.sin((self.lat[b] - self.lat[a]) / 2) ** 2
+        h += math.cos(self.lat[a]) * math.cos(self.lat[b]) * math.sin((self.lon[b] - self.lon[a]) / 2) ** 2
+        return (2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h))) / step) ** 2
+
+    def _rate(self, at: int) -> float:
+        """Root-mean-square speed over the two steps to either side, NaN for fixed fixes and near an end."""
+        if self.fixed[at]:
+            return math.nan
+        one, two, b1 = self.one, self.two, self.before[at]
+        return math.sqrt((one[b1] + one[at] + two[self.before[b1]] + two[at]) / 4)
+
+    def _update(self, at: int) -> None:
+        speed, place = self._rate(at), bisect_left(self.slow, at)
+        was_slow = self.slow[place] == at
+        if speed > self.vmax:
+            if was_slow:
+                del self.slow[place]
+            self.peaks.put(at, speed)
+        elif not was_slow:
+            self.slow.insert(place, at)
+            self.peaks.put(at, -1.0)
+
+    def first_peaks(self) -> list[int]:
+        """The peak of every run."""
+        return [self.peaks.first_greatest(a + 1, b) for a, b in zip(self.slow, self.slow[1:]) if b - a > 1]
+
+    def touches(self, at: int) -> bool:
+        """Whether one of the two fixes to either side is fixed."""
+        b, a, n = self.before[at], self.after[at], len(self.seconds)
+        return any(0 <= x < n and self.fixed[x] for x in (self.before[b], b, a, self.after[a]))
+
+    def remove(self, gone: list[int]) -> list[int]:
+        """Take out one fix of each run at once; the peaks of the runs that are left."""
+        n, before, after = len(self.seconds), self.before, self.after
+        for at in gone:
+            after[before[at]], before[after[at]] = after[at], before[at]
+            self.peaks.put(at, -1.0)
+        near: set[int] = set()
+        for at in gone:
+            b1, a1 = before[at], after[at]
+            b2, a2 = before[b1], after[a1]
+            self.one[b1], self.two[b2], self.two[b1] = self._square(b1, a1), self._square(b2, a1), self._square(b1, a2)
+            near.update((b2, b1, a1, a2))
+        near = {at for at in near if 0 <= at < n}
+        for at in near:
+            self._update(at)
+        # what is left of a run, or has newly become one, lies next to a gap
+        beside = near.union(*((before[at], after[at]) for at in near))
+        out, end = [], -1
+        for at in sorted(x for x in beside if 0 <= x < n):
+            place = bisect_left(self.slow, at)
+            if at >= end and self.slow[place] != at:
+                end = self.slow[place]
+                out.append(self.peaks.first_greatest(self.slow[place - 1] + 1, end))
+        return out
 
 
 def settle(
     group: np.ndarray, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, fixed: np.ndarray, vmax: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Rows removed from whole stretches, and the groups whose effects reach a fixed fix.
+    """Rows removed from whole stretches (rows of a group follow one another), and the groups whose effects reach a fixed fix.
 
-    In every round the fastest fix of each run above the limit goes, the first on a tie, in all stretches at once; only
-    stretches that changed go on.
+    In every round the fastest fix of each run above the limit goes, the first on a tie.  A round costs as many steps as it
+    removes fixes, times the logarithm of the stretch, so a day of fixes a second above the limit takes seconds.
     """
-    track = _Track(group, seconds, lat, lon, fixed)
-    removed, opened = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=group.dtype)]
-    while len(track.row):
-        speed = track.speeds()
-        over = np.flatnonzero(speed > vmax)
-        if not len(over):
-            break
-        first = np.concatenate(([True], (np.diff(over) > 1) | (np.diff(track.group[over]) != 0)))
-        starts = np.flatnonzero(first)
-        most = np.repeat(np.maximum.reduceat(speed[over], starts), np.diff(np.append(starts, len(over))))
-        best = np.flatnonzero(speed[over] == most)
-        run = np.cumsum(first)[best]
-        peaks = over[best[np.concatenate(([True], np.diff(run) > 0))]]
-        near = peaks[:, None] + np.array([-2, -1, 1, 2])
-        near = np.clip(near, 0, len(track.row) - 1)
-        touches = (track.fixed[near] & (track.group[near] == track.group[peaks][:, None])).any(axis=1)
-        beyond = np.unique(track.group[peaks[touches]])
-        opened.append(beyond)
-        removed.append(track.row[peaks])
-        changed = np.setdiff1d(track.group[peaks], beyond)
-        track.remove(peaks)
-        track.keep_groups(changed)
-    gone, out = np.concatenate(removed), np.concatenate(opened)
-    return gone[~np.isin(group[gone], out)], out
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, dtype=int)
+    removed: list[int] = []
+    opened = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        stretch = _Stretch(*(x[lo:hi].tolist() for x in (seconds, lat, lon, fixed)), vmax)
+        gone: list[int] = []
+        peaks = stretch.first_peaks()
+        while peaks:
+            if any(map(stretch.touches, peaks)):
+                opened.append(group[lo])
+                gone = []
+                break
+            gone += peaks
+            peaks = stretch.remove(peaks)
+        removed += [lo + at for at in gone]
+    return np.array(removed, dtype=np.int64), np.array(opened, dtype=group.dtype)
 
 
 def _settle_stretches(stretches: DataFrame, key: str, vmax: float) -> DataFrame:

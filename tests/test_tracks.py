@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -176,3 +177,17 @@ def test_nearest_fix_tie_goes_to_the_earlier(spark):
     )
     row = nearest_fix_same_day(dive.withColumn("date", F.to_date("max_dt")), fixes).first()
     assert (row["gps_oid"], row["gps_tdiff"], row["lat"]) == (1, -2.0, 0.0)
+
+
+def test_a_day_of_fast_fixes_settles_in_seconds():
+    """One fix a second at a steady 30 m/s; a shorter one equals brute force."""
+    def track(n):
+        return np.arange(n) * 1.0, 40 + np.arange(n) * 30 / 111_195, np.full(n, -125.0)
+
+    seconds, lat, lon = track(150)
+    gone, _ = settle(np.zeros(150, dtype=int), seconds, lat, lon, np.zeros(150, dtype=bool), 25)
+    left = sorted(set(range(150)) - set(gone.tolist()))
+    assert left == list(speed_filtered(list(zip(seconds.tolist(), lat.tolist(), lon.tolist())), 25))
+    n, start = 86_400, time.time()
+    gone, opened = settle(np.zeros(n, dtype=int), *track(n), np.zeros(n, dtype=bool), 25)
+    assert len(gone) == n - 4 and not len(opened) and time.time() - start < 60
