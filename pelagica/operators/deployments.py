@@ -45,13 +45,14 @@ def clean_deployments(raw: DataFrame, manufacturer: str | None = None) -> DataFr
 
 
 def latest_deployment(deployments: DataFrame, listed_order: str | None = None) -> DataFrame:
-    """One row per tag: its latest deployment.
+    """One row per tag: its last listed deployment.
 
-    Latest means latest start, then latest listed; with ``listed_order`` it is
-    the last row in that column's order.
+    Listed are deployments in the order of ``listed_order``, or of ``dep_no`` if the table
+    has it.  A table without any such column counts by start, then animal.
     """
-    listed = [c for c in ("dep_start", "dep_no", "bird_id") if c in deployments.columns]
-    order = [listed_order] if listed_order else listed
+    if listed_order is None and "dep_no" in deployments.columns:
+        listed_order = "dep_no"
+    order = [c for c in (listed_order, "dep_start", "bird_id") if c and c in deployments.columns]
     newest = Window.partitionBy("tag_id").orderBy(*[F.col(c).desc_nulls_last() for c in order])
     return (
         deployments.withColumn("_rank", F.row_number().over(newest))

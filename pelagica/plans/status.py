@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import clean, deployments, drift, segments, summary
 from ..operators.slices import DAY_S
 from ..session import write_once
-from ..sources.inventory import RECENT_DAYS, with_recent_last_record
-from ..sources.tag_logs import MIN_FILE_BYTES, read_tags
+from ..functions.time import shift_seconds
+from ..sources.inventory import RECENT_DAYS
+from ..sources.tag_logs import MIN_FILE_BYTES, last_records, read_tags
 
 
 def daily_status(
@@ -87,15 +89,20 @@ def weekly_status_of_files(
     min_bytes: int = MIN_FILE_BYTES,
     changed_days: float = RECENT_DAYS,
     last_record_days: float = 7,
+    name_column: Column | None = None,
     **options: float,
 ) -> DataFrame:
     """The weekly report from a folder of logger files.
 
     Read are files larger than a header that changed in the last ``changed_days``;
-    of these, the ones whose last record is less than ``last_record_days`` old.
+    of these, the ones whose last record is less than ``last_record_days`` old.  Last
+    records come from the files' ends, so other files are not read at all.  The driver
+    sees the paths of the files that are read, as it does for any reader of files.
     """
     since = as_of - timedelta(days=changed_days)
-    records = read_tags(spark, folder, min_bytes, modified_after=f"{since:%Y-%m-%dT%H:%M:%S}")
-    recent = with_recent_last_record(records, F.lit(as_of), last_record_days)
-    kept = records.join(recent.select("file_name"), "file_name", "left_semi")
-    return weekly_status(kept, deployment_table, types, F.lit(as_of), **options)
+    last = last_records(spark, folder, min_bytes, f"{since:%Y-%m-%dT%H:%M:%S}")
+    recent = last.filter(F.col("last_record") > shift_seconds(F.lit(as_of), -86_400 * last_record_days))
+    paths = sorted(r["file_path"] for r in recent.select("file_path").collect())
+    # without a current file an empty report, from the rows of no file
+    records = read_tags(spark, paths or folder, min_bytes if paths else sys.maxsize, name_column)
+    return weekly_status(records, deployment_table, types, F.lit(as_of), **options)

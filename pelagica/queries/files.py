@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, summary
 from ..session import scratch_path
-from ..sources import inventory, store, tag_logs
+from ..functions.time import shift_seconds
+from ..sources import commits, inventory, store, tag_logs
 from .records import LATEST
 from .registry import Tables, query
 
@@ -193,3 +194,57 @@ def store_by_project(t: Tables) -> DataFrame:
         F.min("datetime").alias("min_dt"),
         F.max("datetime").alias("max_dt"),
     )
+
+
+FOLDER = r"/file=([^/]+)/"
+
+
+def write_tag_files(t: Tables, path: str | None = None) -> str:
+    """All columns of the records as one file a tag, in order of time."""
+    path = path or scratch_path(t.spark, "tag-files")
+    names = {v: k for k, v in {**tag_logs.TEXT_COLUMNS, **tag_logs.NUMBER_COLUMNS}.items()}
+    known = [F.col(c).alias(names[c]) for c in t.tag_records.columns if c in names]
+    raw = t.tag_records.select(
+        F.concat(F.col("tag_id").cast("string"), F.lit("_GPRS_2024")).alias("file"), "datetime", "foid",
+        F.col("tag_id").alias("device_id"), F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("UTC_datetime"), *known,
+    )
+    ordered = raw.repartition("file").sortWithinPartitions("file", "datetime", "foid").drop("datetime", "foid")
+    ordered.write.partitionBy("file").csv(path, header=True)
+    return path
+
+
+def file_tag() -> Column:
+    return F.split_part(F.regexp_extract("file_path", FOLDER, 1), F.lit("_"), F.lit(1))
+
+
+@query(
+    "last_records_of_files",
+    f"""
+SELECT CAST(tag_id AS string) AS tag_id, max(datetime) AS last_record FROM {{tag_records}} GROUP BY tag_id
+HAVING max(datetime) > (SELECT max(datetime) FROM {{tag_records}}) - INTERVAL 1 DAY""",
+)
+def last_records_of_files(t: Tables) -> DataFrame:
+    """Files whose last record is less than a day old, from the files' ends."""
+    last = tag_logs.last_records(t.spark, write_tag_files(t), min_bytes=0)
+    recent = last.filter(F.col("last_record") > shift_seconds(clean.latest_time(last, "last_record"), -86_400))
+    return recent.select(file_tag().alias("tag_id"), "last_record")
+
+
+@query(
+    "ingest_runs",
+    """
+SELECT CAST(tag_id AS string) AS tag_id, CASE WHEN tag_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run, count(*) AS n,
+  min(datetime) AS min_dt, max(datetime) AS max_dt, max(depth_m) AS max_depth
+FROM {tag_records} GROUP BY tag_id""",
+)
+def ingest_runs(t: Tables) -> DataFrame:
+    """Files that arrive in two lots, each read by one run; a run that is repeated and one without new files change nothing."""
+    logs, kept = scratch_path(t.spark, "logs"), scratch_path(t.spark, "runs")
+    for part, run in (("tag_id % 2 = 0", "even"), ("tag_id % 2 = 1", "odd"), ("false", "odd"), ("false", "none")):
+        write_logs(t, logs, part)
+        commits.ingest_new(t.spark, logs, kept, run, 0, name_column=file_tag())
+    schema = "tag_id STRING, datetime TIMESTAMP, depth_m DOUBLE, run STRING"
+    rows = commits.stored_rows(t.spark, kept, schema)
+    return rows.groupBy("tag_id", "run").agg(
+        F.count("*").alias("n"), F.min("datetime").alias("min_dt"), F.max("datetime").alias("max_dt"), F.max("depth_m").alias("max_depth")
+    )

@@ -292,7 +292,7 @@ STATUS_COLUMNS = """
 
 LATEST = """
 latest AS (SELECT tag_id, project_id, bird_id, dep_no FROM (
-  SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY dep_start DESC, dep_no DESC) AS rn
+  SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY dep_no DESC) AS rn
   FROM {deployments}) WHERE rn = 1)"""
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, drift, match, segments, sensors, speed
 from ..plans import dives, status, studies, tracks
+from .files import file_tag, write_tag_files
 from .records import LATEST, STATUS_COLUMNS, TYPES
 from .registry import CHECKS, Tables, query
 
@@ -208,8 +209,7 @@ def surface_drift(t: Tables) -> DataFrame:
     return drift.flag_surface_drift(rows, **DRIFT, slice_s=t.slice_s)
 
 
-@query(
-    "tag_status_week",
+WEEK = (
     "WITH "
     + LATEST
     + ",\n"
@@ -240,8 +240,11 @@ report AS (SELECT project_id, tag_id, """
 FROM recent GROUP BY project_id, tag_id)
 SELECT report.*, rate.udives_day, CAST(tag_id AS string) AS device_id,
   coalesce(strftime(d.dep_end, '%Y%m%d'), 'open') AS deploy_end_short
-FROM report LEFT JOIN rate USING (tag_id) JOIN latest USING (tag_id) JOIN {deployments} d USING (tag_id, dep_no)""",
+FROM report LEFT JOIN rate USING (tag_id) JOIN latest USING (tag_id) JOIN {deployments} d USING (tag_id, dep_no)"""
 )
+
+
+@query("tag_status_week", WEEK)
 def tag_status_week(t: Tables) -> DataFrame:
     """Records sent twice, in overlapping files, by a third of the tags."""
     own = t.tag_records.withColumns({"device_id": F.col("tag_id").cast("string"), "file_name": F.lit("a")})
@@ -258,6 +261,26 @@ def tag_status_week(t: Tables) -> DataFrame:
     )
 
 
+@query("tag_status_week_of_files", f"SELECT * REPLACE (CAST(tag_id AS string) AS tag_id) FROM ({WEEK})")
+def tag_status_week_of_files(t: Tables) -> DataFrame:
+    """The same report from a folder of logger files, one a tag."""
+    last = t.tag_records.agg(F.max("datetime")).first()[0]
+    ends = t.deployments.withColumn("deploy_end_short", F.coalesce(F.date_format("dep_end", "yyyyMMdd"), F.lit("open")))
+    return status.weekly_status_of_files(
+        t.spark,
+        write_tag_files(t),
+        ends.withColumn("tag_id", F.col("tag_id").cast("string")),
+        TYPES,
+        last,
+        min_bytes=0,
+        name_column=file_tag(),
+        drift_step_s=DRIFT["max_step_s"],
+        drift_steps=DRIFT["min_steps"],
+        **DIVE,
+        slice_s=t.slice_s,
+    )
+
+
 # Cleaned records with drift, dives and deployment.
 STUDY = (
     """used AS (SELECT * FROM {tag_records} WHERE (lat IS NOT NULL OR depth_m IS NOT NULL)

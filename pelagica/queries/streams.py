@@ -74,10 +74,16 @@ def stream_logs(t: Tables) -> DataFrame:
 
 @query(
     "stream_dedupe",
-    "SELECT DISTINCT tag_id, date_trunc('hour', datetime) AS datetime FROM {tag_records}",
+    """
+WITH hourly AS (SELECT * REPLACE (date_trunc('hour', datetime) AS datetime) FROM {tag_records})
+SELECT foid, tag_id, datetime, datatype, lat, lon, depth_m, u_bat_mv
+FROM (SELECT *, row_number() OVER (PARTITION BY tag_id, datetime ORDER BY foid) AS rn FROM hourly)
+WHERE rn = 1 AND datetime <= (SELECT max(datetime) FROM hourly) - INTERVAL 2 HOUR""",
 )
 def stream_dedupe(t: Tables) -> DataFrame:
-    hourly = _stream(t).selectExpr("tag_id", "date_trunc('hour', datetime) AS datetime")
+    """Whole first rows of every tag and hour; the last hours are still open."""
+    columns = ("foid", "tag_id", "datatype", "lat", "lon", "depth_m", "u_bat_mv")
+    hourly = _stream(t).select(*columns, F.date_trunc("hour", "datetime").alias("datetime"))
     return _result(t, jobs.dedupe(hourly, "2 hours"), "dedupe")
 
 

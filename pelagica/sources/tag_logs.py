@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..functions.maths import nan_to_null
 from ..functions.text import tag_of_file
 from ..functions.time import parse_either
 from ..operators.slices import SLICE
+from . import log_files
 
 # Columns of a logger file, their names here and their types.
 TEXT_COLUMNS = {"device_id": "device_id", "datatype": "datatype"}
@@ -37,6 +40,8 @@ DATE_AND_TIME = ("UTC_date", "UTC_time")
 ALL_COLUMNS = (*TIME_COLUMNS, *DATE_AND_TIME, *TEXT_COLUMNS, *NUMBER_COLUMNS)
 COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 QUOTE_AT_END = r'^\s*"|"\s*$'
+# Row counts are broadcast, of about 200 bytes a split, if there are no more splits than this.
+BROADCAST_SPLITS = 100_000
 # Smallest size, in bytes, of a file that holds more than its header.
 MIN_FILE_BYTES = 309
 
@@ -52,18 +57,133 @@ def read_tags(
 ) -> DataFrame:
     """Read logger files into one table with fixed columns, matched by name.
 
-    Spark's CSV reader maps columns by position once a schema is given, which
-    swaps columns when files differ.  Here every line is split at its commas
-    and each file's own header, its first line, says where a column stands.
-    Short rows and absent columns give NULL, as do values that do not parse.  A
-    file without any time column is an error.
-
-    ``name_column`` and ``project`` are expressions over the file metadata
-    columns ``file_path``, ``file_name``; by default the tag is taken from the
-    file name.  ``foid`` counts a tag's rows over its files, in the order of their
-    names, so that no two rows of a tag share a number.  It is counted per input
-    split and added up, so a large file is not pulled into one task.  A split is
-    read by one task in order, which is what its line numbers rest on.
+    Each file's own header, its first line, says where a column stands: Spark's
+    CSV reader maps columns by position once a schema is given, which swaps columns
+    when files differ.  Short rows and absent columns give NULL, as do values that
+    do not parse.  A file without any time column is an error.
+
+    ``name_column`` and ``project`` are expressions over the columns ``file_path``,
+    ``file_name``; by default the tag is taken from the file name.  ``foid`` counts a
+    tag's rows over its files, in the order of their names, so that no two rows of
+    a tag share a number: rows are numbered within their split as they are read, and
+    the rows of the tag's earlier splits are added up over one small row a split.
+
+    Files that Python's file systems can open come from the source in ``log_files``,
+    whose plan exchanges no rows; others through Spark's text reader.
+    """
+    chosen = _qualified(spark, paths)
+    tag = name_column if name_column is not None else tag_of_file("file_name")
+    read = _from_source if _can_open(chosen) else _from_text
+    rows = read(spark, chosen, min_bytes, modified_after, tag, number_rows)
+
+    def cell(name: str) -> Column:
+        return F.nullif(F.trim(f"`{name}`"), F.lit(""))
+
+    def number(name: str) -> Column:
+        return nan_to_null(cell(name).try_cast("double"))
+
+    columns = [
+        tag.alias("tag_id"),
+        _time(cell).alias("datetime"),
+        *[cell(raw).alias(name) for raw, name in TEXT_COLUMNS.items()],
+        *[number(raw).alias(name) for raw, name in NUMBER_COLUMNS.items()],
+        "file_path",
+        "file_name",
+    ]
+    if project is not None:
+        columns.append(project.alias("project_id"))
+    if number_rows:
+        columns.append("foid")
+    return rows.select(*columns)
+
+
+def _time(cell: Callable[[str], Column]) -> Column:
+    """The time of a row, whichever of its three forms the file has."""
+    moments = [parse_either(cell(name)) for name in TIME_COLUMNS]
+    moments.append(parse_either(F.concat_ws(" ", cell(DATE_AND_TIME[0]), cell(DATE_AND_TIME[1]))))
+    return F.coalesce(*moments)
+
+
+def _qualified(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Paths with the scheme of Spark's file system for them, so that both sides mean the same files."""
+    out = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out.append(target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri().toString())
+    return out
+
+
+def _can_open(paths: Sequence[str]) -> bool:
+    """Whether Python's file systems know the paths: a scheme they don't know is left to Spark."""
+    try:
+        for path in paths[:1]:
+            log_files.file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return not any(c in path for path in paths for c in "*?{")
+
+
+def _source(
+    spark: SparkSession, mode: str, paths: Sequence[str], min_bytes: int, modified_after: str | None, columns: Sequence[str]
+) -> DataFrame:
+    spark.dataSource.register(log_files.LoggerFiles)
+    reader = spark.read.format(log_files.NAME).option("mode", mode).option("paths", json.dumps(list(paths)))
+    reader = reader.option("minBytes", min_bytes).option("splitBytes", _split_bytes(spark))
+    reader = reader.option("columns", json.dumps([(c, *ALIASES.get(c, ())) for c in columns]))
+    reader = reader.option("required", json.dumps([*TIME_COLUMNS, DATE_AND_TIME[0]]))
+    return (reader.option("modifiedAfter", modified_after) if modified_after else reader).load()
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """A split is held in memory as lines, so it is no larger than the source's own bound."""
+    wanted = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return min(log_files.SPLIT_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(wanted))
+
+
+def _from_source(
+    spark: SparkSession, paths: Sequence[str], min_bytes: int, modified_after: str | None, tag: Column, number_rows: bool
+) -> DataFrame:
+    """Raw text columns by name, and ``foid`` if rows are numbered."""
+    rows = _source(spark, "rows", paths, min_bytes, modified_after, ALL_COLUMNS)
+    if not number_rows:
+        return rows
+    earlier = Window.partitionBy("_tag").orderBy("file_name", "file_path", "split_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = _source(spark, "counts", paths, min_bytes, modified_after, ()).withColumn("_tag", tag)
+    before = counts.select("file_path", "split_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_earlier"))
+    known = log_files.list_splits(list(paths), min_bytes=min_bytes, modified_after=modified_after, split_bytes=_split_bytes(spark))
+    if len(known) <= BROADCAST_SPLITS:
+        before = F.broadcast(before)
+    return rows.join(before, ["file_path", "split_start"]).withColumn("foid", F.col("_earlier") + F.col("split_row"))
+
+
+def last_records(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    min_bytes: int = MIN_FILE_BYTES,
+    modified_after: str | None = None,
+) -> DataFrame:
+    """``file_path, file_name, size_bytes, bytes_read, last_record``: the time of every file's last record.
+
+    Only the first and the last block of a file are read, so what is read grows with the number of files; files that
+    only Spark can open are read whole and have no ``bytes_read``.  A file without records has no row, a last record without a time a NULL.
+    """
+    chosen = _qualified(spark, paths)
+    if not _can_open(chosen):
+        rows = read_tags(spark, chosen, min_bytes, modified_after=modified_after)
+        whole = rows.groupBy("file_path", "file_name").agg(F.max_by("datetime", "foid").alias("last_record"))
+        size = F.lit(None).cast("long")
+        return whole.select("file_path", "file_name", size.alias("size_bytes"), size.alias("bytes_read"), "last_record")
+    tails = _source(spark, "tails", chosen, min_bytes, modified_after, (*TIME_COLUMNS, *DATE_AND_TIME))
+    time = _time(lambda name: F.nullif(F.trim(f"`{name}`"), F.lit("")))
+    return tails.select("file_path", "file_name", "size_bytes", "bytes_read", time.alias("last_record"))
+
+
+def _from_text(
+    spark: SparkSession, paths: Sequence[str], min_bytes: int, modified_after: str | None, tag: Column, number_rows: bool
+) -> DataFrame:
+    """The same through Spark's text reader: every line is split at its commas, headers are joined on by split.
+
+    A split is read by one task in order, which is what its line numbers rest on.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
     if modified_after:
@@ -93,7 +213,6 @@ def read_tags(
     wanted = {name: (name, *ALIASES.get(name, ())) for name in ALL_COLUMNS}
     lines = lines.filter(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
     starts_file = (F.col(SLICE) == 0).cast("int")
-    tag = name_column if name_column is not None else tag_of_file("file_name")
     # One small row per input split: where the file's columns stand, and how
     # many records of the tag come before the split.
     in_file = Window.partitionBy("file_path")
@@ -132,26 +251,5 @@ def read_tags(
     rows = records.join(splits, ["file_path", SLICE]).withColumn("_v", split("value"))
     if number_rows:
         rows = rows.withColumn("foid", F.col("_earlier") + F.col("_row"))
-
-    def cell(name: str) -> Column:
-        at = F.col("_at")[f"p{list(wanted).index(name)}"]
-        return F.nullif(F.trim(F.get("_v", at)), F.lit(""))
-
-    def number(name: str) -> Column:
-        return nan_to_null(cell(name).try_cast("double"))
-
-    moments = [parse_either(cell(name)) for name in TIME_COLUMNS]
-    moments.append(parse_either(F.concat_ws(" ", cell(DATE_AND_TIME[0]), cell(DATE_AND_TIME[1]))))
-    columns = [
-        tag.alias("tag_id"),
-        F.coalesce(*moments).alias("datetime"),
-        *[cell(raw).alias(name) for raw, name in TEXT_COLUMNS.items()],
-        *[number(raw).alias(name) for raw, name in NUMBER_COLUMNS.items()],
-        "file_path",
-        "file_name",
-    ]
-    if project is not None:
-        columns.append(project.alias("project_id"))
-    if number_rows:
-        columns.append("foid")
-    return rows.select(*columns)
+    at = {name: F.col("_at")[f"p{i}"] for i, name in enumerate(wanted)}
+    return rows.withColumns({name: F.get("_v", at[name]) for name in wanted})

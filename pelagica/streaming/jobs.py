@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from ..sources.inventory import MIN_FILE_BYTES
 from ..sources.tag_logs import read_tags
 
+# Row numbers of a tag in one batch lie below this.
+BATCH_ROWS = 1 << 40
+
 
 def stream_files(
     spark: SparkSession,
@@ -75,21 +78,33 @@ def log_batches(out: str, min_bytes: int = MIN_FILE_BYTES, **options) -> Callabl
     ``out`` receives ``batch=<id>`` folders, written over when a batch is
     repeated.  The driver sees the paths of one batch, as many as
     ``files_per_batch`` allows; ``options`` go to ``read_tags``.  Row numbers
-    count over the tag's files of a batch.
+    count over the tag's files of a batch, from ``batch_id * BATCH_ROWS`` on, so that
+    a tag's rows never share one and later batches have higher ones.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         paths = sorted(r["path"] for r in batch.filter(F.col("length") > min_bytes).select("path").collect())
         if paths:
             records = read_tags(batch.sparkSession, paths, min_bytes=min_bytes, **options)
+            if "foid" in records.columns:
+                records = records.withColumn("foid", F.col("foid") + batch_id * BATCH_ROWS)
             records.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return each
 
 
-def dedupe(records: DataFrame, delay: str, keys: tuple[str, ...] = ("tag_id", "datetime")) -> DataFrame:
-    """One row per key among rows that arrive within ``delay`` of each other."""
-    return records.withWatermark("datetime", delay).dropDuplicatesWithinWatermark(list(keys))
+def dedupe(
+    records: DataFrame, delay: str, keys: tuple[str, ...] = ("tag_id", "datetime"), order: tuple[str, ...] = ("foid",)
+) -> DataFrame:
+    """The first row of every key by ``order``, out of all its rows that arrive before the watermark passes it.
+
+    A running minimum of the whole row is kept for each open key, combined before the shuffle, so that what comes
+    first decides nothing.  Rows come out, in append mode, once their time is ``delay`` behind the latest; ``keys`` have ``datetime`` among them.
+    """
+    rest = [c for c in records.columns if c not in (*keys, *order)]
+    least = F.min(F.struct(*order, *rest)).alias("_row")
+    first = records.withWatermark("datetime", delay).groupBy(*keys).agg(least)
+    return first.select(*keys, "_row.*").select(*records.columns)
 
 
 def sessions(records: DataFrame, gap: str, delay: str, key: str = "tag_id") -> DataFrame:

@@ -119,6 +119,13 @@ def test_deployment_joins(spark):
     assert {r["tag_id"] for r in deployments.deployed_only(records, table).collect()} == {1, 2}
 
 
+def test_the_latest_deployment_is_the_last_listed(spark):
+    table = spark.createDataFrame([(1, 1, "a", "P", at(50), None), (1, 2, "b", "P", at(10), None), (1, 3, "c", "P", None, None)], DEPLOYED)
+    assert [r["bird_id"] for r in deployments.latest_deployment(table).collect()] == ["c"]
+    assert [r["bird_id"] for r in deployments.latest_deployment(table.filter("dep_no < 3")).collect()] == ["b"]
+    assert [r["bird_id"] for r in deployments.latest_deployment(table.drop("dep_no")).collect()] == ["a"]
+
+
 def test_large_deployment_table_is_not_broadcast(spark):
     table = spark.createDataFrame([(1, 1, "a", "P", at(0), None)], DEPLOYED)
     records = spark.createDataFrame([(1, at(5), 1)], "tag_id long, datetime timestamp, foid long")

@@ -78,6 +78,63 @@ def test_the_first_line_is_the_header(spark, tmp_path):
         tag_logs.read_tags(spark, str(tmp_path), min_bytes=0).collect()
 
 
+def test_rows_are_read_without_an_exchange(spark, tmp_path):
+    for k in range(5):
+        write(tmp_path, f"9_{k}.csv", "device_id,UTC_datetime,depth_m\n" + "9,2024-01-01 00:00:00,1\n" * 50)
+
+    def plan(**options):
+        df = tag_logs.read_tags(spark, str(tmp_path), min_bytes=0, **options)
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(number_rows=False) and "Sort" not in plan(number_rows=False)
+    numbered = plan()
+    # one exchange of the counts by tag, and their broadcast
+    assert numbered.count("Exchange hashpartitioning") == 1 and numbered.count("BroadcastExchange") == 1
+    assert "BroadcastHashJoin" in numbered and "SortMergeJoin" not in numbered
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 40, 100, 1 << 20])
+def test_splits_of_any_size_give_the_same_rows(spark, tmp_path, size):
+    texts = {
+        "1_a.csv": "\ufeff\n\nUTC_datetime, depth_m ,datatype\r\n2024-01-01 00:00:00,1,é\r\n\r\n2024-01-01 00:00:01,2\r\n",
+        "1_b.csv": 'datatype,depth_m,UTC_datetime\n"a, ""b""",3,2024-01-01 00:00:02\n\n,4,2024-01-01 00:00:03',
+        "1_c.csv": "UTC_datetime\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before, bound = spark.conf.get("spark.sql.files.maxPartitionBytes"), str(size)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bound)
+    try:
+        rows = tag_logs.read_tags(spark, str(tmp_path), min_bytes=0).orderBy("foid").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["foid"], r["depth_m"], r["datatype"]) for r in rows] == [(1, 1.0, "é"), (2, 2.0, None), (3, 3.0, 'a, "b"'), (4, 4.0, None)]
+    assert [r["datetime"].second for r in rows] == [0, 1, 2, 3]
+
+
+def test_both_readers_agree(spark, logs, monkeypatch):
+    columns = ["tag_id", "foid", "datetime", "datatype", "lat", "lon", "depth_m", "conductivity_ms_cm", "file_name"]
+    own = tag_logs.read_tags(spark, str(logs), min_bytes=0).select(columns).collect()
+    ends = tag_logs.last_records(spark, str(logs), min_bytes=0).select("file_name", "last_record").collect()
+    monkeypatch.setattr(tag_logs, "_can_open", lambda paths: False)
+    assert sorted(map(str, own)) == sorted(map(str, tag_logs.read_tags(spark, str(logs), min_bytes=0).select(columns).collect()))
+    assert sorted(map(str, ends)) == sorted(map(str, tag_logs.last_records(spark, str(logs), min_bytes=0).select("file_name", "last_record").collect()))
+
+
+def test_last_records_read_the_ends_of_files(spark, tmp_path):
+    head = "device_id,UTC_datetime,depth_m\n"
+    line = "9,2024-01-01 00:00:00,1\n"
+    write(tmp_path, "1_long.csv", head + line * 200_000 + "9,2024-01-05 00:00:00,1\n\n \n")
+    write(tmp_path, "2_short.csv", head + line)
+    write(tmp_path, "3_head.csv", head)
+    write(tmp_path, "4_bad.csv", head + line + "9,soon,1")
+    write(tmp_path, "5_wide.csv", head + line + f"9,2024-01-06 00:00:00,{'7' * 300_000}\n")
+    got = {r["file_name"]: r for r in tag_logs.last_records(spark, str(tmp_path), min_bytes=0).collect()}
+    times = {name: r["last_record"] for name, r in got.items()}
+    assert times == {"1_long.csv": datetime(2024, 1, 5), "2_short.csv": datetime(2024, 1, 1), "4_bad.csv": None, "5_wide.csv": datetime(2024, 1, 6)}
+    assert got["1_long.csv"]["size_bytes"] > 4_000_000 and got["1_long.csv"]["bytes_read"] <= 2 * 65_536
+
+
 def test_own_readers_feed_own_plans(spark, tmp_path):
     """Deployments and logs from files into the as-of join, the study report and the chunk counts."""
     write(

@@ -118,11 +118,31 @@ def test_windows_and_sessions_close(spark, arrivals):
     assert spark.read.parquet(out).agg(F.sum("n")).first()[0] == 7 * 1200
 
 
-def test_dedupe_keeps_one_row(spark, tmp_path):
+def test_dedupe_keeps_the_first_row_whatever_comes_first(spark, tmp_path):
     path = str(tmp_path / "in")
-    rows = [(1, at(0), 1, 0.0, 1.0), (1, at(0), 2, 0.0, 1.0), (1, at(5), 3, 0.0, 1.0)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
-    out = scratch_path(spark, "out")
+    spark.createDataFrame([], SCHEMA).write.parquet(path)
     stream = jobs.stream_files(spark, path, SCHEMA, glob="*.parquet")
-    jobs.run_available(jobs.dedupe(stream, "10 seconds"), out, scratch_path(spark, "c"))
-    assert spark.read.parquet(out).count() == 2
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "c")
+    # the row that comes first in the file's order arrives last
+    for rows in (
+        [(1, at(0), 2, 7.0, None), (1, at(5), 3, 0.0, 1.0), (2, at(5), 9, None, 1.0)],
+        [(1, at(0), 1, None, 4.0), (1, at(5), 4, 0.0, 1.0), (2, at(5), 5, 2.0, 1.0), (1, at(0), 3, 0.0, 1.0)],
+        [(3, at(100), 1, 0.0, 1.0)],
+        [(1, at(0), 0, 0.0, 1.0)],  # behind the watermark
+    ):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        jobs.run_available(jobs.dedupe(stream, "10 seconds"), out, checkpoint)
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, at(0), 1, None, 4.0), (1, at(5), 3, 0.0, 1.0), (2, at(5), 5, 2.0, 1.0)}
+
+
+def test_row_numbers_of_log_batches_never_meet(spark, tmp_path):
+    logs, out = tmp_path / "logs", scratch_path(spark, "out")
+    logs.mkdir()
+    each = jobs.log_batches(out, min_bytes=0)
+    checkpoint = scratch_path(spark, "c")
+    for k in range(3):
+        (logs / f"7_{k}.csv").write_text("UTC_datetime,depth_m\n" + f"2024-01-01 00:00:0{k},{k}\n" * 3)
+        jobs.run_batches(jobs.stream_log_files(spark, str(logs)), each, checkpoint)
+    rows = spark.read.parquet(out).orderBy("foid").collect()
+    assert len({r["foid"] for r in rows}) == 9 and [r["depth_m"] for r in rows] == [0.0] * 3 + [1.0] * 3 + [2.0] * 3
