@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, scratch_path
+from ..session import prepare, remove_path, scratch_path
 
 # Rows per Arrow batch: texts are long, so batches hold few of them.
 ARROW_ROWS = 500
@@ -33,6 +33,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are needed only inside a ``with`` block: written like ``stored``, deleted at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+
+
 def sample_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """``x_id``: at most ``most`` distinct ids, those with the least hashes, stored.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pelagica.llm import decontaminate, packing, queries, simhash, toxicity, warc
+from pelagica.llm import decontaminate, packing, queries, toxicity, warc
 from pelagica.llm.common import ready
 
 SF = "/root/testdata/sf0.001"
@@ -179,21 +179,33 @@ def test_large_vocabularies_take_four_bytes(spark):
 # pipeline
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return 0
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1
+
+
 def brute_pipeline(docs, leaks, rejected):
     """Ids that the filtering stages keep, from plain Python."""
     docs = {i: t for i, t in docs if i not in rejected}
     last = {t: max(i for i in docs if docs[i] == t) for t in set(docs.values())}
     docs = {i: t for i, t in docs.items() if last[t] == i}
-    prints = {i: simhash.text_fingerprint(t) for i, t in docs.items()}
+    sets = {i: shingles(t) for i, t in docs.items()}
     label = {i: i for i in docs}
+    near = [(a, b) for a in docs for b in docs if a < b and alike(sets[a], sets[b]) >= 0.8]
     changed = True
     while changed:
         changed = False
-        for a in docs:
-            for b in docs:
-                if (prints[a] ^ prints[b]).bit_count() <= 4 and label[b] > label[a]:
-                    label[b] = label[a]
-                    changed = True
+        for a, b in near:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
     docs = {i: t for i, t in docs.items() if label[i] == i}
     return {i for i, t in docs.items() if not leaks(t)}
 
