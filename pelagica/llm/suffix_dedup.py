@@ -220,43 +220,53 @@ def _compare(table: pa.Table, open_start: bool, open_end: bool) -> pa.RecordBatc
     group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
     # with two documents the neighbour is the only partner
     unsure = (np.bincount(group, weights=~settled) > 0) | (np.bincount(group, weights=first) > 2)
-    within = np.flatnonzero(unsure[group] & ~edge)
-    begin, end = [pos[settled] - best_l[settled]], [pos[settled] + best_r[settled]]
-    whose, window = [doc[settled]], [np.zeros(settled.sum(), dtype=np.int64)]
-    if len(within):
-        found, there = _window_hashes(key[within], right[within], left[within])
-        if there.any():
-            hit = _shared_windows(doc[within], found, there)
-            some = np.flatnonzero(hit.any(axis=1))
-            least, most = hit[some].argmax(axis=1), WINDOW - 1 - hit[some][:, ::-1].argmax(axis=1)
-            begin.append(pos[within[some]] - most)
-            end.append(pos[within[some]] - least + LENGTH)
-            whose.append(doc[within[some]])
-            window.append(np.zeros(len(some), dtype=np.int64))
+    looked = np.flatnonzero(unsure[group] | edge)
+    begin, end, whose = [pos[settled] - best_l[settled]], [pos[settled] + best_r[settled]], [doc[settled]]
+    nothing = np.zeros(0, dtype=np.int64)
+    asks, offers = (nothing, nothing, nothing), (nothing, nothing, nothing)
+    if len(looked):
+        found, there = _window_hashes(key[looked], right[looked], left[looked])
+        hit = _shared_windows(doc[looked], found, there) if there.any() else there
+        some = np.flatnonzero(hit.any(axis=1))
+        least, most = hit[some].argmax(axis=1), WINDOW - 1 - hit[some][:, ::-1].argmax(axis=1)
+        begin.append(pos[looked[some]] - most)
+        end.append(pos[looked[some]] - least + LENGTH)
+        whose.append(doc[looked[some]])
+        # what no other document of this task has may be in another one; what this task has is shown to the others once
+        cut = edge[looked]
+        row, j = np.nonzero(there & ~hit & cut[:, None])
+        asks = doc[looked[row]], pos[looked[row]] - j, found[row, j].view(np.int64)
+        row, j = np.nonzero(there & cut[:, None])
+        if len(row):
+            hashes, docs = found[row, j], doc[looked[row]]
+            order = np.argsort(hashes, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
+            docs = docs[order]
+            offers = np.minimum.reduceat(docs, starts), np.maximum.reduceat(docs, starts), hashes[order][starts].view(np.int64)
     direct = sum(map(len, whose))
-    edges = np.flatnonzero(edge)
-    if len(edges):
-        found, there = _window_hashes(key[edges], right[edges], left[edges])
-        row, j = np.nonzero(there)
-        begin.append(pos[edges[row]] - j)
-        end.append(pos[edges[row]] - j + LENGTH)
-        whose.append(doc[edges[row]])
-        window.append(found[row, j].view(np.int64))
-    windows = np.concatenate(window)
-    columns = [np.concatenate(whose), np.concatenate(begin).astype(np.int32), np.concatenate(end).astype(np.int32)]
-    hashes = pa.array(windows, mask=np.arange(len(windows)) < direct)
-    return pa.record_batch([*map(pa.array, columns), hashes], names=["doc_id", "s", "e", "window"])
+    counts = np.array([direct, len(asks[0]), len(offers[0])])
+    part = np.repeat(np.arange(3), counts)
+    none = np.zeros(len(offers[0]), dtype=np.int64)
+    columns = [
+        pa.array(np.concatenate([*whose, asks[0], offers[0]])),
+        pa.array(np.concatenate([*begin, asks[1], none]).astype(np.int32)),
+        pa.array(np.concatenate([*end, asks[1] + LENGTH, none]).astype(np.int32)),
+        pa.array(np.concatenate([np.zeros(direct, dtype=np.int64), asks[2], offers[2]]), mask=part == 0),
+        pa.array(np.concatenate([np.zeros(direct + len(asks[0]), dtype=np.int64), offers[1]]), mask=part < 2),
+    ]
+    return pa.record_batch(columns, names=["doc_id", "s", "e", "window", "most"])
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch], rows: int = COMPARED) -> Iterator[pa.RecordBatch]:
-    """``doc_id, s, e, window``: passages that sorted suffixes share with other documents.
+    """``doc_id, s, e, window, most``: passages that sorted suffixes share with other documents.
 
     Rows come in suffix order (key, words, words before).  A row's neighbours are the last row before and the first
     row after it with the same key and another document; it is extended to both sides as far as the better one
     agrees.  A third document may agree less to the right but more to the left: where a key has more than two, all
     windows of ``LENGTH`` words around its rows are compared by equality as well.  ``window`` is null for passages
-    found so.  The first and the last key of a task may go on in other tasks: all their windows come out
-    with their hash, to be compared over all tasks, whatever the neighbours in this task give.
+    found so.  The first and the last key of a task may go on in other tasks: their windows that no other document of the task has come
+    out with their hash, to be looked for in the others; and every window of theirs comes out once,
+    with the least (``doc_id``) and the greatest document (``most``) that has it, for the others to find.
     """
     rest: pa.Table | None = None
     open_start = True
@@ -309,12 +319,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return compare_neighbours(batches, compared)
 
-    matched = stored(ordered.mapInArrow(compare, "doc_id long, s int, e int, window long"), "matched")
+    matched = stored(ordered.mapInArrow(compare, "doc_id long, s int, e int, window long, most long"), "matched")
     direct = matched.where("window is null").select("doc_id", "s", "e")
-    cut = matched.where("window is not null")
-    ranges = cut.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    ranges = matched.where("most is not null").groupBy("window").agg(F.min("doc_id").alias("a"), F.max("most").alias("b"))
     twice = ranges.where("a < b").select("window")
-    late = cut.join(twice, "window").select("doc_id", "s", "e")
+    late = matched.where("window is not null and most is null").join(twice, "window").select("doc_id", "s", "e")
     whole = copied.select("doc_id", F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e"))
     return _joined(direct.union(late).union(whole).distinct())
 
