@@ -9,6 +9,7 @@ from ..functions.text import file_token
 from ..functions.time import shift_seconds, to_utc
 from .clean import with_vector_sum
 from .slices import DAY_S, SLICE, running_sums, with_slice
+from .spans import BIN_S, join_spans
 
 # Seconds read before the start and after the end, the vector sum
 # a usable row exceeds, rows a tag needs, and the longest chunk.
@@ -61,6 +62,7 @@ def calibration_rows(
     calibrations: DataFrame,
     before_s: float = BEFORE_S,
     after_s: float = AFTER_S,
+    bin_s: float = BIN_S,
 ) -> DataFrame:
     """Rows around each calibration, with its start and their vector sum.
 
@@ -72,12 +74,10 @@ def calibration_rows(
         shift_seconds(F.col("start_utc"), -before_s).alias("_from"),
         shift_seconds(F.col("end_utc"), after_s).alias("_to"),
     )
-    inside = (
-        (F.col("tag_id") == F.col("_tag"))
-        & (F.col("datetime") > F.col("_from"))
-        & (F.col("datetime") < F.col("_to"))
-    )
-    return with_vector_sum(records.join(spans, inside).drop("_tag", "_from", "_to"))
+    inside = (F.col("datetime") > F.col("_from")) & (F.col("datetime") < F.col("_to"))
+    # a calibration without an end has no window, where a deployment's would be open
+    joined = join_spans(records, spans.filter(F.col("_to").isNotNull()), inside, "datetime", "_from", "_to", bin_s=bin_s)
+    return with_vector_sum(joined.drop("_from", "_to"))
 
 
 def calibration_gate(

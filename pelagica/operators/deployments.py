@@ -2,8 +2,9 @@
 
 None of these joins carries a broadcast hint.  The deployment table is small
 in practice and then falls below ``spark.sql.autoBroadcastJoinThreshold``, so
-Spark broadcasts it; beyond that size the same plan becomes a sort-merge join
-on the tag, whose hot partitions adaptive execution splits.
+Spark broadcasts it; beyond that size the same plan becomes a sort-merge join,
+on the tag and a bin of time where times are compared, so that one tag's records
+spread over tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import uni_id
 from ..functions.time import parse_month_first, to_utc
+from .spans import BIN_S, join_spans
 
 # Column names of the field table.
 FIELD_COLUMNS = {
@@ -77,6 +79,7 @@ def assign_deployment(
     deployments: DataFrame,
     columns: Sequence[str] = ("project_id", "bird_id", "dep_no"),
     time: str = "datetime",
+    bin_s: float = BIN_S,
 ) -> DataFrame:
     """Interval join: each record with the deployments it falls inside.
 
@@ -86,29 +89,21 @@ def assign_deployment(
     spans = deployments.select(
         F.col("tag_id").alias("_tag"), F.col("dep_start"), F.col("dep_end"), *columns
     )
-    inside = (
-        (F.col("tag_id") == F.col("_tag"))
-        & (F.col(time) > F.col("dep_start"))
-        & (F.col("dep_end").isNull() | (F.col(time) < F.col("dep_end")))
-    )
-    joined = records.join(spans, inside).drop("_tag", "dep_start", "dep_end")
+    inside = (F.col(time) > F.col("dep_start")) & (F.col("dep_end").isNull() | (F.col(time) < F.col("dep_end")))
+    joined = join_spans(records, spans, inside, time, "dep_start", "dep_end", bin_s=bin_s).drop("dep_start", "dep_end")
     if {"project_id", "bird_id"} <= set(columns):
         joined = joined.withColumn("uni_id", uni_id("project_id", "bird_id"))
     return joined
 
 
-def trim_to_deployment(records: DataFrame, deployments: DataFrame) -> DataFrame:
+def trim_to_deployment(records: DataFrame, deployments: DataFrame, bin_s: float = BIN_S) -> DataFrame:
     """Records inside any deployment of their tag, each once.
 
     Written as an existence test, so no row multiplies when deployments meet.
     """
     spans = deployments.select(F.col("tag_id").alias("_tag"), "dep_start", "dep_end")
-    inside = (
-        (F.col("tag_id") == F.col("_tag"))
-        & (F.col("datetime") > F.col("dep_start"))
-        & (F.col("dep_end").isNull() | (F.col("datetime") < F.col("dep_end")))
-    )
-    return records.join(spans, inside, "left_semi")
+    inside = (F.col("datetime") > F.col("dep_start")) & (F.col("dep_end").isNull() | (F.col("datetime") < F.col("dep_end")))
+    return join_spans(records, spans, inside, "datetime", "dep_start", "dep_end", "left_semi", bin_s)
 
 
 def asof_deployment(
@@ -116,6 +111,7 @@ def asof_deployment(
     deployments: DataFrame,
     columns: Sequence[str] = ("project_id", "bird_id", "dep_no"),
     time: str = "datetime",
+    bin_s: float = BIN_S,
 ) -> DataFrame:
     """Backward as-of: each record with the latest deployment started before it.
 
@@ -129,12 +125,8 @@ def asof_deployment(
         .withColumn("_until", F.lead("dep_start").over(by_start))
         .select(F.col("tag_id").alias("_tag"), "dep_start", "_until", *columns)
     )
-    valid = (
-        (F.col("tag_id") == F.col("_tag"))
-        & (F.col(time) > F.col("dep_start"))
-        & (F.col("_until").isNull() | (F.col(time) <= F.col("_until")))
-    )
-    return records.join(spans, valid, "left").drop("_tag", "_until")
+    valid = (F.col(time) > F.col("dep_start")) & (F.col("_until").isNull() | (F.col(time) <= F.col("_until")))
+    return join_spans(records, spans, valid, time, "dep_start", "_until", "left", bin_s).drop("_until")
 
 
 def deployed_only(records: DataFrame, deployments: DataFrame) -> DataFrame:

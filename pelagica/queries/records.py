@@ -332,3 +332,21 @@ GROUP BY project_id""",
 def gps_extent(t: Tables) -> DataFrame:
     fixes = clean.usable_fixes(t.tag_records)
     return summary.extent(deployments.assign_deployment(fixes, t.deployments))
+
+
+@query(
+    "positions_of_week",
+    """
+SELECT tag_id, count(*) AS n_rows, count(DISTINCT lat) AS n_lat, true AS near FROM {tag_records}
+WHERE CAST(datetime AS date) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY tag_id""",
+)
+def positions_of_week(t: Tables) -> DataFrame:
+    """Distinct latitudes of a week exactly, and whether the merged daily sketches come within four standard errors and one."""
+    first, last = (F.lit(d).cast("date") for d in ("2024-01-08", "2024-01-14"))
+    sketches = summary.daily_position_sketches(t.tag_records, ["tag_id"])
+    about = summary.positions_of_days(sketches, first, last, ["tag_id"])
+    week = t.tag_records.filter(F.to_date("datetime").between(first, last))
+    exact = week.groupBy("tag_id").agg(F.countDistinct("lat").alias("n_lat"))
+    error = 4 * 1.04 / 2 ** (summary.SKETCH_BITS / 2)
+    near = F.abs(F.col("n_lat_about") - F.col("n_lat")) <= F.col("n_lat") * error + 1
+    return about.join(exact, "tag_id").select("tag_id", "n_rows", "n_lat", near.alias("near"))

@@ -105,7 +105,8 @@ def stream_sessions(t: Tables) -> DataFrame:
 
 
 WINDOW_COLUMNS = """count(*) AS n, min(datetime) AS min_dt, max(datetime) AS max_dt,
-  max(depth_m) AS max_depth, round(avg(u_bat_mv), 4) AS u_bat"""
+  max(depth_m) AS max_depth, round(avg(u_bat_mv), 4) AS u_bat,
+  round(avg(ext_temperature_c), 4) AS u_temp, round(avg(conductivity_ms_cm), 4) AS u_cond"""
 
 
 @query(
@@ -117,9 +118,8 @@ FROM (SELECT *, date_trunc('day', datetime) - unnest(range(7)) * INTERVAL 1 DAY
 GROUP BY 1, 2 HAVING window_start + INTERVAL 7 DAY <= {LAST} - INTERVAL 1 HOUR""",
 )
 def stream_status(t: Tables) -> DataFrame:
-    return _result(
-        t, jobs.trailing_status(_stream(t), "7 days", "1 day", "1 hour"), "status"
-    )
+    status = jobs.trailing_status(_stream(t), "7 days", "1 day", "1 hour")
+    return _result(t, status, "status").drop("n_lat_about")  # an estimate, which SQL has no equal of
 
 
 @query(
@@ -131,7 +131,7 @@ FROM {{tag_records}} GROUP BY 1, 2
 HAVING date_trunc('day', datetime) + INTERVAL 1 DAY <= {LAST} - INTERVAL 1 HOUR""",
 )
 def stream_daily(t: Tables) -> DataFrame:
-    return _result(t, jobs.daily_counts(_stream(t), "1 hour"), "daily")
+    return _result(t, jobs.daily_counts(_stream(t), "1 hour"), "daily").drop("n_lat_about")
 
 
 @query(

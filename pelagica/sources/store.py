@@ -21,7 +21,7 @@ def write_summary(df: DataFrame, folder: str, name: str, day: date, files: int |
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Add rows to a running CSV table."""
+    """Add rows to a running CSV table; ``commits.append_run`` is the form that may be repeated."""
     df.write.mode("append").csv(path, header=True)
 
 
@@ -31,12 +31,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_by(df: DataFrame, path: str, column: str = "project_id") -> None:
-    """Store one folder per project.
+    """Store one folder per project; the projects of ``df`` are replaced, others stay as they are.
 
     Rows are not gathered by project first: a project may hold a third of all
     rows, and every task can write its own file into each folder.
     """
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

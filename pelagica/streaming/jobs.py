@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.summary import SKETCH_BITS
 from ..sources.inventory import MIN_FILE_BYTES
 from ..sources.tag_logs import read_tags
 
+# Sensors whose means windows have besides the battery's, if records have them.
+SENSORS = {"ext_temperature_c": "u_temp", "conductivity_ms_cm": "u_cond"}
 # Row numbers of a tag in one batch lie below this.
 BATCH_ROWS = 1 << 40
 
@@ -130,7 +133,7 @@ def sessions(records: DataFrame, gap: str, delay: str, key: str = "tag_id") -> D
 def trailing_status(
     records: DataFrame, length: str, step: str, delay: str, key: str = "tag_id"
 ) -> DataFrame:
-    """Per tag and sliding window: rows, times, deepest point, mean sensors."""
+    """Per tag and sliding window: rows, times, deepest point, mean sensors, and about how many distinct latitudes."""
     return _windowed(records, F.window("datetime", length, step), delay, key)
 
 
@@ -149,6 +152,8 @@ def _windowed(records: DataFrame, span: Column, delay: str, key: str) -> DataFra
             F.max("datetime").alias("max_dt"),
             F.max("depth_m").alias("max_depth"),
             F.round(F.avg("u_bat_mv"), 4).alias("u_bat"),
+            *[F.round(F.avg(c), 4).alias(n) for c, n in SENSORS.items() if c in records.columns],
+            *[F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS))).alias("n_lat_about") for c in ("lat",) if c in records.columns],
         )
         .select(
             key,
@@ -159,5 +164,7 @@ def _windowed(records: DataFrame, span: Column, delay: str, key: str) -> DataFra
             "max_dt",
             "max_depth",
             "u_bat",
+            *[n for c, n in SENSORS.items() if c in records.columns],
+            *["n_lat_about" for c in ("lat",) if c in records.columns],
         )
     )

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from brute import at
@@ -140,6 +141,58 @@ def test_large_deployment_table_is_not_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("bin_s", [1, 7, 50, 30 * 86_400])
+def test_span_joins_are_the_same_for_any_bin(spark, bin_s):
+    table = [(1, 1, "a", "P", at(5), at(20)), (1, 2, "b", "P", at(20), at(20)), (1, 3, "c", "Q", at(30), None), (1, 4, "d", "Q", at(60), at(50)), (2, 1, "e", "P", None, None), (2, 2, "f", "P", at(-10**9), at(8))]
+    records = [(t, None if s is None else at(s), 100 * t + i) for t in (1, 2, 3) for i, s in enumerate([None, 0, 5, 6, 19, 20, 21, 30, 31, 90, 10**9, -10**9])]
+    frame = spark.createDataFrame(records, "tag_id long, datetime timestamp, foid long")
+    deployed = spark.createDataFrame(table, DEPLOYED)
+    # the far future has few bins even when they are narrow
+    narrow = {"bin_s": bin_s} if bin_s > 100 else {"bin_s": bin_s * 10_000_000}
+    got = {(r["foid"], r["bird_id"]) for r in deployments.assign_deployment(frame, deployed, **narrow).collect()}
+    want = {
+        (f, b) for t, when, f in records for tag, _, b, _, lo, hi in table
+        if t == tag and when and lo and when > lo and (hi is None or when < hi)
+    }
+    assert got == want
+    inside = {r["foid"] for r in deployments.trim_to_deployment(frame, deployed, **narrow).collect()}
+    assert inside == {f for f, _ in want}
+    spans = spark.createDataFrame([(1, at(6), at(9)), (1, at(8), at(30)), (2, at(0), None)], "tag_id long, start_utc timestamp, end_utc timestamp")
+    moving = frame.select("*", *[F.lit(0.0).alias(c) for c in ("acc_x", "acc_y", "acc_z")])
+    rows = calibration.calibration_rows(moving, spans, 1, 1, bin_s=bin_s).collect()
+    near = {(f, lo) for t, when, f in records for tag, lo, hi in [(1, 6, 9), (1, 8, 30)] if t == tag and when and at(lo - 1) < when < at(hi + 1)}
+    assert {(r["foid"], r["start_utc"]) for r in rows} == {(f, at(lo)) for f, lo in near}
+
+
+def test_one_tag_spreads_over_tasks(spark):
+    """Without a broadcast the records of a single tag meet its deployments in many partitions."""
+    records = spark.range(20_000).select(F.lit(1).alias("tag_id"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 3600).alias("datetime"), F.col("id").alias("foid"))
+    table = spark.createDataFrame([(1, k, f"b{k}", "P", at(-10**8 + k * 10**6), None) for k in range(3)], DEPLOYED)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = deployments.assign_deployment(records, table)
+        assert joined.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sketches_of_days_merge(spark):
+    records = spark.range(60_000).select(
+        (F.col("id") % 2).alias("tag_id"), F.lit("P").alias("project_id"), (F.col("id") % 21_000 / 1000).alias("lat"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 10).alias("datetime"),
+    )
+    sketches = summary.daily_position_sketches(records)
+    day = lambda d: F.lit(f"2024-01-0{d}").cast("date")
+    for first, last in ((1, 1), (1, 7), (3, 5)):
+        got = {r["tag_id"]: r for r in summary.positions_of_days(sketches, day(first), day(last)).collect()}
+        part = records.filter(F.to_date("datetime").between(day(first), day(last)))
+        for r in part.groupBy("tag_id").agg(F.countDistinct("lat").alias("n"), F.count("*").alias("m")).collect():
+            assert abs(got[r["tag_id"]]["n_lat_about"] - r["n"]) <= 0.065 * r["n"] and got[r["tag_id"]]["n_rows"] == r["m"]
+
+
 def test_summary_of_missing_values(spark):
     df = spark.createDataFrame(
         [("P", 1, at(0), None, None, 3.0, None, None, "GPS"), ("P", 1, at(3600), None, 1.0, 4.0, None, None, "SEN")],

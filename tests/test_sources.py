@@ -263,6 +263,9 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(running, header=True).count() == 4
     store.write_by(df, str(tmp_path / "by"))
     assert sorted(os.listdir(tmp_path / "by"))[-2:] == ["project_id=P", "project_id=Q"]
+    store.write_by(spark.createDataFrame([("P", 5), ("P", 6)], df.schema), str(tmp_path / "by"))
+    again = spark.read.parquet(str(tmp_path / "by")).collect()
+    assert sorted((r["project_id"], r["n"]) for r in again) == [("P", 5), ("P", 6), ("Q", 2)]
     store.write_table(df, str(tmp_path / "t"))
     assert store.read_table(spark, str(tmp_path / "t")).count() == 2
 
