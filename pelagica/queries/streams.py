@@ -106,7 +106,7 @@ def stream_sessions(t: Tables) -> DataFrame:
 
 WINDOW_COLUMNS = """count(*) AS n, min(datetime) AS min_dt, max(datetime) AS max_dt,
   max(depth_m) AS max_depth, round(avg(u_bat_mv), 4) AS u_bat,
-  round(avg(ext_temperature_c), 4) AS u_temp, round(avg(conductivity_ms_cm), 4) AS u_cond"""
+  round(avg(ext_temperature_c), 9) AS u_temp, round(avg(conductivity_ms_cm), 9) AS u_cond"""
 
 
 @query(

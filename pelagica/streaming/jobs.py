@@ -152,7 +152,7 @@ def _windowed(records: DataFrame, span: Column, delay: str, key: str) -> DataFra
             F.max("datetime").alias("max_dt"),
             F.max("depth_m").alias("max_depth"),
             F.round(F.avg("u_bat_mv"), 4).alias("u_bat"),
-            *[F.round(F.avg(c), 4).alias(n) for c, n in SENSORS.items() if c in records.columns],
+            *[F.round(F.avg(c), 9).alias(n) for c, n in SENSORS.items() if c in records.columns],
             *[F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS))).alias("n_lat_about") for c in ("lat",) if c in records.columns],
         )
         .select(
