@@ -21,7 +21,8 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STRING = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 SAMPLE_DOCS = 20_000
-MARGIN = 1.5
+# Chosen on held-out strings: see the README for what it finds and what it reports wrongly.
+MARGIN = 0.8
 SMOOTH = 8.0
 USED = 3
 
@@ -70,6 +71,12 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _masked(text: str, pattern: str, keep: str = "true") -> Column:
+    """The text with every match that ``keep`` takes (as ``x``) replaced by as many characters that no pattern knows."""
+    cut = f"split(regexp_replace({text}, '{_java(pattern)}', '{MARK}$0{MARK}'), '{MARK}')"
+    return F.expr(f"array_join(transform({cut}, (x, i) -> if(i % 2 = 1 and {keep}, repeat('{OTHER}', length(x)), x)), '')")
+
+
 def _pairs(strings: DataFrame, column: str) -> DataFrame:
     """Counts of neighbouring characters in a column of strings: ``pair, n``."""
     pair = F.explode(F.expr(f"transform(sequence(1, length({column}) - 1), i -> substr({column}, i, 2))"))
@@ -134,9 +141,10 @@ def find_secrets(
     """``doc_id, base, added``: spans of secrets in every whole text.
 
     ``base`` holds the spans of the fixed patterns, ``added`` the further strings of 16 or more
-    known characters, letters and digits among them, whose mean log-likelihood ratio for each pair of characters exceeds ``margin`` and which
-    overlap no base span.  Spans are structs of start, end (exclusive, in code points), kind number and
-    value.  Null and empty texts have no spans; repeated rows each get their row; other columns are ignored.
+    known characters, what is left beside base spans among them, whose mean log-likelihood ratio for each pair of characters
+    exceeds ``margin``: the ratio alone decides.  Spans are structs of start, end (exclusive, in code points), kind number and
+    value.  Null and empty texts have no spans, very long ones are searched whole; repeated rows each get their row, an empty table
+    gives none; other columns are ignored.
     """
     ratios = fit_markov(docs, id_col, text_col) if model is None else model
     table = f"cast(split('{','.join(f'{r:.5f}' for r in ratios)}', ',') as array<double>)"
@@ -147,9 +155,12 @@ def find_secrets(
     free = "not exists(x_base, b -> b.s < x.e and x.s < b.e)"
     return (
         base_spans(docs, id_col, text_col)
+        .withColumn("x_text", _masked("x_text", ASSIGN, f"length(regexp_extract(x, '{_java(ASSIGN)}', 2)) >= {ASSIGN_LENGTH}"))
+        .withColumn("x_text", _masked("x_text", ACCESS))
+        .withColumn("x_text", _masked("x_text", HEX))
         .withColumn("x_parts", _parts("x_text", STRING))
         .drop("x_text")
-        .withColumn("x_more", F.expr(_spans("x_parts", 3, "x.v rlike '[0-9]' and x.v rlike '[A-Za-z]'")))
+        .withColumn("x_more", F.expr(_spans("x_parts", 3)))
         .withColumn("x_more", F.expr(f"filter(x_more, x -> {free})"))
         .withColumn("x_more", F.expr(f"transform(x_more, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'v', x.v, 'c', {codes}))"))
         .withColumn("x_table", F.expr(table))
