@@ -216,7 +216,7 @@ def test_pipeline_stages(spark, tmp_path):
     docs, labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     model = toxicity.train(docs, labels)
     rejected = {r.doc_id for r in toxicity.rate(docs, model).where("toxic").collect()}
-    index = decontaminate.indexes(benchmark)[0]
+    (index,) = decontaminate.indexes(benchmark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute_pipeline(rows, index.leaks, rejected)
     step = docs

@@ -204,7 +204,7 @@ def test_leaks_against_brute_force(spark):
     ready(spark)
     rng = random.Random(7)
     items, sentence = bench_items(rng, 60)
-    items += [(500, "too short"), (501, None), (502, ""), (None, items[3][1])]
+    items += [(500, "Capital of France? Paris"), (501, None), (502, ""), (503, "?!"), (504, "Paris"), (None, items[3][1]), items[5]]
     docs = []
     for i in range(150):
         parts = [sentence(rng.randint(5, 120)) for _ in range(rng.randint(0, 5))]
@@ -216,12 +216,16 @@ def test_leaks_against_brute_force(spark):
         if i % 7 == 0:
             parts.append(rng.choice(items[:60])[1][: rng.randint(10, 80)])
         docs.append((i, " ".join(parts)))
-    docs += [(900, None), (901, ""), (None, items[0][1]), (1, docs[1][1])]
+    docs += [(900, None), (901, ""), (None, items[0][1]), (1, docs[1][1]), (902, "paris."), (903, "It was Paris, capital of France?")]
+    docs += [(904, sentence(200) + " the capital of France - Paris! " + sentence(90))]
     want = set()
     for d, text in docs:
         words = decontaminate.words_of(text)
         for i, item in items:
-            if item and len(decontaminate.words_of(item)) >= 5:
+            whole = decontaminate.words_of(item)
+            if 1 < len(whole) < 5 and any(words[k : k + len(whole)] == whole for k in range(len(words))) or len(whole) == 1 and words == whole:
+                want.add((d, i))
+            if len(whole) >= 5:
                 q, a = decontaminate.question_and_answer(item)
                 if all(decontaminate.overlap(decontaminate._shingles(p), words) >= 0.8 for p in (q, a)):
                     want.add((d, i))
@@ -234,9 +238,34 @@ def test_leaks_against_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.find_leaks(frame, benchmark.limit(0)).count() == 0
     assert decontaminate.drop_leaks(frame.limit(0), benchmark).count() == 0
-    many = decontaminate.indexes(benchmark, most=600)
-    assert len(many) > 3
-    assert sum(len(i.items) for i in many) == sum(len(decontaminate.words_of(t)) >= 5 for _, t in items)
+    assert {(904, 500), (902, 504)} <= want and 903 not in {d for d, _ in want}
+
+
+def test_one_index_equals_several(spark, monkeypatch):
+    """Scores, passages and rows don't change with the number of indexes, nor with the portions a text is searched in."""
+    ready(spark)
+    rng = random.Random(8)
+    items, sentence = bench_items(rng, 80)
+    items += [(500, "Capital of France? Paris"), (501, None), (502, "")]
+    docs = [(i, " ".join([sentence(40), rng.choice(items[:81])[1], sentence(90)])) for i in range(80)]
+    docs.append((99, " ".join(sentence(30) for _ in range(3000)) + " " + items[7][1]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    (one,) = decontaminate.indexes(benchmark)
+    many = list(decontaminate.indexes(benchmark, most=1500))
+    assert len(many) > 5 and sum(len(i.items) for i in many) == len(one.items) == 81
+    assert {(i.stride, i.longest) for i in many} == {(one.stride, one.longest)}
+    for _, text in docs:
+        assert sorted(leak for index in many for leak in index.leaks(text)) == sorted(one.leaks(text))
+    whole = sorted(map(tuple, decontaminate.find_leaks(frame, benchmark).collect()))
+    kept = sorted(r.doc_id for r in decontaminate.drop_leaks(frame, benchmark).collect())
+    assert len(whole) > 50
+    monkeypatch.setattr(decontaminate, "ENTRIES", 40)
+    assert one.leaks(docs[-1][1]) == [leak[1:] for leak in whole if leak[0] == 99]
+    monkeypatch.undo()
+    monkeypatch.setattr(decontaminate, "indexes", lambda b, f=decontaminate.indexes: f(b, 1500))
+    assert sorted(map(tuple, decontaminate.find_leaks(frame, benchmark).collect())) == whole
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame, benchmark).collect()) == kept
 
 
 # page text
