@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # What rounding can add to a cross product, as a share of its two products.
 ROUNDING = 3.4e-16
 # Corners a task keeps in memory before it passes them on.
@@ -198,45 +200,146 @@ def _inside(px: Column, py: Column, edges: Column) -> Column:
     return F.forall(edges, left)
 
 
-def _tile(value: Column, tile_deg: float) -> Column:
-    return F.floor(value / F.lit(tile_deg))
+def _tile(value: Column, tile_deg: Column | float) -> Column:
+    return F.floor(value / (tile_deg if isinstance(tile_deg, Column) else F.lit(tile_deg)))
 
 
-def _hull_tiles(corners: DataFrame, key: str, tile_deg: float) -> DataFrame:
-    """Tiles that hull boxes touch; ``edges`` is NULL for those wholly inside the hull."""
-    hulls = hull_polygons(corners, key).withColumn("edges", _edges("ring"))
-    tiles = (
-        hulls.withColumn(
-            "tx", F.explode(F.sequence(_tile(F.col("x_min"), tile_deg), _tile(F.col("x_max"), tile_deg)))
-        )
-        .withColumn(
-            "ty", F.explode(F.sequence(_tile(F.col("y_min"), tile_deg), _tile(F.col("y_max"), tile_deg)))
-        )
-    )
-    west, south = F.col("tx") * tile_deg, F.col("ty") * tile_deg
-    sides = [(west, south), (west + tile_deg, south), (west, south + tile_deg), (west + tile_deg, south + tile_deg)]
-    whole = F.lit(True)
-    for px, py in sides:
-        whole = whole & _inside(px, py, F.col("edges"))
-    return tiles.select(key, "tx", "ty", F.when(~whole, F.col("edges")).alias("edges"))
+def unwrap_longitudes(points: DataFrame, key: str, x: str = "lon", turn: float = 360.0) -> DataFrame:
+    """Put the points of each group on one stretch of longitude, also across the 180th meridian.
+
+    A group starts after the widest empty gap, in 360ths of ``turn``, on the circle; points before that start are moved
+    one turn east, so that ``x`` may reach beyond half a turn.  Groups that don't cross stay as they are.  A group is known
+    by at most 360 numbers.  Longitudes lie within half a turn of 0; rows without one, or without a key, are kept as they are.
+    """
+    here = F.col(x).cast("double")
+    placed = points.withColumn(x, F.when(here >= turn / 2, here - turn).otherwise(here))
+    step = F.floor(F.col(x) / F.lit(turn / 360))
+    seen = placed.filter(F.col(x).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set(step)).alias("_steps"))
+    steps = F.col("_steps")
+    following = F.concat(F.slice(steps, 2, F.size(steps)), F.array(F.element_at(steps, 1) + 360))
+    gaps = F.zip_with(steps, following, lambda a, b: F.struct((b - a).alias("gap"), F.when(b >= 180, b - 360).otherwise(b).alias("start")))
+    starts = seen.select("_key", F.array_max(gaps)["start"].alias("_start"))
+    moved = placed.join(starts, F.col(key) == F.col("_key"), "left")
+    return moved.withColumn(x, F.when(step < F.col("_start"), F.col(x) + turn).otherwise(F.col(x))).drop("_key", "_start")
+
+
+def _crossing(level: Column, tx: Column, ty: Column, edges: Column, tile_deg: float) -> Column:
+    """The edges whose line crosses a cell; NULL if the cell lies beyond one of them.
+
+    Every point of a cell is left of the edges that are left out.  The cell is taken a little too wide, and an edge
+    counts as crossing within rounding, so no point is decided here that its own test would decide otherwise.
+    """
+    side = F.lit(tile_deg) * F.pow(F.lit(2.0), level)
+    west, south = (tx - 1e-9) * side, (ty - 1e-9) * side
+    east, north = (tx + 1 + 1e-9) * side, (ty + 1 + 1e-9) * side
+
+    def products(e: Column) -> tuple[Column, ...]:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        return dx * (south - e["ay"]), dx * (north - e["ay"]), dy * (west - e["ax"]), dy * (east - e["ax"])
 
+    def rounding(one: Column, two: Column, three: Column, four: Column) -> Column:
+        return 4 * ROUNDING * (F.greatest(F.abs(one), F.abs(two)) + F.greatest(F.abs(three), F.abs(four)))
 
-def _placed(cells: DataFrame, tile_deg: float) -> DataFrame:
-    return cells.withColumns({"tx": _tile(F.col("x"), tile_deg), "ty": _tile(F.col("y"), tile_deg)})
+    def beyond(e: Column) -> Column:
+        south_, north_, west_, east_ = products(e)
+        return F.greatest(south_, north_) - F.least(west_, east_) < -rounding(south_, north_, west_, east_)
+
+    def crosses(e: Column) -> Column:
+        south_, north_, west_, east_ = products(e)
+        return F.least(south_, north_) - F.greatest(west_, east_) < rounding(south_, north_, west_, east_)
+
+    return F.when(~F.exists(edges, beyond), F.filter(edges, crosses))
+
+
+def hull_cover(corners: DataFrame, key: str, tile_deg: float = 1.0, levels: int = 8) -> DataFrame:
+    """Cells of a quadtree that cover each hull: ``key, level, tx, ty, edges``.
+
+    A cell of level ``l`` is ``tile_deg * 2**l`` wide.  A hull starts with the few cells of the level that suits its extent
+    (``levels`` at most); a cell that an edge crosses is cut into four down to level 0, a cell wholly inside is left whole,
+    one wholly outside is dropped.  So the number of cells grows with the border, and ``edges``, empty for cells inside, holds only
+    those a point of the cell must still be compared with.  All steps are narrow.  Hulls of one or two corners cover their
+    point or line.
+    """
+    box = F.array(
+        *[
+            F.struct(*[c.cast("double").alias(n) for c, n in zip(ends, ("ax", "ay", "bx", "by"))])
+            for x, y, dx, dy in (("x_min", "y_max", 0, -1), ("x_max", "y_min", 0, 1), ("x_min", "y_min", 1, 0), ("x_max", "y_max", -1, 0))
+            for ends in [(F.col(x), F.col(y), F.col(x) + dx, F.col(y) + dy)]
+        ]
+    )
+    hulls = hull_polygons(corners, key).withColumn("edges", F.concat(_edges("ring"), box))
+    tiles = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")) / F.lit(tile_deg)
+    fitting = F.when(tiles > 1, F.least(F.lit(levels), F.ceil(F.log2(tiles)))).otherwise(0).cast("int")
+    hulls = hulls.withColumn("level", fitting)
+
+    def span(low: str, high: str) -> Column:
+        first, last = (_tile(F.col(c), F.lit(tile_deg) * F.pow(F.lit(2.0), F.col("level"))) for c in (low, high))
+        return F.explode(F.sequence(first, last))
+
+    def settled(cells: DataFrame, fresh: Column) -> DataFrame:
+        left = F.when(fresh, _crossing(F.col("level"), F.col("tx"), F.col("ty"), F.col("edges"), tile_deg)).otherwise(F.col("edges"))
+        return cells.select(key, "level", "tx", "ty", left.alias("edges")).filter(F.col("edges").isNotNull())
+
+    cells = hulls.withColumn("tx", span("x_min", "x_max")).withColumn("ty", span("y_min", "y_max"))
+    cells = settled(cells, F.lit(True))
+
+    def cell(level: Column, tx: Column, ty: Column) -> Column:
+        return F.struct(level.cast("int").alias("level"), tx.cast("long").alias("tx"), ty.cast("long").alias("ty"))
+
+    level, tx, ty = F.col("level"), F.col("tx"), F.col("ty")
+    quarters = F.array(*[cell(level - 1, 2 * tx + dx, 2 * ty + dy) for dx in (0, 1) for dy in (0, 1)])
+    for depth in range(levels, 0, -1):
+        cut = (level == depth) & (F.size("edges") > 0)
+        parts = F.explode(F.when(cut, quarters).otherwise(F.array(cell(level, tx, ty))))
+        cells = cells.select(key, "edges", cut.alias("_cut"), parts.alias("_c")).select(key, "edges", "_cut", "_c.*")
+        cells = settled(cells, F.col("_cut"))
+    return cells
+
+
+def _kept_cover(corners: DataFrame, key: str, tile_deg: float, levels: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Cells inside hulls, border cells, and the levels of the former; written once, since each is read for itself."""
+    shared_dir(corners.sparkSession)
+    cover = hull_cover(corners, key, tile_deg, levels).checkpoint()
+    inside = cover.filter(F.size("edges") == 0).drop("edges")
+    used = sorted(r["level"] for r in inside.select("level").distinct().collect())  # at most one row a level
+    border = cover.filter(F.size("edges") > 0).drop("level")
+    return inside, border, used
+
+
+def _placed(cells: DataFrame, tile_deg: float, turn: float | None) -> DataFrame:
+    """Cells with the tile of their centre, one turn further east as well if hulls may reach beyond half a turn."""
+    here = F.col("x")
+    places = F.array(here, here + turn) if turn else F.array(here)
+    placed = cells.withColumn("_x", F.explode(places))
+    return placed.withColumns({"tx": _tile(F.col("_x"), tile_deg), "ty": _tile(F.col("y"), tile_deg)})
+
+
+def _with_parents(placed: DataFrame, levels: Sequence[int]) -> DataFrame:
+    """Rows once for each level, with the cell of that level they lie in."""
+    parents = F.array(
+        *[
+            F.struct(F.lit(k).alias("level"), F.shiftright("tx", k).alias("tx"), F.shiftright("ty", k).alias("ty"))
+            for k in levels
+        ]
+    )
+    return placed.withColumn("_p", F.explode(parents)).drop("tx", "ty").select("*", "_p.*").drop("_p")
 
 
 def clip_cells(
-    cells: DataFrame, corners: DataFrame, key: str, tile_deg: float = 1.0
+    cells: DataFrame, corners: DataFrame, key: str, tile_deg: float = 1.0, levels: int = 8, turn: float | None = None
 ) -> DataFrame:
     """Raster cells whose centre lies inside a hull, once per hull.
 
-    Hull boxes are cut into tiles of a fixed size, which makes the join an
-    equality on the tile.  Tiles wholly inside a hull need no further test; the
-    others compare their cells with the hull's edges.
+    Hulls are covered by cells of a quadtree (``hull_cover``), which makes the join an equality on level and tile.  Cells wholly
+    inside a hull need no further test; those at its border compare their centres with the few edges that cross them.
+    The tile's width and the levels change only the spread.  ``turn`` is to be given for hulls of ``unwrap_longitudes``.
     """
-    tiles, placed = _hull_tiles(corners, key, tile_deg), _placed(cells, tile_deg)
-    inside = F.col("edges").isNull() | _inside(F.col("x"), F.col("y"), F.col("edges"))
-    return placed.join(tiles, ["tx", "ty"]).filter(inside).select(key, *cells.columns)
+    inside, border, used = _kept_cover(corners, key, tile_deg, levels)
+    placed = _placed(cells, tile_deg, turn)
+    met = placed.join(border, ["tx", "ty"]).filter(_inside(F.col("_x"), F.col("y"), F.col("edges"))).select(key, *cells.columns)
+    if not used:
+        return met
+    return met.union(_with_parents(placed, used).join(inside, ["level", "tx", "ty"]).select(key, *cells.columns))
 
 
 def with_class_names(cells: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -247,20 +350,22 @@ def with_class_names(cells: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def class_counts_inside(
-    cells: DataFrame, corners: DataFrame, lookup: DataFrame, key: str, tile_deg: float = 1.0
+    cells: DataFrame, corners: DataFrame, lookup: DataFrame, key: str, tile_deg: float = 1.0, levels: int = 8, turn: float | None = None
 ) -> DataFrame:
     """Cells per hull and class, cells without a class left out.
 
-    Cells are counted by tile and class once; tiles wholly inside a hull add
-    those counts, and only the tiles at a hull's edge look at their cells again.
+    Cells are counted by tile and class once, and those counts by the larger cells of the cover; cells wholly inside a hull add
+    these counts, and only the tiles at a hull's border look at their cells again.
     """
-    tiles = _hull_tiles(corners, key, tile_deg)
-    placed = _placed(cells.filter(F.col("layer").isNotNull()), tile_deg)
-    counts = placed.groupBy("tx", "ty", "layer").agg(F.count("*").alias("n"))
-    whole = tiles.filter(F.col("edges").isNull()).join(counts, ["tx", "ty"]).select(key, "layer", "n")
-    cut = placed.join(tiles.filter(F.col("edges").isNotNull()), ["tx", "ty"])
-    cut = cut.filter(_inside(F.col("x"), F.col("y"), F.col("edges"))).groupBy(key, "layer").agg(F.count("*").alias("n"))
-    total = whole.unionByName(cut).groupBy(key, "layer").agg(F.sum("n").alias("n"))
+    inside, border, used = _kept_cover(corners, key, tile_deg, levels)
+    placed = _placed(cells.filter(F.col("layer").isNotNull()), tile_deg, turn)
+    cut = placed.join(border, ["tx", "ty"]).filter(_inside(F.col("_x"), F.col("y"), F.col("edges")))
+    total = cut.groupBy(key, "layer").agg(F.count("*").alias("n"))
+    if used:
+        counts = placed.groupBy("tx", "ty", "layer").agg(F.count("*").alias("n"))
+        counts = _with_parents(counts, used).groupBy("level", "tx", "ty", "layer").agg(F.sum("n").alias("n"))
+        total = total.unionByName(counts.join(inside, ["level", "tx", "ty"]).select(key, "layer", "n"))
+    total = total.groupBy(key, "layer").agg(F.sum("n").alias("n"))
     return with_class_names(total, lookup).select(key, "layer", "tid_short", "measurement", "n")
 
 

@@ -20,6 +20,6 @@ def home_ranges(fixes: DataFrame) -> DataFrame:
 def habitat_classes(
     positions: DataFrame, cells: DataFrame, lookup: DataFrame, key: str, lon: str, lat: str
 ) -> DataFrame:
-    """Raster cells per class inside each group's hull."""
-    corners = hulls.convex_hull(positions, key, lon, lat)
-    return hulls.class_counts_inside(cells, corners, lookup, key)
+    """Raster cells per class inside each group's hull, also for groups that live on both sides of the 180th meridian."""
+    corners = hulls.convex_hull(hulls.unwrap_longitudes(positions, key, lon), key, lon, lat)
+    return hulls.class_counts_inside(cells, corners, lookup, key, turn=360.0)

@@ -13,6 +13,9 @@ from .registry import Tables, query
 PROJECTS = ("P1", "P3")
 # A fifth of a degree in units of 1e-7 degrees.
 TILE = 2_000_000.0
+# A whole turn, and one that takes the middle of the fixes to the 180th meridian, in the same units.
+TURN = 3_600_000_000
+TO_180 = -555_000_000
 
 
 def _raw_dives(t: Tables) -> DataFrame:
@@ -161,6 +164,28 @@ def raster_clip_hull(t: Tables) -> DataFrame:
     return clipped.drop("x", "y").withColumnsRenamed({"lon": "x", "lat": "y"})
 
 
+def _turned(value: Column) -> Column:
+    """Longitudes of whole 1e-7 degrees moved west to the 180th meridian, within half a turn of 0."""
+    return F.pmod(value + TO_180 + TURN // 2, F.lit(float(TURN))) - TURN // 2
+
+
+@query(
+    "raster_clip_across_180",
+    "WITH "
+    + CLIPPED
+    + f"""
+SELECT home, ((CAST(round(x * 10000) AS bigint) * 1000 + {TO_180} + {3 * TURN // 2}) % {TURN} - {TURN // 2}) / 1e7 AS x, y, layer
+FROM clipped""",
+)
+def raster_clip_across_180(t: Tables) -> DataFrame:
+    """The clip on the other side of the world: hulls that lie on both sides of the 180th meridian hold the same cells."""
+    fixes = _known_fixes(t).withColumnRenamed("project_id", "home").withColumn("lon", _turned(F.col("lon")))
+    corners = hulls.convex_hull(hulls.unwrap_longitudes(fixes, "home", "lon", TURN), "home")
+    cells = _whole_cells(t).withColumn("x", _turned(F.col("x")))
+    clipped = hulls.clip_cells(cells, corners, "home", TILE, turn=TURN)
+    return clipped.select("home", (F.col("x") / 1e7).alias("x"), F.col("lat").alias("y"), "layer")
+
+
 @query(
     "raster_lookup_join",
     """

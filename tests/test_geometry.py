@@ -86,6 +86,69 @@ def test_clip_counts_the_edge(spark, tile):
     assert got == {(x, y) for x in range(5) for y in range(5) if x + y <= 4}
 
 
+@pytest.mark.parametrize("tile,levels", [(0.5, 0), (0.25, 3), (0.25, 8), (40.0, 2)])
+def test_cover_changes_only_the_spread(spark, tile, levels):
+    rng = random.Random(12)
+    points = [(g, rng.gauss(m, 2), rng.gauss(-m, 1)) for g, m in (("a", 0), ("b", 3)) for _ in range(60)]
+    points += [("one", 1.0, 1.0), ("two", 0.0, 0.0), ("two", 2.0, 1.0)]
+    found = hulls.convex_hull(spark.createDataFrame(points, SCHEMA), "g")
+    rings = {}
+    for r in found.orderBy("g", "ordinal").collect():
+        rings.setdefault(r["g"], []).append((r["x"], r["y"]))
+    data = [(x / 4, y / 4, (x + y) % 3 or None) for x in range(-24, 40) for y in range(-24, 24)]
+    cells = spark.createDataFrame(data, "x double, y double, layer int")
+
+    def inside(g, x, y):
+        ring = rings[g]
+        (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*ring))
+        left = all((bx - ax) * (y - ay) >= (by - ay) * (x - ax) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
+        return left and x0 <= x <= x1 and y0 <= y <= y1
+
+    want = sorted((g, x, y) for g in rings for x, y, _ in data if inside(g, x, y))
+    got = hulls.clip_cells(cells, found, "g", tile, levels)
+    assert sorted((r["g"], r["x"], r["y"]) for r in got.collect()) == want
+    assert {g for g, _, _ in want} == {"a", "b", "one", "two"}
+    counts = {}
+    layer = {(x, y): k for x, y, k in data}
+    for g, x, y in want:
+        if layer[x, y]:
+            counts[g, layer[x, y]] = counts.get((g, layer[x, y]), 0) + 1
+    lookup = spark.createDataFrame([(1, "s", "m")], "tid int, tid_short string, measurement string")
+    rows = hulls.class_counts_inside(cells, found, lookup, "g", tile, levels).collect()
+    assert {(r["g"], r["layer"]): r["n"] for r in rows} == counts
+    assert hulls.clip_cells(cells, found.limit(0), "g", tile, levels).isEmpty()
+
+
+def test_cover_grows_with_the_border(spark):
+    """A circle a hundred times a tile wide: cells of the cover stay near the border's length, with a small share of the edges each."""
+    angles = np.linspace(0, 2 * np.pi, 720, endpoint=False)
+    sizes = {}
+    for radius in (32.0, 64.0):
+        points = [("c", float(radius * np.cos(a)), float(radius * np.sin(a))) for a in angles]
+        cover = hulls.hull_cover(hulls.convex_hull(spark.createDataFrame(points, SCHEMA), "g"), "g").collect()
+        sizes[radius] = len(cover)
+        border = [r for r in cover if r["edges"]]
+        assert {r["level"] for r in border} == {0}
+        assert sum(len(r["edges"]) for r in border) < 720 / 12 * len(border)
+        area = sum(4 ** r["level"] for r in cover if not r["edges"])
+        assert area < np.pi * radius**2 < area + len(border)
+    assert sizes[64.0] < 2.5 * sizes[32.0] < 1500
+
+
+def test_hulls_across_the_180th_meridian(spark):
+    points = [("across", x, y) for x in (179.0, 180.0, -179.0, -178.0) for y in (0.0, 2.0)]
+    points += [("east", x, y) for x in (-10.0, 10.0) for y in (0.0, 2.0)] + [("wide", x, y) for x in (-100.0, 0.0, 100.0) for y in (0.0, 2.0)]
+    points += [("no", None, 1.0), (None, 5.0, 1.0)]
+    placed = hulls.unwrap_longitudes(spark.createDataFrame(points, SCHEMA), "g")
+    got = {}
+    for r in placed.collect():
+        got.setdefault(r["g"], set()).add(r["lon"])
+    assert got == {"across": {179.0, 180.0, 181.0, 182.0}, "east": {-10.0, 10.0}, "wide": {-100.0, 0.0, 100.0}, "no": {None}, None: {5.0}}
+    found = hulls.convex_hull(placed.filter("g = 'across'"), "g")
+    cells = spark.createDataFrame([(x, 1.0, 1) for x in (-180.0, -179.5, -177.5, 0.0, 178.5, 179.5)], "x double, y double, layer int")
+    assert {r["x"] for r in hulls.clip_cells(cells, found, "g", turn=360.0).collect()} == {-180.0, -179.5, 179.5}
+
+
 def test_habitat_and_grid(spark):
     grid = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, None)], "row_no int, col_no int, layer int")
     cells = grid_cells(grid, 10.0, 50.0, 1.0, 1.0)
