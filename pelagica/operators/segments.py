@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.maths import half_even
 from ..functions.time import seconds_between
 from ..session import shared_dir
-from .slices import DAY_S, SLICE, with_neighbours, with_slice
+from .slices import DAY_S, SLICE, sliced, with_neighbours, with_slice
 
 
 def time_delta(
@@ -132,7 +132,7 @@ def dive_chunks(
     ``max_gap_s``; kept are chunks of at least ``min_points`` rows with a
     maximum depth of at least ``dive_depth``.
     """
-    rows = with_slice(df.select(key, time, tie, depth), slice_s, time)
+    rows = sliced(df, [key, time, tie, depth], slice_s, time)
     numbered = with_neighbours(
         rows,
         [],
@@ -189,7 +189,7 @@ def dive_segments(
     ``min_points`` rows after its first.  A surface row between two dives
     belongs to the later one.  Other rows carry NULL.
     """
-    rows = with_slice(df.select(key, time, tie, depth), slice_s, time)
+    rows = sliced(df, [key, time, tie, depth], slice_s, time)
     # Read twice below; written once instead of being worked out twice.
     shared_dir(df.sparkSession)
     rows = _flag_rows(rows, max_gap_s, depth_cutoff, key, time, tie, depth).checkpoint()
@@ -239,10 +239,16 @@ def dive_segments(
         F.when(F.col("after")["is_dive"], count + 1).alias("own_after"),
         F.lit(True).alias("_deep"),
     )
-    # Spread the numbers over the slices a run touches, so that the join back
-    # never meets a key larger than one slice.
-    spread = pieces.select(key, SLICE, "chunk", "run").join(numbered, [key, "chunk", "run"])
-    labelled = rows.join(spread.drop("chunk"), [key, SLICE, "run"], "left")
+    # The numbers of a slice's runs, which follow each other, as one array: the join back is on the slice, where the rows
+    # already are, and never meets a larger key.
+    spread = pieces.select(key, SLICE, "chunk", "run").join(numbered, [key, "chunk", "run"], "left")
+    numbers = spread.groupBy(key, SLICE).agg(
+        F.min("run").alias("_first_run"),
+        F.sort_array(F.collect_list(F.struct("run", "own", "own_before", "own_after", "_deep"))).alias("_runs"),
+    )
+    place = (F.col("run") - F.col("_first_run")).cast("int")
+    labelled = rows.join(numbers, [key, SLICE]).withColumn("_n", F.get("_runs", place))
+    labelled = labelled.select("*", "_n.own", "_n.own_before", "_n.own_after", "_n._deep")
     surface_number = F.coalesce(
         F.when(~F.col("closes") & F.col("under_after"), F.col("own_after")),
         F.when(~F.col("opens") & F.col("under_before"), F.col("own_before")),

@@ -71,6 +71,13 @@ def with_slice(df: DataFrame, slice_s: int = DAY_S, time: str = "datetime") -> D
     return df.withColumn(SLICE, F.coalesce(number, no_time))
 
 
+def sliced(df: DataFrame, columns: Sequence[str], slice_s: int = DAY_S, time: str = "datetime") -> DataFrame:
+    """``columns`` with the slice number; rows that carry one already, as those of a stored timeline, keep it."""
+    if SLICE in df.columns:
+        return df.select(*columns, SLICE)
+    return with_slice(df.select(*columns), slice_s, time)
+
+
 def _carry(
     rows: DataFrame, summary: DataFrame, keys: Sequence[str]
 ) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, drift, match, segments, sensors, speed
 from ..plans import dives, status, studies, tracks
+from ..session import scratch_path
+from ..sources import timelines
 from .files import file_tag, write_tag_files
 from .records import LATEST, STATUS_COLUMNS, TYPES
 from .registry import CHECKS, Tables, query
@@ -144,6 +146,15 @@ def dive_segments(t: Tables) -> DataFrame:
     return _dives(t)
 
 
+@query("stored_timeline_dives", "WITH " + dive_ctes("{tag_records}") + "\nSELECT * FROM dives")
+def stored_timeline_dives(t: Tables) -> DataFrame:
+    """Dives of records that were stored by tag and slice, read back without a shuffle of rows."""
+    path = scratch_path(t.spark, "timeline")
+    records = clean.depth_rows(t.tag_records).select("tag_id", "datetime", "foid", "depth_m")
+    timelines.write_timeline(records, path, int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.slice_s)
+    return segments.dive_segments(timelines.read_timeline(t.spark, path), **DIVE)
+
+
 @query(
     "dive_summary",
     "WITH " + dive_ctes("{tag_records}") + ",\n" + SUMMARY + "\nSELECT * FROM dive_sum",
