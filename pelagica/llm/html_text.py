@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from .common import sample_ids
 
 # Fixed values of HTML: elements without content, with raw text, that are never shown, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript noframes iframe object svg math canvas audio video textarea select option button title".split())
+UNSEEN = frozenset("head script style template noscript noframes iframe object svg math canvas audio video textarea select datalist option button title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th"
@@ -30,20 +31,29 @@ CLOSED_BY_SAME = {
 }
 SCOPES = frozenset("table ul ol dl body html article section div main".split())
 
+# Unseen elements that a reader's page would lose by a missing end tag, and the parts of a page that can't stand inside them.
+SOFT = frozenset("button option select datalist object audio video canvas".split())
+PARTS = frozenset("article main section nav aside header footer form table body".split())
+HEAD = ("head", False)
+IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
+
+# Groups give nothing back, so that a tag that never ends is looked at once.
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(script|style|textarea|title|noscript|iframe|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*)"
-    r"|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^>]*>",  # a tag with a quote that never ends
+    r"|<(script|style|textarea|title|noscript|iframe|noframes|xmp)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*+>|.*)"
+    r"|<[!?][^>]*+>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|</?[a-zA-Z][^>]*+>",  # a tag with a quote that never ends
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-hidden|hidden|style|href)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Training: pages made by rule, and labelled pages of the corpus (a bound on the fit only).
 MADE_PAGES = 160
 CORPUS_PAGES = 40
+SAMPLE_BYTES = 20_000
 ROUNDS = 12
 SEED = 7
 # Names that page authors give to the parts of a page.
@@ -78,15 +88,21 @@ def parse(page: str) -> list[Node]:
     """Elements in page order; a node's blocks carry their place in the page.
 
     Inline elements belong to the block around them, ``br`` is white space.  Missing end tags of paragraphs,
-    items and cells are closed as browsers do, unknown end tags are passed over.
+    items and cells are closed as browsers do, unknown end tags are passed over, and a tag cut off by the page's end is dropped.  ``head``
+    ends at the first thing that can't stand in it.  What is not shown (``UNSEEN``, and inline elements that are hidden) ends with
+    its own tag; controls and hidden inline elements also with the block around them, or where a part of the page (``PARTS``) starts.
     """
     nodes = [Node("html", -1)]
     stack = [0]
+    standing: Counter[str] = Counter()
     inline: list[str] = []
     pieces: list[str] = []
-    unseen = 0
     links = 0
     places = 0
+    # unseen elements that are open, each with whether it is a soft one, how many of each tag and kind, and the blocks opened inside them
+    hidden: list[tuple[str, bool]] = []
+    covered: Counter[str | bool] = Counter()
+    inner: Counter[str] = Counter()
 
     def end_block() -> None:
         nonlocal places
@@ -97,8 +113,25 @@ def parse(page: str) -> list[Node]:
                 nodes[stack[-1]].blocks.append((places, text))
                 places += 1
 
+    def show() -> None:
+        hidden.clear()
+        covered.clear()
+        inner.clear()
+
+    def hide(tag: str, soft: bool) -> None:
+        hidden.append((tag, soft))
+        covered[tag] += 1
+        covered[soft] += 1
+
+    def leave(depth: int) -> None:
+        for i in stack[depth:]:
+            standing[nodes[i].tag] -= 1
+        del stack[depth:]
+
     def add(text: str) -> None:
-        if unseen or not text:
+        if hidden == [HEAD] and not text.isspace():
+            show()
+        if hidden or not text:
             return
         pieces.append(text)
         n = len(text.strip())
@@ -106,25 +139,45 @@ def parse(page: str) -> list[Node]:
         if links:
             nodes[stack[-1]].linked += n
 
-    hidden: list[str] = []
     at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
+    cut = False
+    # no tag ends after the last of these
+    last = page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, last):
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
+            cut = at == last and (
+                m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->"))
+                or m[1] is not None and not re.search(rf"</{m[1]}\s*>$", m[0], re.I)
+            )
             continue
         if m[2]:
-            if unseen:
-                if tag in hidden:
-                    while hidden.pop() != tag:
-                        pass
-                    unseen = len(hidden)
-            elif tag in BLOCKS:
+            if hidden:
+                if covered[tag]:
+                    name = ""
+                    while name != tag:
+                        name, is_soft = hidden.pop()
+                        covered[name] -= 1
+                        covered[is_soft] -= 1
+                    if not hidden:
+                        inner.clear()
+                    continue
+                if inner[tag]:
+                    inner[tag] -= 1
+                    continue
+                if not (not covered[False] and standing[tag] or hidden == [HEAD] and tag in ("body", "html")):
+                    continue
+                show()
+            if tag in BLOCKS:
                 end_block()
-                if any(nodes[i].tag == tag for i in stack[1:]):
-                    while nodes[stack.pop()].tag != tag:
-                        pass
+                if standing[tag]:
+                    depth = len(stack) - 1
+                    while nodes[stack[depth]].tag != tag:
+                        depth -= 1
+                    leave(depth)
                     inline.clear()
                     links = 0
             elif tag in inline:
@@ -132,23 +185,23 @@ def parse(page: str) -> list[Node]:
                     pass
                 links = inline.count("a")
             continue
-        if unseen:
-            if tag in UNSEEN and tag not in VOID and not m[4].rstrip().endswith("/"):
-                hidden.append(tag)
-                unseen += 1
-            elif tag == "body" and hidden[0] == "head":  # a head without an end tag
-                hidden.clear()
-                unseen = 0
-            if unseen:
+        closed = m[4].rstrip().endswith("/")
+        if hidden:
+            if tag in PARTS and not covered[False] or hidden == [HEAD] and tag not in IN_HEAD or tag == "body" and hidden[0] == HEAD:
+                show()
+            elif tag in BLOCKS:
+                inner[tag] += 1
+                continue
+            else:
+                if tag not in VOID and not closed and (tag in UNSEEN or covered[tag]) and not (tag == "option" == hidden[-1][0]):
+                    hide(tag, tag in SOFT or tag not in UNSEEN)
                 continue
         if tag == "br":
             add(" ")
             continue
         if tag in UNSEEN:
-            if m[4].rstrip().endswith("/") and tag in ("svg", "math"):
-                continue
-            hidden.append(tag)
-            unseen = 1
+            if not (closed and tag in ("svg", "math")):
+                hide(tag, tag in SOFT)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -161,9 +214,14 @@ def parse(page: str) -> list[Node]:
                 key, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if key in ("class", "id", "role", "itemprop"):
                     names += [n.lower() for n in NAMES.findall(value)]
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    gone = tag in BLOCKS
+                elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
+                    gone = True
+                elif key == "aria-hidden" and value == "true":
+                    gone |= tag in BLOCKS
         if tag not in BLOCKS:
+            if gone and not closed:
+                hide(tag, True)
+                continue
             inline.append(tag)
             links += tag == "a"
             continue
@@ -175,18 +233,22 @@ def parse(page: str) -> list[Node]:
             continue
         closes = CLOSED_BY_SAME.get(tag, set())
         if nodes[stack[-1]].tag == "p":
-            stack.pop()
-        if closes:
+            leave(len(stack) - 1)
+        if closes and any(standing[c] for c in closes):
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag in closes:
-                    del stack[depth:]
+                    leave(depth)
                     if tag not in ("tbody", "tfoot", "tr"):
                         break
                 elif nodes[stack[depth]].tag in SCOPES:
                     break
         nodes.append(Node(tag, stack[-1], tuple(names) + (("hidden",) if gone else ())))
         stack.append(len(nodes) - 1)
-    add(page[at:])
+        standing[tag] += 1
+    if not cut:
+        tail = UNENDED.split(page[at:], maxsplit=1)[0]
+        if tail:
+            add(tail)
     end_block()
     return nodes
 
@@ -398,18 +460,20 @@ def made_page(rng: random.Random) -> str:
 
 
 def train(
-    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = CORPUS_PAGES, made: int = MADE_PAGES
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = CORPUS_PAGES, made: int = MADE_PAGES,
+    most_bytes: int = SAMPLE_BYTES,
 ) -> TreeModel:
     """Fit on ``made`` pages made by rule and on up to ``sample`` pages of the corpus, chosen by the hash of their id.
 
+    The sample is for weights only, so it takes pages of fewer than ``most_bytes`` bytes, which bounds what the driver reads.
+
     A corpus page is labelled by its own structure if it has exactly one ``article`` element.
     """
     rng = random.Random(SEED)
     trees = [label_by_mark(parse(made_page(rng))) for _ in range(made)]
     chosen = sample_ids(pages, id_col, 4 * sample)
     few = pages.join(chosen, pages[id_col] == chosen["x_id"], "left_semi")
-    # the sample is for weights only: pages of usual length do
-    usual = few.where(F.col(html_col).rlike("(?i)<article") & (F.octet_length(html_col) < 20_000))
+    usual = few.where(F.col(html_col).rlike("(?i)<article") & (F.octet_length(html_col) < most_bytes))
     for row in usual.select(F.xxhash64(html_col).alias("k"), F.col(html_col).alias("h")).orderBy("k").limit(sample).collect():
         labelled = label_by_structure(parse(row["h"]))
         if labelled:
@@ -421,7 +485,8 @@ def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", url_col
     """``page_id, url, text, n_chars`` of every page, from its whole html.
 
     Null or empty html, and pages without content, give an empty text; null ids and urls are kept, repeated rows
-    give repeated results, other columns are ignored.
+    give repeated results, other columns, of whatever name, are ignored; an empty table gives no rows.  Pages of any length, broken ones
+    too, take time in proportion to their length; a node at exactly even odds is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import re
 from collections import Counter
 
@@ -313,6 +314,45 @@ def test_other_parts_are_left_out(left, inside):
     assert text_of(page).split("\n") == ["Title", BODY[3:-4], "The end came soon after that, quietly."]
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<datalist><option value=a><option value=b></datalist>",
+        "<button>Go",
+        "<div class=bar><button>Go</div>",
+        "<div class=bar><span hidden>Not shown</div>",
+        "<select><option>One<option>Two",
+        "<p><span style='display: none'>Not <span>shown</span> here</span></p>",
+    ],
+)
+def test_controls_without_end_tags_hide_nothing_else(before):
+    article = f"<article><h1>Title</h1>{BODY}<p>The end came soon after that, quietly.</p></article>"
+    assert text_of(f"<html><body>{before}{article}</body></html>").split("\n") == ["Title", BODY[3:-4], "The end came soon after that, quietly."]
+
+
+def test_heads_end_by_what_follows():
+    article = f"<article><h1>Title</h1>{BODY}</article>"
+    for page in (f"<head><title>No</title><meta charset=x>{article}", f"<html><head><script>x</script></html>{article}"):
+        assert text_of(page).split("\n") == ["Title", BODY[3:-4]]
+
+
+def test_buttons_and_hidden_spans_are_left_out():
+    inside = "<p>One <span hidden>two <span>three</span> four</span><button><div>Press</div></button> five, and it was late.</p>"
+    assert text_of(f"<article>{BODY}{inside}</article>").split("\n") == [BODY[3:-4], "One five, and it was late."]
+    assert text_of(f"<article>{BODY}<p data-hidden=x>It was <b data-hidden=x>bold</b> of them.</p></article>").endswith("It was bold of them.")
+    assert "div" not in text_of(f"<article>{BODY}</article><div class=x") and "seen" not in text_of(f"{BODY}<!-- a > b not seen")
+
+
+@pytest.mark.parametrize(
+    "broken",
+    ["<div " * 200_000, "<div>" * 200_000 + "</p>" * 2000, "<!-- " * 200_000, "<a '" * 200_000 + ">", "<li><blockquote>" * 60_000, "<b hidden><i>" * 80_000, "<" * 1_000_000],
+)
+def test_broken_pages_of_a_megabyte_take_seconds(broken):
+    start = time.monotonic()
+    html_text.parse(f"<article>{BODY}</article>" + broken)
+    assert time.monotonic() - start < 20
+
+
 def test_made_pages_are_told_apart():
     right = total = 0
     for i in range(200):
