@@ -88,6 +88,8 @@ LEVEL = 3
 # Least part of its own compressed size that a template must save, and wording that must be met.
 SAVING = 0.15
 WORDING = 0.75
+# Length of a window over a long block, in lengths of the longest template; over 2.
+WINDOW = 4
 
 
 @dataclass(frozen=True)
@@ -186,14 +188,13 @@ def _telling_added(added: list[str], before: list[str]) -> bool:
     return any(w in TELLING or w[0].isdigit() and ("." in w or p in TELLING or p in VERSION) for w, p in zip(added, before))
 
 
-def scan(text: str | None) -> list[tuple]:
-    """Confirmed licenses: ``start, end, license, template, saving, wording, missing, added`` in page order.
+def _confirmed(text: str, start: int, end: int) -> list[tuple]:
+    """Licenses between two places, best first, each out of what the ones before it left.
 
-    Every block is ranked against all templates; of all that save enough the one with most words met, and no difference in a
-    word that tells licenses apart, wins.  What it covers is taken out and the rest looked at again.
+    The part is ranked against all templates; of all that save enough, and differ in no word that tells licenses apart, the
+    one with most words met, less those missing and added, wins.  What it covers is taken out and the rest looked at again.
     """
-    text = text or ""
-    todo = blocks(text)
+    todo = [(start, end)]
     found = []
     while todo:
         start, end = todo.pop()
@@ -203,7 +204,7 @@ def scan(text: str | None) -> list[tuple]:
         for saving, template in rank(block):
             share, first, last, missing, added, before = wording([w for w, _, _ in words], template.words)
             if share >= WORDING and not _telling(missing) and not _telling_added(added, before):
-                key = (len(template.words) * share, -len(added), saving)
+                key = (len(template.words) - 2 * len(missing) - len(added), saving)
                 if best is None or key > best[0]:
                     best = (key, saving, template, share, first, last, missing, added)
         if best is None:
@@ -215,6 +216,30 @@ def scan(text: str | None) -> list[tuple]:
     return sorted(found)
 
 
+def scan(text: str | None) -> list[tuple]:
+    """Confirmed licenses: ``start, end, license, template, saving, wording, missing, added`` in page order.
+
+    A block longer than a window of ``WINDOW`` times the longest template is looked at window by window.  What starts in the
+    last two template lengths of a window is left to the next one, which starts there: no license is that long with
+    the words it may have added, so none is cut, and work grows with the text and not with its square.
+    """
+    text = text or ""
+    most = max(len(t.words) for t in templates())
+    found: list[tuple] = []
+    for start, end in blocks(text):
+        starts = [m.start() for m in WORD.finditer(text, start, end)]
+        while True:
+            first = bisect_left(starts, start)
+            if len(starts) - first <= WINDOW * most:
+                found += _confirmed(text, start, end)
+                break
+            cut = starts[first + (WINDOW - 2) * most]
+            kept = [x for x in _confirmed(text, start, starts[first + WINDOW * most]) if x[0] < cut]
+            found += kept
+            start = max([cut, *(x[1] for x in kept)])
+    return found
+
+
 SCHEMA = (
     "doc_id long, start long, end long, license string, template string, saving double, wording double,"
     " missing string, added string, exact boolean"
@@ -225,7 +250,10 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     """A row for every license wording in every whole text, with its exact differences from the template.
 
     ``start`` and ``end`` (exclusive) are code points; ``exact`` says that no word is missing or added.  Null
-    and empty texts have none; repeated rows give repeated results; other columns are ignored.
+    and empty texts have none, a row without an id keeps its null; repeated rows give repeated results; an empty table gives
+    an empty one.  Of templates as well met the one that saves more wins, then the one ranked
+    first.  Long texts are looked at whole, window by window.  Columns besides ``doc_id`` and
+    ``text`` are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,9 @@
 """License texts as they are normally written: wrapped, commented, numbered."""
 
+import random
 import textwrap
+import time
+from itertools import accumulate
 
 import pytest
 
@@ -34,3 +37,32 @@ def test_more_than_eight_ranked_before_the_one_that_passes(monkeypatch):
     others = [t for t in licenses.templates() if t.license != "MIT"][:12]
     monkeypatch.setattr(licenses, "rank", lambda block: [(1.0, t) for t in others] + [(0.5, right)])
     assert [f[2] for f in licenses.scan(text)] == ["MIT"]
+
+
+def test_long_notice_files_take_time_in_proportion():
+    """Notices in a row, as one block of a megabyte: every one is found where it stands, whatever the window."""
+    pick = [random.Random(n).choice(licenses.templates()).text for n in range(7_000)]
+    text, starts = "\n".join(pick), list(accumulate((len(p) + 1 for p in pick), initial=0))
+    assert len(text) > 1_000_000
+    began = time.monotonic()
+    found = licenses.scan(text)
+    assert time.monotonic() - began < 60
+    assert [(f[0], f[3]) for f in found] == list(zip(starts, pick))
+
+
+@pytest.mark.parametrize("window", [3, 5, 40])
+def test_windows_decide_nothing(monkeypatch, window):
+    """Notices with words changed and other text between them: the same finds as from one window over all."""
+    rng = random.Random(5)
+    parts = []
+    for _ in range(60):
+        words = rng.choice(licenses.templates()).text.split()
+        if len(words) > 20 and rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "changed"
+        parts += [" ".join(words), " ".join(rng.choice("see file notes of copyright by hand".split()) for _ in range(rng.randrange(40))) + "."]
+    text = "\n".join(parts)
+    monkeypatch.setattr(licenses, "WINDOW", 10_000)
+    whole = [(f[0], f[1], f[2]) for f in licenses.scan(text)]
+    monkeypatch.setattr(licenses, "WINDOW", window)
+    assert len(whole) >= 55
+    assert [(f[0], f[1], f[2]) for f in licenses.scan(text)] == whole
