@@ -48,6 +48,11 @@ def clean_records(df: DataFrame, drop: Sequence[str] = MOTION_COLUMNS) -> DataFr
     )
 
 
+def is_usable(lat: str = "lat", lon: str = "lon") -> Column:
+    """Whether a row has both coordinates, neither zero, longitude below 180; never NULL."""
+    return F.coalesce((F.col(lat) != 0) & (F.col(lon) != 0) & (F.col(lon) < 180), F.lit(False))
+
+
 def usable_fixes(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Fixes with both coordinates, neither zero, longitude below 180."""
     return df.filter((F.col(lat) != 0) & (F.col(lon) != 0) & (F.col(lon) < 180))

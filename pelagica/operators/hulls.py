@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import checkpointed
 
 # What rounding can add to a cross product, as a share of its two products.
 ROUNDING = 3.4e-16
@@ -298,8 +298,7 @@ def hull_cover(corners: DataFrame, key: str, tile_deg: float = 1.0, levels: int
 
 def _kept_cover(corners: DataFrame, key: str, tile_deg: float, levels: int) -> tuple[DataFrame, DataFrame, list[int]]:
     """Cells inside hulls, border cells, and the levels of the former; written once, since each is read for itself."""
-    shared_dir(corners.sparkSession)
-    cover = hull_cover(corners, key, tile_deg, levels).checkpoint()
+    cover = checkpointed(hull_cover(corners, key, tile_deg, levels))
     inside = cover.filter(F.size("edges") == 0).drop("edges")
     used = sorted(r["level"] for r in inside.select("level").distinct().collect())  # at most one row a level
     border = cover.filter(F.size("edges") > 0).drop("level")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import seconds_between
-from .clean import keep_first
-from .slices import DAY_S, fill_from_neighbours, with_slice
+from .slices import DAY_S, SLICE, fill_from_neighbours, with_slice
 
 
 def nearest_fix_same_day(
@@ -23,15 +22,16 @@ def nearest_fix_same_day(
     Dives and fixes are merged into one timeline; only the last fix at or
     before the dive end and the first one after it can be closest, so no pairs
     are formed.  The earlier fix wins a tie.  Of fixes at one time the first
-    counts.  A day without fixes leaves NULLs.
+    counts; they share a slice, where the others are passed over.  A day without fixes leaves NULLs.
     """
     columns = dives.columns
-    per_time = keep_first(fixes, (key, "datetime"))
-    fix_rows = per_time.select(
+    order = ("_t", "_is_dive", "_foid")
+    fix_rows = fixes.select(
         key,
         F.to_date("datetime").alias(day),
         F.col("datetime").alias("_t"),
         F.lit(0).alias("_is_dive"),
+        F.col("foid").alias("_foid"),
         F.struct(
             F.col("datetime").alias("time"), F.col("foid"), "lat", "lon", "datatype"
         ).alias("_fix"),
@@ -40,9 +40,10 @@ def nearest_fix_same_day(
     merged = with_slice(
         dive_rows.unionByName(fix_rows, allowMissingColumns=True), slice_s, "_t"
     )
-    near = fill_from_neighbours(
-        merged, "_fix", (key, day), ("_t", "_is_dive"), last="_before", following="_after"
-    ).filter("_is_dive = 1")
+    earlier = F.lag("_t").over(Window.partitionBy(key, day, SLICE).orderBy(*order))
+    again = (F.col("_is_dive") == 0) & (earlier == F.col("_t"))
+    firsts = merged.withColumn("_fix", F.when(~F.coalesce(again, F.lit(False)), F.col("_fix")))
+    near = fill_from_neighbours(firsts, "_fix", (key, day), order, last="_before", following="_after").filter("_is_dive = 1")
     gap_before = seconds_between(F.col("_before")["time"], F.col(at))
     gap_after = seconds_between(F.col(at), F.col("_after")["time"])
     nearer = F.when(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import half_even
 from ..functions.time import seconds_between
-from ..session import shared_dir
+from ..session import checkpointed
 from .slices import DAY_S, SLICE, sliced, with_neighbours, with_slice
 
 
@@ -191,8 +191,7 @@ def dive_segments(
     """
     rows = sliced(df, [key, time, tie, depth], slice_s, time)
     # Read twice below; written once instead of being worked out twice.
-    shared_dir(df.sparkSession)
-    rows = _flag_rows(rows, max_gap_s, depth_cutoff, key, time, tie, depth).checkpoint()
+    rows = checkpointed(_flag_rows(rows, max_gap_s, depth_cutoff, key, time, tie, depth))
 
     # One row per run and slice, of which all that follows is made; then per
     # run, and the chunks deep enough.
@@ -202,7 +201,8 @@ def dive_segments(
         F.max("opens").alias("opens"),
         F.max("closes").alias("closes"),
         F.max("submerged").alias("submerged"),
-    ).checkpoint()
+    )
+    pieces = checkpointed(pieces)
     runs = pieces.groupBy(key, "chunk", "run").agg(
         F.sum("n").alias("n"),
         F.max("opens").alias("opens"),
@@ -331,8 +331,7 @@ def surface_intervals(
 ) -> DataFrame:
     """Time from the end of each dive to the start of the tag's next one."""
     # One small row per dive, looked at from both sides: written once.
-    shared_dir(dives.sparkSession)
-    bouts = with_slice(dive_bouts(dives, key), slice_s, "dive_start").checkpoint()
+    bouts = checkpointed(with_slice(dive_bouts(dives, key), slice_s, "dive_start"))
     near = with_neighbours(bouts, [], [key], ("dive_start", "dive_chunk", "dive_no"))
     return near.select(
         key,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import EARTH_RADIUS_M, distance_m
 from ..functions.time import seconds_between
-from ..session import shared_dir
+from ..session import checkpointed
 from .clean import union_by_name
 from .slices import (
     DAY_S,
@@ -288,21 +288,20 @@ def speed_filter(
     With ``keep_removed`` all fixes come back with a ``mfilter`` label
     (``removed``, ``end_location`` for the two fixes at each end, else ``not``).
     """
-    shared_dir(fixes.sparkSession)
     columns = fixes.columns
-    rated = _rated(with_slice(fixes.select(key, *ORDER, "lat", "lon"), slice_s), [key]).checkpoint()
+    rated = checkpointed(_rated(with_slice(fixes.select(key, *ORDER, "lat", "lon"), slice_s), [key]))
     margin, removed, opened = 2 * rounds, None, None
     while True:
         todo = rated if opened is None else rated.join(opened.select(key).distinct(), key, "left_semi")
         stretches = _near_peaks(todo, key, vmax, margin)
         if opened is not None:
             wanted = stretches.join(opened.select(key, "place"), [key, "place"], "left_semi").select(key, "stretch")
-            stretches = stretches.join(wanted.distinct(), [key, "stretch"], "left_semi").checkpoint()
+            stretches = checkpointed(stretches.join(wanted.distinct(), [key, "stretch"], "left_semi"))
             # a wider stretch starts from all its fixes, so it takes the place of settled ones inside it
             removed = removed.join(stretches.select(key, "place"), [key, "place"], "left_anti")
-        outcome = _settle_stretches(stretches, key, vmax).checkpoint()
+        outcome = checkpointed(_settle_stretches(stretches, key, vmax))
         now = outcome.filter("removed").drop("removed")
-        removed = now if removed is None else union_by_name([removed, now]).checkpoint()
+        removed = now if removed is None else checkpointed(union_by_name([removed, now]))
         opened = outcome.filter("not removed")
         if opened.isEmpty():
             break

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean, deployments, drift, match, segments, sensors, speed
-from ..plans import dives, status, studies, tracks
+from ..plans import dives, one_study, status, studies, tracks
 from ..session import scratch_path
 from ..sources import timelines
 from .files import file_tag, write_tag_files
@@ -340,7 +340,14 @@ LEFT JOIN (SELECT tag_id, CAST(floor(sum(n) / count(*)) AS bigint) AS udives_day
     FROM known WHERE depth_m IS NOT NULL GROUP BY 1, 2) GROUP BY 1) rate USING (tag_id)""",
 )
 def deployment_summary(t: Tables) -> DataFrame:
-    return studies.deployment_report(_annotated(t))
+    return studies.report_deployments(
+        t.tag_records,
+        t.deployments,
+        drift_step_s=DRIFT["max_step_s"],
+        drift_steps=DRIFT["min_steps"],
+        **DIVE,
+        slice_s=t.slice_s,
+    )
 
 
 @query(
@@ -434,12 +441,7 @@ def rms_speed(t: Tables) -> DataFrame:
 
 # One step takes the peak out of every run above 25 m/s; a track that has no
 # such run leaves the recursion, and its last state is the result.
-@query(
-    "speed_filter",
-    "WITH RECURSIVE "
-    + TRACKS
-    + f""",
-steps AS (
+STEPS = f"""steps AS (
   SELECT 0 AS step, foid, uni_id, datetime, lat, lon FROM tracks
   UNION ALL
   SELECT step + 1, foid, uni_id, datetime, lat, lon FROM (
@@ -450,7 +452,16 @@ steps AS (
           SELECT *, coalesce(v > 25e0, false) AS over_limit FROM (
             SELECT step, foid, uni_id, datetime, lat, lon, {RMS} AS v, row_number() OVER w AS i
             FROM steps WINDOW w AS (PARTITION BY uni_id ORDER BY datetime, foid))))))
-  WHERE changes = 1 AND NOT is_peak)
+  WHERE changes = 1 AND NOT is_peak)"""
+
+
+@query(
+    "speed_filter",
+    "WITH RECURSIVE "
+    + TRACKS
+    + ",\n"
+    + STEPS
+    + """
 SELECT s.foid, s.uni_id, s.datetime, s.lat, s.lon FROM steps s
 JOIN (SELECT uni_id, max(step) AS last FROM steps GROUP BY uni_id) e
   ON e.uni_id = s.uni_id AND e.last = s.step""",
@@ -512,11 +523,16 @@ def track_assembly(t: Tables) -> DataFrame:
     )
 
 
+TRIMMED = """trimmed AS (SELECT * FROM {tag_records} r WHERE datatype <> 'SEN_ACC_5Hz' AND EXISTS (
+SELECT 1 FROM {deployments} d WHERE r.tag_id = d.tag_id AND r.datetime > d.dep_start
+ AND (d.dep_end IS NULL OR r.datetime < d.dep_end)))"""
+
+
 @query(
     "dive_gps_match",
-    "WITH trimmed AS (SELECT * FROM {tag_records} r WHERE datatype <> 'SEN_ACC_5Hz' AND EXISTS ("
-    "SELECT 1 FROM {deployments} d WHERE r.tag_id = d.tag_id AND r.datetime > d.dep_start"
-    " AND (d.dep_end IS NULL OR r.datetime < d.dep_end))),"
+    "WITH "
+    + TRIMMED
+    + ","
     + dive_ctes("trimmed")
     + ",\n"
     + SUMMARY
@@ -532,3 +548,81 @@ SELECT * EXCLUDE (rn) FROM pairs WHERE rn = 1""",
 def dive_gps_match(t: Tables) -> DataFrame:
     """One study: trim, leave out surface accelerometry, find dives, place them."""
     return dives.place_dives(t.tag_records, t.deployments, **DIVE, slice_s=t.slice_s)
+
+
+STUDY_RECORDS = (
+    "WITH RECURSIVE "
+    + TRIMMED
+    + ","
+    + drift_ctes("trimmed")
+    + """,
+tracks AS (SELECT foid, datetime, lat, lon, tag_id AS uni_id FROM trimmed
+  WHERE lat <> 0 AND lon <> 0 AND lon < 180),
+"""
+    + STEPS
+    + """,
+kept AS (SELECT s.foid FROM steps s JOIN (SELECT uni_id, max(step) AS last FROM steps GROUP BY uni_id) e
+  ON e.uni_id = s.uni_id AND e.last = s.step),
+rated AS (SELECT foid, CASE WHEN foid NOT IN (SELECT foid FROM kept) THEN 'removed'
+    WHEN least(row_number() OVER (PARTITION BY uni_id ORDER BY datetime, foid),
+      row_number() OVER (PARTITION BY uni_id ORDER BY datetime DESC, foid DESC)) <= 2 THEN 'end_location'
+    ELSE 'not' END AS mfilter FROM tracks),
+study AS (SELECT r.*, rated.mfilter, """
+    + drift_flag("r")
+    + """ AS gps_surfacedrifts FROM trimmed r LEFT JOIN rated ON rated.foid = r.foid)"""
+)
+
+
+def _study(t: Tables) -> DataFrame:
+    return one_study.study_records(
+        t.tag_records,
+        t.deployments,
+        drift_step_s=DRIFT["max_step_s"],
+        drift_steps=DRIFT["min_steps"],
+        slice_s=t.slice_s,
+    )
+
+
+@query("study_records", STUDY_RECORDS + "\nSELECT * FROM study")
+def study_records(t: Tables) -> DataFrame:
+    """One study's records with drift flags and speed labels."""
+    return _study(t)
+
+
+@query(
+    "study_summary",
+    STUDY_RECORDS
+    + "\nSELECT tag_id, "
+    + STATUS_COLUMNS
+    + ", CAST(sum(gps_surfacedrifts) AS bigint) AS gps_surfacedrift_pts FROM study GROUP BY tag_id",
+)
+def study_summary(t: Tables) -> DataFrame:
+    """Whole-deployment summary of every tag of one study."""
+    return one_study.study_summary(_study(t))
+
+
+@query(
+    "study_track_speeds",
+    STUDY_RECORDS
+    + "\nSELECT tag_id, mfilter, count(*) AS n_fixes FROM study WHERE mfilter IS NOT NULL GROUP BY 1, 2",
+)
+def study_track_speeds(t: Tables) -> DataFrame:
+    """Fixes of every tag of one study by speed label."""
+    return one_study.track_speeds(_study(t))
+
+
+@query(
+    "study_daily_dives",
+    "WITH "
+    + TRIMMED
+    + ","
+    + dive_ctes("trimmed")
+    + ",\n"
+    + DAILY.replace(
+        "count(DISTINCT dive_chunk) AS n", "count(DISTINCT dive_chunk) + max(CASE WHEN dive_chunk IS NULL THEN 1 ELSE 0 END) AS n"
+    )
+    + "\nSELECT * FROM daily",
+)
+def study_daily_dives(t: Tables) -> DataFrame:
+    """Daily dives of one study, rows outside any dive counted as one more."""
+    return one_study.study_days(_study(t), **DIVE, slice_s=t.slice_s)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,8 @@ SETTINGS = {
 
 # Scratch paths by application, for clear_scratch.
 _made: dict[str, list[str]] = {}
+# Paths made in the innermost scope this thread is in.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -46,6 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that a lost executor costs a read and not the work before."""
+    shared_dir(df.sparkSession)
+    out = df.checkpoint()
+    made = _scope.get()
+    if made is not None:
+        path = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            made.append(path.get())
+    return out
+
+
 def write_once(df: DataFrame) -> DataFrame:
     """Checkpoint rows that come straight from a reader with many parsed columns.
 
@@ -54,12 +71,11 @@ def write_once(df: DataFrame) -> DataFrame:
     need none of them, so the rule is off while they are written.
     """
     spark = df.sparkSession
-    shared_dir(spark)
     rule = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(rule, "true")
     spark.conf.set(rule, "false")
     try:
-        return df.checkpoint()
+        return checkpointed(df)
     finally:
         spark.conf.set(rule, before)
 
@@ -73,10 +89,30 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    made = _scope.get()
+    if made is None:
+        made = _made.setdefault(spark.sparkContext.applicationId, [])
+    made.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, what operators called in it left in the shared folder.
+
+    For work that is done within the block, such as one micro-batch: frames made in it can't be read afterwards.  What
+    other threads, or blocks around this one, have written stays.
+    """
+    made: list[str] = []
+    outer = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        for path in made:
+            remove_path(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what finished jobs of this application left in the shared folder.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import remove_path, shared_dir
+from ..session import checkpointed, remove_path
 from .inventory import list_files, new_files, with_data
 from .tag_logs import MIN_FILE_BYTES, read_tags
 
@@ -127,8 +127,7 @@ def ingest_new(spark: SparkSession, folder: str, path: str, run: str, min_bytes:
     """
     if run in committed_runs(spark, path):
         return False
-    shared_dir(spark)
-    fresh = fresh_files(spark, folder, path, min_bytes).checkpoint()
+    fresh = checkpointed(fresh_files(spark, folder, path, min_bytes))
     # Spark's readers list the files of a job on the driver in any case
     paths = [r["file_path"] for r in fresh.select("file_path").collect()]
     if not paths:

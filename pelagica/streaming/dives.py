@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.time import shift_seconds
 from ..operators.segments import dive_segments
 from ..operators.slices import DAY_S
-from ..session import remove_path
+from ..session import checkpointed, remove_path, scratch_scope
 
 COLUMNS = ("tag_id", "datetime", "foid", "depth_m")
 STATE_SCHEMA = "tag_id {tag}, datetime TIMESTAMP, foid BIGINT, depth_m DOUBLE"
@@ -43,11 +43,12 @@ def dive_batches(
     far each tag is closed.  A chunk is closed once its tag's latest time lies
     more than the gap plus ``delay_s`` after it.  ``late`` (``<out>-late`` unless
     named) receives rows that come for a closed time, and rows without a time or
-    tag.  The state of a batch is deleted once two later ones are written.
+    tag.  The state of a batch is deleted once two later ones are written, and what the operators wrote for a batch at its
+    end, so that the shared folder holds the open rows and no more, however many batches there are.
     """
     late = late or f"{out.rstrip('/')}-late"
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*COLUMNS).filter(F.col("depth_m").isNotNull())
         tag = rows.schema["tag_id"].dataType.simpleString()
@@ -72,7 +73,7 @@ def dive_batches(
         latest = chunks.groupBy("tag_id").agg(F.max("chunk_end").alias("_latest"))
         limit = shift_seconds(F.col("_latest"), -(max_gap_s + delay_s))
         chunks = chunks.join(latest, "tag_id").withColumn("closed", F.col("chunk_end") < limit).drop("_latest")
-        known = labelled.join(chunks, ["tag_id", "chunk"]).checkpoint()
+        known = checkpointed(labelled.join(chunks, ["tag_id", "chunk"]))
         (
             known.filter("closed")
             .select(
@@ -92,4 +93,8 @@ def dive_batches(
         for kind in ("open", "ends"):
             remove_path(spark, f"{state}/{kind}/batch={batch_id - 2}")
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            run(batch, batch_id)
+
     return each

@@ -1,9 +1,11 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from brute import at
+from pelagica import session
 from pelagica.operators import segments
 from pelagica.session import scratch_path
 from pelagica.streaming import dives, jobs
@@ -146,3 +148,37 @@ def test_row_numbers_of_log_batches_never_meet(spark, tmp_path):
         jobs.run_batches(jobs.stream_log_files(spark, str(logs)), each, checkpoint)
     rows = spark.read.parquet(out).orderBy("foid").collect()
     assert len({r["foid"] for r in rows}) == 9 and [r["depth_m"] for r in rows] == [0.0] * 3 + [1.0] * 3 + [2.0] * 3
+
+
+def _shared_files(spark):
+    folder = session.shared_dir(spark).removeprefix("file:")
+    return sum(name.startswith("part-") for _, _, names in os.walk(folder) for name in names)
+
+
+def test_shared_folder_stays_as_it_is_over_many_batches(spark, arrivals, tmp_path):
+    """Open rows are all that a batch leaves in the shared folder; output and state lie elsewhere here."""
+    out, state, seen = str(tmp_path / "out"), str(tmp_path / "state"), []
+    each = dives.dive_batches(out, state, max_gap_s=2, slice_s=50)
+
+    def watched(batch, batch_id):
+        before = _shared_files(spark)
+        each(batch, batch_id)
+        kept = sum(len(os.listdir(f"{state}/{kind}")) for kind in ("open", "ends"))
+        seen.append((_shared_files(spark) - before, kept))
+
+    stream = jobs.stream_files(spark, arrivals, SCHEMA, glob="*.parquet", files_per_batch=1)
+    jobs.run_batches(stream, watched, str(tmp_path / "checkpoint"))
+    assert len(seen) == 12
+    assert {more for more, _ in seen} == {0} and max(kept for _, kept in seen) == 4
+
+
+def test_scopes_delete_their_own_only(spark):
+    rows = spark.range(10)
+    outside = session.checkpointed(rows)
+    with session.scratch_scope(spark):
+        before = _shared_files(spark)
+        assert session.checkpointed(rows).count() == 10
+        inner = session.scratch_path(spark, "inner")
+        rows.write.parquet(inner)
+        assert _shared_files(spark) > before
+    assert _shared_files(spark) == before and outside.count() == 10
