@@ -178,7 +178,8 @@ def pack(
 
     Returns ``doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32, ids`` (four
     bytes an id; null without ``with_ids``).  Null and empty texts are the end id alone; null
-    ids and repeated rows are packed like any other; an empty table gives no piece.
+    ids and repeated rows are packed like any other, each row for itself; an empty table gives no piece.  A text longer than a
+    sequence has a piece in each it reaches.  Columns besides id and text are ignored, whatever their names.
     """
     return cut(stored(tokenize(docs, path, end_id, id_col, text_col), "tokens"), length, with_ids)
 

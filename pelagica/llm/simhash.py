@@ -21,6 +21,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 # Shingles summed at once, and bucket size from which the other bits are used too.
 BLOCK = 1 << 15
 LARGE = 128
+# Rows of one key from which their links are walked through as a tree; smaller groups are compared side by side.
+FAMILY = 512
 PENDING = 1 << 20
 
 
@@ -122,8 +124,34 @@ class _Edges:
         self.parts, self.pending = [], 0
 
 
+def _link_group(fps: np.ndarray, distance: int, edges: _Edges) -> None:
+    """A tree over each set of ``fps`` that links connect.
+
+    A fingerprint is compared with those not reached yet, and what it reaches is gone from the rest: a family
+    whose members link takes a few passes over it, not all its pairs.
+    """
+    rest = fps
+    while len(rest):
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
+            one = reached.pop()
+            near = np.bitwise_count(rest ^ one) <= distance
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                edges.add(np.full(len(found), one), found)
+                reached += list(found)
+
+
 def _link(keys: np.ndarray, fps: np.ndarray, distance: int, edges: _Edges) -> None:
-    """Pairs within equal neighbouring ``keys`` that differ in few enough bits."""
+    """Pairs within equal neighbouring ``keys`` that differ in few enough bits, as many as connect them."""
+    if not len(keys):
+        return
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+    sizes = np.diff(starts)
+    for i in np.flatnonzero(sizes > FAMILY).tolist():
+        _link_group(fps[starts[i] : starts[i + 1]], distance, edges)
+    usual = np.repeat(sizes <= FAMILY, sizes)
+    keys, fps = keys[usual], fps[usual]
     at, step = np.arange(len(keys)), 1
     while len(at):
         at = at[at + step < len(keys)]
@@ -180,7 +208,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Each distinct fingerprint is indexed under its 64 one-wildcard segment variants;
     rows of a variant meet by equality in one sorted partition and are verified by
     their full distance.  Of the pairs a task verifies only a forest leaves it, which
-    keeps every connection and never writes all pairs of a group.
+    keeps every connection and never writes all pairs of a group; a family of very many fingerprints that link
+    is walked through as a tree (``_link_group``).
     """
     if distance > 2 * len(SEGMENTS) - 2:
         raise ValueError(f"three segments can't guarantee a distance of {distance}")
@@ -205,8 +234,9 @@ def near_groups(
 
     ``component_id`` is the smallest id that can be reached over links of at most
     ``distance`` differing bits, the row's own included.  Null and empty texts have
-    fingerprint 0 and link like any other.  Rows with a null id take part; a group of
-    only null ids has a null component.  Repeated rows each get their row.
+    fingerprint 0 and link like any other; very long texts are read whole.  Rows with a null id take part; a group of
+    only null ids has a null component.  Repeated rows each get their row, an empty table gives none.  Columns besides id
+    and text are ignored, whatever their names.
     """
     marked = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")

@@ -296,7 +296,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Words end at ASCII white space and are compared as they are.  Ends are exclusive; overlapping passages
     are joined.  ``compared`` is the number of sorted suffixes a task looks at together.  Null, empty and short texts have none; rows with a null id are left out, since passages are between
-    ids; repeated rows count as one.
+    ids; repeated rows count as one; an empty table gives none.  Very long texts are read whole.  Columns besides id and
+    text are ignored, whatever their names.
     """
     slim = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")

@@ -183,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
 def rate(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
     """``doc_id, severity, grade, toxic`` of every row, from its whole text.
 
-    ``severity`` is the expected grade; ``toxic`` is true from ``reject`` on.  Null and empty texts
-    have the severity of a text without any feature.
+    ``severity`` is the expected grade; ``toxic`` is true from ``reject`` on, a tie included.  Null and empty texts
+    have the severity of a text without any feature; very long texts are read whole.  Null ids are kept, repeated rows
+    get equal rows, an empty table gives none.  Columns besides ``doc_id`` and ``text`` are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,11 @@ def rate(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
-    """``docs`` without the rows that are rejected; no shuffle."""
+    """``docs`` without the rows that ``rate`` rejects; no shuffle.
+
+    All columns are kept, whatever their names.  Rows with a null id are judged by their text like others, repeated rows
+    stay or go together; rows with a null or empty text stay unless ``reject`` is below what such a text has.
+    """
     text, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
