@@ -127,7 +127,8 @@ def ingest_new(spark: SparkSession, folder: str, path: str, run: str, min_bytes:
     """
     if run in committed_runs(spark, path):
         return False
-    fresh = checkpointed(fresh_files(spark, folder, path, min_bytes))
+    # a listing has a task for each few dozen files; its rows are small
+    fresh = checkpointed(fresh_files(spark, folder, path, min_bytes).coalesce(spark.sparkContext.defaultParallelism))
     # Spark's readers list the files of a job on the driver in any case
     paths = [r["file_path"] for r in fresh.select("file_path").collect()]
     if not paths:
