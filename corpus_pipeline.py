@@ -35,6 +35,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that share 0.8 or more of their five-word shingles the one with the smallest id.
 
+    Found by the SimHash of op7 over five-word shingles (variants, links of up to four bits, components) and, for similar texts that
+    differ in more bits, by MinHash bands beside it; every link is checked on the whole texts.
     Null and empty texts are one group; rows with a null id, and rows that repeat the id that stays, stay.
     """
     ready(spark)

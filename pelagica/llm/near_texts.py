@@ -1,6 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles, found through MinHash bands.
+"""Near copies by the Jaccard similarity of their word shingles, found through SimHash and MinHash bands.
 
-Three passes, whatever the data: bands give buckets; inside a bucket sketches choose a spanning forest of the most
+SimHash (``simhash``: one-wildcard variants, links, components) gives a bucket for every set of texts that its links connect.  Texts of
+a similarity of 0.8 often differ in more bits than its links span, so MinHash bands give buckets as well.  Then
+three passes, whatever the data: inside a bucket sketches choose a spanning forest of the most
 similar texts, whose edges are compared exactly; texts that are still apart from a similar one are compared
 exactly inside their bucket.  No pass writes the pairs of a bucket: a forest has fewer edges than texts, and the last pass gives links only.
 """
@@ -15,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, components, free_name, stored
 
 WORDS = 5
@@ -248,16 +251,18 @@ def _verify(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float)
 
 
 def links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified edges ``a, b``, stored, that connect all near texts meeting in a band; ``texts`` is ``node, text``.
+    """Verified edges ``a, b``, stored, that connect all near texts meeting in a bucket; ``texts`` is ``node, text``.
 
-    Every edge is an exact similarity of whole texts.  Two texts that reach it are connected unless they meet in no
-    band or their sketches differ by far more than their texts do (see ``LESS``).
+    Every edge is an exact similarity of whole texts.  Two texts that reach it are connected unless SimHash does not link them and they
+    meet in no band, or their sketches differ by far more than their texts do (see ``LESS``).
     """
     spark, limit = texts.sparkSession, similarity - LESS
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with Scratch(spark) as keep:
         index = keep(_index(texts, words), "bands")
-        keyed = index.select(F.explode("keys").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key", "node")
+        linked = simhash.near_groups(texts, "node", "text", words).select(F.col("component_id").alias("key"), F.col("doc_id").alias("node"))
+        keyed = index.select(F.explode("keys").alias("key"), "node").unionByName(linked)
+        keyed = keyed.repartition(n, "key").sortWithinPartitions("key", "node")
         rows = keep(keyed.mapInArrow(_shared, "key long, node long"), "shared")
         met = rows.select("node").distinct()
         bodies = keep(texts.join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "bodies")

@@ -5,8 +5,9 @@ import random
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from pelagica.llm import near_texts
+from pelagica.llm import near_texts, simhash
 from pelagica.llm.common import ready
 
 DOCS = "doc_id long, text string"
@@ -131,3 +132,19 @@ def test_buckets_cut_by_batches():
     for size in (1, 2, 7, 200):
         cut = [pa.record_batch([pa.array(key[i : i + size]), pa.array(node[i : i + size])], names=["key", "node"]) for i in range(0, 200, size)]
         assert [tuple(r.values()) for b in near_texts._shared(iter(cut)) for r in b.to_pylist()] == want
+
+
+def test_simhash_finds_near_copies_and_the_exact_check_decides(spark, monkeypatch):
+    """Without any band SimHash's groups are searched; texts of close fingerprints that share few shingles stay apart."""
+    ready(spark)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    base, often = fresh(600), " ".join([fresh(11)] * 60)
+    docs = [(1, base), (2, base + " more"), (3, base + " words here"), (4, often + " " + fresh(30)), (5, often + " " + fresh(30)), (6, fresh(90)), (7, ""), (8, None)]
+    bits = {i: simhash.text_fingerprint(t, 5) for i, t in docs}
+    assert all((bits[a] ^ bits[b]).bit_count() <= simhash.DISTANCE for a, b in ((1, 2), (2, 3), (4, 5)))
+    index = near_texts._index
+    monkeypatch.setattr(near_texts, "_index", lambda texts, words: index(texts, words).withColumn("keys", F.array().cast("array<long>")))
+    got = near_texts.near_groups(spark.createDataFrame(docs, DOCS).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(docs) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7}
