@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpointed, remove_path
-from .inventory import list_files, new_files, with_data
+from ..session import checkpointed, remove_path, scratch_scope
+from .inventory import new_files, walk_files, with_data
 from .tag_logs import MIN_FILE_BYTES, read_tags
 
 MANIFEST = "file_name STRING, file_path STRING, size_bytes BIGINT, run STRING"
@@ -115,27 +115,28 @@ def fresh_files(spark: SparkSession, folder: str, path: str, min_bytes: int = MI
     """Files below ``folder`` larger than ``min_bytes`` that no run has read; ``file_name`` is their path below it."""
     target, files = _hadoop(spark, folder)
     below = len(files.makeQualified(target).toString()) + 1
-    listed = with_data(list_files(spark, folder), min_bytes).withColumn("file_name", F.expr(f"substr(file_path, {below + 1})"))
-    return new_files(listed, manifest(spark, path))
+    listed = with_data(walk_files(spark, folder), min_bytes).withColumn("file_name", F.expr(f"substr(file_path, {below + 1})"))
+    # by sorted shuffles: names compress so well that Spark takes very many for a small table and gathers them on the driver
+    return new_files(listed, manifest(spark, path).hint("merge"))
 
 
 def ingest_new(spark: SparkSession, folder: str, path: str, run: str, min_bytes: int = MIN_FILE_BYTES, **options) -> bool:
     """Read the logger files below ``folder`` that no run has read yet, and commit their rows and names as ``run``.
 
+    The files' names stay in tables, from the listing to the manifest, so the driver's memory doesn't grow with them.
     Files count as read by their path below the folder, so one that is sent again under its name is not read twice.  ``options`` go to ``read_tags``, which numbers rows within the run: together with ``run``, which is
     added, ``foid`` tells the rows of a tag apart.  False if the run is committed already; without new files an empty run is committed.
     """
     if run in committed_runs(spark, path):
         return False
-    # a listing has a task for each few dozen files; its rows are small
-    fresh = checkpointed(fresh_files(spark, folder, path, min_bytes).coalesce(spark.sparkContext.defaultParallelism))
-    # Spark's readers list the files of a job on the driver in any case
-    paths = [r["file_path"] for r in fresh.select("file_path").collect()]
-    if not paths:
-        empty = spark.createDataFrame([], "tag_id STRING, run STRING")
-        return commit_run(path, run, empty, fresh)
-    rows = read_tags(spark, paths, min_bytes, **options).withColumn("run", F.lit(run))
-    return commit_run(path, run, rows, fresh)
+    with scratch_scope(spark):
+        # a listing has a task for each few hundred folders; its rows are small
+        fresh = checkpointed(fresh_files(spark, folder, path, min_bytes).coalesce(spark.sparkContext.defaultParallelism))
+        if fresh.isEmpty():
+            empty = spark.createDataFrame([], "tag_id STRING, run STRING")
+            return commit_run(path, run, empty, fresh)
+        rows = read_tags(spark, fresh, min_bytes, **options).withColumn("run", F.lit(run))
+        return commit_run(path, run, rows, fresh)
 
 
 def append_run(df: DataFrame, path: str, run: str) -> bool:

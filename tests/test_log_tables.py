@@ -1,0 +1,104 @@
+"""Logger files whose names stay in tables: listings, readers and runs, in which the driver holds no path."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from pelagica.functions.text import tag_of_file
+from pelagica.sources import commits, inventory, log_files, tag_logs
+
+HEAD = "UTC_datetime,depth_m\n"
+FILES = {
+    "1_a.csv": 3, "a b/1_b.csv": 2, "c%20d/x=1/2 é.csv": 1, "_x=_y/3_a.csv": 4, "deep/er/and/4_a.csv": 5, "[z]/{5}_*?.csv": 2,
+    "_hidden/6.csv": 1, ".h/6.csv": 1, "_6.csv": 1, ".6.csv": 1, "6._COPYING_/6.csv": 1, "6.CSV": 1, "6.txt": 1, "deep/0.csv": None,
+}
+
+
+@pytest.fixture()
+def logs(tmp_path):
+    for n, (name, rows) in enumerate(FILES.items()):
+        file = tmp_path / "logs" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text("" if rows is None else HEAD + "".join(f"2024-01-01 00:{n:02d}:{i:02d},{n}\n" for i in range(rows)))
+        os.utime(file, (1_700_000_000 + n + 0.123456, 1_700_000_000.123456 - 60 * n))
+    (tmp_path / "logs" / "none").mkdir()
+    return str(tmp_path / "logs")
+
+
+@pytest.fixture()
+def no_paths_here(monkeypatch):
+    """Listing on the driver is an error; tasks have modules of their own."""
+
+    def fail(*_, **__):
+        raise AssertionError("listed on the driver")
+
+    monkeypatch.setattr(log_files, "list_splits", fail)
+    monkeypatch.setattr(inventory, "list_files", fail)
+
+
+def test_a_walk_finds_what_spark_lists(spark, logs, tmp_path):
+    for folder, glob in ((logs, "*.csv"), (logs + "/deep/", "*.csv"), (logs, "*"), (logs + "/1_a.csv", "*.csv"), (logs + "/none", "*.csv")):
+        own = inventory.walk_files(spark, folder, glob)
+        sparks = inventory.list_files(spark, folder, glob)
+        assert own.columns == sparks.columns and [f.dataType for f in own.schema] == [f.dataType for f in sparks.schema]
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, sparks.collect()))
+    assert inventory.walk_files(spark, logs).count() == 6
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        inventory.walk_files(spark, str(tmp_path / "absent")).collect()
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_files_in_a_table_are_read_like_a_folder(spark, logs, numbered, monkeypatch):
+    monkeypatch.setattr(log_files, "GROUP_FILES", 2)  # several tasks
+    tag = tag_of_file("file_name")
+    options = {"min_bytes": 0, "name_column": F.when(tag.rlike("^[0-9]+$"), tag), "project": F.regexp_extract("file_path", "/(x=1)/", 1)}
+    files = inventory.walk_files(spark, logs).select("file_path")
+    listed = files.unionAll(files).unionAll(spark.createDataFrame([(None,)], "file_path STRING"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "50"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            want = tag_logs.read_tags(spark, logs, number_rows=numbered, **options).filter(~F.col("file_path").contains("_COPYING_"))  # Spark's listings leave such folders out
+            got = tag_logs.read_tags(spark, listed, number_rows=numbered, **options)
+            assert got.columns == want.columns
+            assert got.count() == 17 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tag_logs.read_tags(spark, files.limit(0), 0).count() == 0
+    assert tag_logs.read_tags(spark, files, len(HEAD) + 22 * 3).select("file_name").distinct().count() == 2
+
+
+def test_files_in_a_table_are_read_as_they_are_now(spark, logs, tmp_path, monkeypatch):
+    files = inventory.walk_files(spark, logs).filter("file_name = '1_a.csv'")
+    with open(f"{logs}/1_a.csv", "a") as file:
+        file.write("2024-01-02 00:00:00,9\n")  # after the listing
+    assert tag_logs.read_tags(spark, files, 0).agg(F.max("depth_m"), F.max("foid")).first()[:] == (9.0, 4)
+    os.truncate(f"{logs}/1_a.csv", len("UTC_"))
+    with pytest.raises(Exception, match="no time column in"):
+        tag_logs.read_tags(spark, files, 0).count()
+    with pytest.raises(Exception, match="absent"):
+        tag_logs.read_tags(spark, spark.createDataFrame([(f"file:{tmp_path}/absent.csv",)], "file_path STRING"), 0).count()
+
+    own = {(r.foid, r.depth_m) for r in tag_logs.read_tags(spark, inventory.walk_files(spark, logs + "/deep"), 0).collect()}
+
+    def unknown(path):
+        raise OSError(path)
+
+    monkeypatch.setattr(log_files, "file_system", unknown)  # left to Spark
+    rows = tag_logs.read_tags(spark, inventory.walk_files(spark, logs + "/deep"), 0).collect()
+    assert {(r.foid, r.depth_m) for r in rows} == own and len(rows) == 5
+
+
+def test_runs_hold_no_path_on_the_driver(spark, logs, tmp_path, no_paths_here):
+    store, read = str(tmp_path / "store"), "tag_id STRING, depth_m DOUBLE, foid BIGINT"
+    assert commits.ingest_new(spark, logs, store, "one", 0)
+    assert sorted((r.depth_m, r.foid) for r in commits.stored_rows(spark, store, read).collect() if r.tag_id == "1") == [
+        (0.0, 1), (0.0, 2), (0.0, 3), (1.0, 4), (1.0, 5),
+    ]
+    with open(f"{logs}/7_a.csv", "w") as file:
+        file.write(HEAD + "2024-01-01 00:00:00,7\n")
+    assert commits.ingest_new(spark, logs, store, "two", 0) and commits.ingest_new(spark, logs, store, "three", 0)
+    by_run = {(r.run, r.n) for r in commits.manifest(spark, store).groupBy("run").agg(F.count("*").alias("n")).collect()}
+    assert by_run == {("one", 6), ("two", 1)}
+    assert commits.stored_rows(spark, store, read).count() == 18
