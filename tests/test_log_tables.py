@@ -1,4 +1,4 @@
-"""Logger files whose names stay in tables: listings, readers and runs, in which the driver holds no path."""
+"""Logger files whose names stay in tables: listings, readers, runs and streams, in which the driver holds no path."""
 
 import os
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pelagica.functions.text import tag_of_file
 from pelagica.sources import commits, inventory, log_files, tag_logs
+from pelagica.streaming import jobs
 
 HEAD = "UTC_datetime,depth_m\n"
 FILES = {
@@ -102,3 +103,40 @@ def test_runs_hold_no_path_on_the_driver(spark, logs, tmp_path, no_paths_here):
     by_run = {(r.run, r.n) for r in commits.manifest(spark, store).groupBy("run").agg(F.count("*").alias("n")).collect()}
     assert by_run == {("one", 6), ("two", 1)}
     assert commits.stored_rows(spark, store, read).count() == 18
+
+
+def test_a_stream_follows_its_journal(spark, logs, tmp_path, no_paths_here):
+    out, checkpoint, journal = (str(tmp_path / n) for n in ("out", "checkpoint", "journal"))
+    each, seen = jobs.log_batches(out, min_bytes=0), []
+
+    def watched(batch, batch_id):
+        seen.append([r["path"].rsplit("/", 1)[-1] for r in batch.collect()])
+        each(batch, batch_id)
+
+    def start():
+        jobs.run_batches(jobs.stream_log_files(spark, logs, 4, journal), watched, checkpoint)
+
+    start()
+    assert seen == [["{5}_*?.csv", "4_a.csv", "3_a.csv", "2 é.csv"], ["1_b.csv", "1_a.csv"]]  # the oldest first
+    start()  # nothing new
+    with open(f"{logs}/8_a.csv", "w") as file:
+        file.write(HEAD + "2024-01-01 00:00:00,8\n")
+    os.utime(f"{logs}/8_a.csv", (1, 1))  # sent late
+    start()
+    assert len(seen) == 3 and seen[2] == ["8_a.csv"]
+    rows = spark.read.parquet(out)
+    assert rows.count() == 18 and rows.select("tag_id", "foid").distinct().count() == 18
+    assert rows.filter("batch = 2").first()["foid"] == 2 * jobs.BATCH_ROWS + 1
+    kept = [f"{d}/{n}" for d, _, names in os.walk(checkpoint) for n in names if not n.startswith(".")]
+    assert kept and not any(b".csv" in open(f, "rb").read() for f in kept)
+
+
+def test_a_journal_finds_again_what_a_failed_write_lost(spark, logs, tmp_path):
+    journal = str(tmp_path / "journal")
+    assert inventory.journal_files(spark, logs, journal, 2) == 6
+    parts = sorted(n for n in os.listdir(journal) if n.endswith(".parquet"))
+    assert len(parts) == 3
+    os.rename(f"{journal}/{parts[1]}", tmp_path / "lost")
+    assert inventory.journal_files(spark, logs, journal, 2) == 2 and inventory.journal_files(spark, logs, journal, 2) == 0
+    found = [r["path"] for r in spark.read.parquet(journal).collect()]
+    assert len(found) == len(set(found)) == 6
